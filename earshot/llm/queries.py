@@ -1,12 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import secret_scan, sharding
+from . import bpe, quality, secret_scan, sharding, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op8_bpe": bpe.op8_bpe,
     "op9_sharding": sharding.op9_sharding,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op6_secret_scan": secret_scan.OP6_SQL,
     "op9_sharding": sharding.op9_sql(),
 }
