@@ -1,16 +1,20 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, quality, secret_scan, sharding, substring_dedup
+from . import bpe, html_text, quality, secret_scan, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_warc": warc.op7_warc,
     "op8_bpe": bpe.op8_bpe,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op4_html_extraction": html_text.OP4_SQL,
     "op6_secret_scan": secret_scan.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op9_sharding": sharding.op9_sql(),
 }
