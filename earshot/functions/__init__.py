@@ -1 +1 @@
-
+"""Column builders and numpy kernels."""

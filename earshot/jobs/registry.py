@@ -1,5 +1,587 @@
-"""The registered queries over the driver's tables and their SQL twins."""
+"""The registered queries over the driver's tables and their SQL twins. Floats are rounded on both sides."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from earshot.functions import kernels, signal, waves
+from earshot.functions.draws import uniform, whole
+from earshot.jobs import views
+from earshot.jobs.reports import SCORES, activity_report
+from earshot.operators import embeddings, manifests, picks, scores, sequences
+from earshot.sources.store import shared_folder
+from earshot.streaming import chunks
 
 QUERIES = {}
 SQL = {}
 FLAGSHIP = "evaluation_report"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(*columns: str):
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+def long(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """One row for each place of an array column, rounded."""
+    return rows.select(*keys, F.posexplode(column).alias("i", "x")).select(*keys, "i", F.round("x", 6).alias("x"))
+
+
+def draw(salt: str, key: str) -> str:
+    return f"('0x' || substr(md5('0|{salt}|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+# --- manifests ---------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, sf_dir, part: str):
+    e = views.table(spark, sf_dir, "events").filter(part)
+    value = F.concat_ws(" ", F.concat(F.lit("u"), F.col("user_id").cast("string")), "event_type", F.concat(F.lit("p"), F.col("event_id").cast("string")))
+    return e.select(F.col("event_id").alias("line_no"), value.alias("value"))
+
+
+@query("""SELECT 'u' || user_id AS key, arg_max(event_type || '|p' || event_id, event_id) AS vals FROM events GROUP BY user_id""")
+def manifest_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.parsed(_lines(spark, sf_dir, "true")).select("key", F.array_join("vals", "|").alias("vals"))
+
+
+@query("""
+WITH a AS (SELECT 'u' || user_id AS key, arg_max('p' || event_id, event_id) AS path FROM events WHERE event_id % 7 = 0 GROUP BY 1),
+b AS (SELECT 'u' || user_id AS key, arg_max(event_type || '|p' || event_id, event_id) AS ref2list FROM events WHERE event_id % 11 = 0 GROUP BY 1)
+SELECT a.key, a.path, b.ref2list, CAST(NULL AS VARCHAR) AS ref2list_value FROM a LEFT JOIN b ON a.key = b.key""")
+def manifest_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = manifests.parsed(_lines(spark, sf_dir, "event_id % 7 = 0")).select("key", F.slice("vals", 2, 1).alias("vals"))
+    rows = manifests.assembled(main, ref2list=manifests.parsed(_lines(spark, sf_dir, "event_id % 11 = 0")))
+    return rows.select("key", "path", F.array_join("ref2list", "|").alias("ref2list"), "ref2list_value")
+
+
+@query("""
+SELECT DISTINCT 'ref2list' AS manifest, 'u' || user_id AS key FROM events b WHERE event_id % 11 = 0
+AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_id % 97 = 0 AND a.user_id = b.user_id)""")
+def manifest_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.unmatched(manifests.parsed(_lines(spark, sf_dir, "event_id % 97 = 0")), ref2list=manifests.parsed(_lines(spark, sf_dir, "event_id % 11 = 0")))
+
+
+_TARGETS = f"""WITH {views.MIXTURES},
+g AS (SELECT utt1 || '_' || utt2 || '_1' AS key, 'mix/' || utt1 || '_' || utt2 || '.wav' AS noisy, 's1/' || utt1 || '.wav' AS ref, utt1 AS utt, CAST(u1 AS VARCHAR) AS spk, u1 || '-' || u2 AS all_spks FROM m
+  UNION ALL SELECT utt1 || '_' || utt2 || '_2', 'mix/' || utt1 || '_' || utt2 || '.wav', 's2/' || utt2 || '.wav', utt2, CAST(u2 AS VARCHAR), u1 || '-' || u2 FROM m)"""
+
+
+@query(_TARGETS + " SELECT key, noisy, ref, utt, spk, all_spks, spk AS source_speaker FROM g")
+def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifests.targets(views.mixtures(spark, sf_dir))
+    return rows.withColumn("source_speaker", manifests.source_speaker(F.col("key"), F.col("all_spks")))
+
+
+@query(
+    _TARGETS
+    + """, c AS (SELECT g.key, g.spk, e.user_id || '-' || e.event_id AS u FROM g JOIN events e ON CAST(e.user_id AS VARCHAR) = g.spk AND e.user_id || '-' || e.event_id <> g.utt),
+r AS (SELECT key, spk, u, row_number() OVER (PARTITION BY key ORDER BY md5('0|enroll|' || key || '/' || u), u) AS nth FROM c)
+SELECT key, spk, string_agg(u, ' ' ORDER BY nth) AS enroll, count(*) < 5 AS short_pool FROM r WHERE nth <= 5 GROUP BY key, spk"""
+)
+def enrollment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifests.targets(views.mixtures(spark, sf_dir)).select("key", "utt", "spk")
+    utts = views.table(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("uttid"), F.col("user_id").cast("string").alias("spk"))
+    return picks.enrollments(rows, utts).select("key", "spk", F.array_join("enroll", " ").alias("enroll"), "short_pool")
+
+
+@query("""
+SELECT user_id AS spkid, arg_min(event_type, event_id) AS gender, count(*) AS n_lines, string_agg(event_id || ':' || event_type, ' ' ORDER BY CAST(event_id AS VARCHAR)) AS utts
+FROM events GROUP BY user_id""")
+def speaker_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.col("event_id").cast("string").alias("uttid"), F.col("user_id").alias("spkid"), F.col("event_type").alias("gender"), F.col("event_type").alias("path"), F.lit(1).alias("length"), F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"))
+    rows = manifests.speakers(e)
+    return rows.select("spkid", "gender", "n_lines", F.array_join(F.transform("utts", lambda u: F.concat_ws(":", u["uttid"], u["path"])), " ").alias("utts"))
+
+
+@query("""
+WITH r AS (SELECT row_number() OVER (ORDER BY CAST(event_id AS VARCHAR)) - 1 AS idx, CAST(user_id AS VARCHAR) AS spk FROM events),
+l AS (SELECT spk, row_number() OVER (ORDER BY spk) - 1 AS label FROM (SELECT DISTINCT spk FROM r))
+SELECT r.spk, label, min(idx) AS first, max(idx) AS last, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ' ' ORDER BY idx) AS rows FROM r JOIN l ON l.spk = r.spk GROUP BY r.spk, label""")
+def speaker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.col("user_id").cast("string").alias("spk"))
+    rows = manifests.rows_by_speaker(manifests.indexed(e, "key"))
+    labels = manifests.speaker_labels(e)
+    return rows.join(labels, "spk").select("spk", F.col("label").cast("bigint").alias("label"), F.array_min("rows").alias("first"), F.array_max("rows").alias("last"), F.size("rows").cast("bigint").alias("n"), F.array_join(F.col("rows").cast("array<string>"), " ").alias("rows"))
+
+
+# --- picks -------------------------------------------------------------------------------------------------------
+
+
+def _clips(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), F.col("event_id").alias("utt"), F.col("value").alias("seconds"))
+
+
+@query("""
+WITH r AS (SELECT user_id AS key, event_id AS utt, value AS seconds,
+  row_number() OVER (PARTITION BY user_id ORDER BY round(value, 2) DESC, event_id) AS l,
+  row_number() OVER (PARTITION BY user_id ORDER BY round(value, 2), event_id) AS s,
+  row_number() OVER (PARTITION BY user_id ORDER BY md5('0|pick|' || user_id || '/' || event_id) DESC, CAST(event_id AS VARCHAR) DESC) AS a FROM events WHERE value IS NOT NULL)
+SELECT key, max(CASE WHEN l = 1 THEN utt END) AS longest, max(CASE WHEN s = 1 THEN utt END) AS shortest, max(CASE WHEN a = 1 THEN utt END) AS anyone FROM r GROUP BY key""")
+def enrollment_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = _clips(spark, sf_dir)
+    one = lambda mode, name: picks.by_length(clips, mode).select("key", F.col("utt").alias(name))
+    return one("longest", "longest").join(one("shortest", "shortest"), "key").join(one("any", "anyone"), "key")
+
+
+@query("""
+WITH c AS (SELECT user_id AS key, event_id AS utt, value AS seconds, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events WHERE value IS NOT NULL)
+SELECT key, string_agg(CAST(utt AS VARCHAR), ' ' ORDER BY utt) AS utts, round(sum(seconds), 4) AS seconds FROM c WHERE before <= 100 GROUP BY key""")
+def enrollment_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picks.joined_clips(_clips(spark, sf_dir), 100.0).select("key", F.array_join(F.col("utts").cast("array<string>"), " ").alias("utts"), F.round("seconds", 4).alias("seconds"))
+
+
+@query(f"""
+WITH d AS (SELECT event_id AS key, CAST(floor({draw("noise", "event_id")} * (SELECT count(*) FROM embeddings)) AS BIGINT) AS idx,
+  CASE WHEN event_id % 3 > 0 THEN CAST(floor({draw("channel", "event_id")} * (event_id % 3 + 1)) AS BIGINT) END AS channel FROM events)
+SELECT key, idx, label AS noise_label, channel FROM d JOIN embeddings ON vec_id = idx""")
+def noise_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("key"))
+    pool = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").alias("noise_label"))
+    return picks.assigned(rows, pool, "noise").withColumn("channel", picks.channel(F.col("key"), F.col("key") % 3 + 1)).select("key", "idx", "noise_label", "channel")
+
+
+@query(f"""
+WITH r AS (SELECT event_id AS key, event_id AS idx, user_id AS spk, user_id || '-' || (user_id + 1) || '-' || (user_id + 2) AS all_spks FROM events),
+a AS (SELECT key, all_spks, nth, CAST(floor(('0x' || substr(md5('0|other.' || nth || '|' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (SELECT count(*) FROM events)) AS BIGINT) AS other_idx FROM r, (SELECT unnest(range(8)) AS nth)),
+f AS (SELECT a.key, arg_min(other_idx, nth) AS other_idx, arg_min(r.spk, nth) AS other_spk FROM a JOIN r ON r.idx = other_idx WHERE NOT list_contains(string_split(a.all_spks, '-'), CAST(r.spk AS VARCHAR)) GROUP BY a.key)
+SELECT r.key, other_idx, other_spk, {draw("use_mixture", "r.key")} < 0.5 AS use_mixture FROM r JOIN f ON f.key = r.key""")
+def interferer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events")
+    u = lambda k: (F.col("user_id") + k).cast("string")
+    rows = e.select(F.col("event_id").alias("key"), F.col("event_id").alias("idx"), F.col("user_id").alias("spk"), F.concat_ws("-", u(0), u(1), u(2)).alias("all_spks"))
+    return picks.interferers(rows).select("key", "other_idx", "other_spk", "use_mixture")
+
+
+@query(f"""
+SELECT event_id AS key, CASE WHEN {draw("inactive", "event_id")} < 0.2 THEN 'inactive' WHEN {draw("single", "event_id")} < 0.3 THEN 'single' ELSE 'mixture' END AS "case" FROM events""")
+def case_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picks.cases(views.table(spark, sf_dir, "events").select(F.col("event_id").alias("key")), 0.3, 0.2)
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY md5('0|shuffle.3|' || o_orderkey), o_orderkey) - 1 AS i FROM orders)
+SELECT key, CAST(floor(i / 32) AS BIGINT) AS batch, CAST(i % 32 AS BIGINT) AS pos FROM r""")
+def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picks.shuffled(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), 32, epoch=3)
+
+
+@query("""
+WITH u AS (SELECT CAST(user_id AS VARCHAR) AS spk, CAST(event_id AS VARCHAR) AS uttid FROM events),
+p AS (SELECT spk FROM u GROUP BY spk HAVING count(*) >= 4),
+b AS (SELECT batch, spk, row_number() OVER (PARTITION BY batch ORDER BY md5('0|speaker|' || batch || '/' || spk), spk) AS nth FROM (SELECT unnest(range(50)) AS batch), p),
+c AS (SELECT b.batch, b.spk, uttid, row_number() OVER (PARTITION BY b.batch, b.spk ORDER BY md5('0|utt|' || b.batch || '/' || b.spk || '/' || uttid), uttid) AS k FROM b JOIN u ON u.spk = b.spk WHERE nth <= 6)
+SELECT batch, spk, uttid FROM c WHERE k <= 4""")
+def speaker_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utts = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("spk"), F.col("event_id").alias("uttid"))
+    return picks.speaker_batches(utts, 50, 6, 4)
+
+
+@query("""
+WITH r AS (SELECT vec_id AS key, vec_id // 8 AS batch, CAST(embedding AS DOUBLE[])[1:vec_id % 40 + 10] AS w FROM embeddings),
+m AS (SELECT *, len(w) AS length, max(len(w)) OVER (PARTITION BY batch) AS longest FROM r),
+i AS (SELECT key, batch, length, w, unnest(range(longest)) AS i FROM m)
+SELECT key, batch, CAST(length AS INTEGER) AS length, CAST(i AS INTEGER) AS i, round(coalesce(w[i + 1], 0), 6) AS x FROM i""")
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.waves(spark, sf_dir).select("key", F.floor(F.col("key") / 8).alias("batch"), F.slice("w", F.lit(1), (F.col("key") % 40 + 10).cast("int")).alias("w"))
+    return long(picks.padded_batches(rows), "w", "key", "batch", "length")
+
+
+# --- sequences ---------------------------------------------------------------------------------------------------
+
+_RUNS = f"""WITH {views.FRAMES},
+b AS (SELECT key, pos, (p > 0.5)::INTEGER AS value FROM f),
+n AS (SELECT *, CASE WHEN value <> lag(value) OVER (PARTITION BY key ORDER BY pos) THEN 1 ELSE 0 END AS new FROM b),
+g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY pos) AS run FROM n),
+r AS (SELECT key, CAST(run AS BIGINT) AS run, any_value(value) AS value, min(pos) AS start, count(*) AS n FROM g GROUP BY key, run)"""
+
+
+@query(_RUNS + " SELECT key, run, value, start, n FROM r")
+def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.runs(views.frames(spark, sf_dir).select("key", "pos", (F.col("p") > 0.5).cast("int").alias("value")))
+
+
+@query(
+    _RUNS
+    + """, l AS (SELECT *, n >= 3 OR count(*) OVER (PARTITION BY key) = 1 AS long FROM r),
+e AS (SELECT *, CASE WHEN long OR coalesce(lag(long) OVER (PARTITION BY key ORDER BY run), true) THEN 1 ELSE 0 END AS edge FROM l),
+q AS (SELECT *, sum(edge) OVER (PARTITION BY key ORDER BY run) AS grp FROM e),
+s AS (SELECT key, grp, bool_or(long) AS long, min(start) AS start, CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN value = 1 THEN n ELSE 0 END) AS ones, arg_min(value, run) AS value FROM q GROUP BY key, grp),
+v AS (SELECT key, start, n, CASE WHEN long THEN value WHEN n < 3 THEN coalesce(lag(value) OVER (PARTITION BY key ORDER BY grp), 0) ELSE (2 * ones > n)::INTEGER END AS value FROM s)
+SELECT key, unnest(range(start, start + n)) AS pos, value FROM v"""
+)
+def stable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.stable_labels(views.frames(spark, sf_dir), 0.5, 3.0, 1)
+
+
+@query(f"""WITH {views.FRAMES},
+c AS (SELECT key, pos, sum(p) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5 AS causal, sum(p) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS centred FROM f)
+SELECT key, pos, round(causal, 6) AS causal, round(centred, 6) AS centred FROM c WHERE pos % 2 = 0""")
+def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.frames(spark, sf_dir)
+    a = sequences.moving_average(rows, 5, 2).select("key", "pos", F.round("mean", 6).alias("causal"))
+    return a.join(sequences.moving_average(rows, 5, 2, causal=False).select("key", "pos", F.round("mean", 6).alias("centred")), ["key", "pos"])
+
+
+@query(f"""WITH {views.FRAMES}
+SELECT key, pos, (sum(p) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4 > 0.4)::INTEGER AS value FROM f""")
+def averaged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.averaged_labels(views.frames(spark, sf_dir), 0.4, 20)
+
+
+@query(f"""WITH {views.FRAMES},
+n AS (SELECT key, count(*) AS n, 8 - (4 + count(*) % 8) % 8 AS rest FROM f GROUP BY key),
+g AS (SELECT key, n, unnest(range((n + rest + 8) // 4 - 1)) AS segment FROM n),
+h AS (SELECT key, n, segment, unnest(range(8)) AS "at" FROM g),
+x AS (SELECT *, segment * 4 + "at" - 4 AS place FROM h)
+SELECT x.key, CAST(segment AS INTEGER) AS segment, CAST("at" AS INTEGER) AS "at", f.pos, round(coalesce(p, 0), 6) AS value FROM x LEFT JOIN f ON f.key = x.key AND f.pos = x.place""")
+def overlap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.segments(views.frames(spark, sf_dir), 8).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {views.FRAMES} SELECT key, pos, round(p, 6) AS value FROM f")
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.merged_segments(sequences.segments(views.frames(spark, sf_dir), 8)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {views.FRAMES},
+s AS (SELECT user_id AS key, event_id % 60 AS start, event_id % 60 + CAST(floor(value) AS BIGINT) % 5 AS stop FROM events WHERE event_id % 9 = 0 AND value IS NOT NULL)
+SELECT key, pos, (EXISTS (SELECT 1 FROM s WHERE s.key = f.key AND s.start <= f.pos AND f.pos < s.stop))::INTEGER AS label FROM f""")
+def vad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("event_id") % 60
+    spans = views.table(spark, sf_dir, "events").filter("event_id % 9 = 0 AND value IS NOT NULL").select(F.col("user_id").alias("key"), start.alias("start"), (start + F.floor("value") % 5).alias("stop"))
+    return sequences.rasterized(views.frames(spark, sf_dir), spans)
+
+
+# --- scores ------------------------------------------------------------------------------------------------------
+
+
+def _moments(x: str, y: str, mean: bool = True) -> str:
+    """SQL for the sums of two arrays, less their means."""
+    m = lambda a, b: f"(list_dot_product({a}, {b}) - {f'list_sum({a}) * list_sum({b}) / len({a})' if mean else '0'})"
+    return f"{m(x, x)} AS xx, {m(y, y)} AS yy, {m(x, y)} AS xy"
+
+
+def _peak(w: str) -> str:
+    return f"[v / list_max([abs(u) FOR u IN {w}]) FOR v IN {w}]"
+
+
+_SISNR = "10 * log10(xy / (yy + 1e-8) * xy / (yy + 1e-8) * yy / (greatest(xx - 2 * xy / (yy + 1e-8) * xy + xy / (yy + 1e-8) * xy / (yy + 1e-8) * yy, 0) + 1e-8) + 1e-8)"
+_EVALUATED = f"""WITH {views.TRIOS},
+k AS (SELECT key, spk, {_peak("clean")} AS clean, {_peak("noisy")} AS noisy, {_peak("enh")} AS enh FROM t),
+a AS (SELECT key, {_moments("enh", "clean")} FROM k), b AS (SELECT key, {_moments("noisy", "clean")} FROM k),
+s AS (SELECT a.key, a.v AS sisnr, a.v - b.v AS sisnri FROM (SELECT key, {_SISNR} AS v FROM a) a JOIN (SELECT key, {_SISNR} AS v FROM b) b ON a.key = b.key),
+e AS (SELECT *, (sisnri < 0 AND sisnr < 30)::INTEGER AS nsr, (sisnri < 0 AND sisnr < 30 AND sisnr < 0)::INTEGER AS nsr_neg FROM s)"""
+
+
+@query(_EVALUATED + " SELECT key, round(sisnr, 6) AS sisnr, round(sisnri, 6) AS sisnri, nsr, nsr_neg FROM e")
+def utterance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.with_improvement(views.trios(spark, sf_dir)).select("key", *r6("sisnr", "sisnri"), "nsr", "nsr_neg")
+
+
+@query(_EVALUATED + " SELECT round(avg(sisnr), 6) AS sisnr, round(avg(sisnri), 6) AS sisnri, round(avg(nsr), 6) AS nsr, round(avg(nsr_neg), 6) AS nsr_neg, count(*) AS n FROM e")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.summary(scores.with_improvement(views.trios(spark, sf_dir)), SCORES).select(*r6(*SCORES), "n")
+
+
+def _family_sql() -> str:
+    parts = []
+    for name, (scaled, dependent, limit, pooled) in scores.FAMILY.items():
+        a = "xy / (yy + 1e-8)" if scaled else "1.0"
+        b = "1.0" if dependent else a
+        target = f"{a} * {a} * yy"
+        noise = f"greatest(xx - 2 * {b} * xy + {b} * {b} * yy, 0)" + (f" + {10 ** (-limit / 10)} * {target}" if limit else "")
+        if pooled:
+            parts.append(f"SELECT '{name}' AS kind, avg(-10 * log10(t / (e + 1e-8) + 1e-8)) AS loss FROM (SELECT key, sum({target}) AS t, sum({noise}) AS e FROM m GROUP BY key)")
+        else:
+            parts.append(f"SELECT '{name}' AS kind, avg(-10 * log10({target} / ({noise} + 1e-8) + 1e-8)) AS loss FROM m")
+    return f"WITH {views.TRIOS}, m AS (SELECT spk AS key, {_moments('enh', 'clean')} FROM t) SELECT kind, round(loss, 6) AS loss FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_family_sql())
+def sdr_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.trios(spark, sf_dir).withColumn("key", F.col("spk"))
+    out = None
+    for name in scores.FAMILY:
+        one = scores.sdr_loss(rows, name).select(F.lit(name).alias("kind"), F.round("loss", 6).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {views.TRIOS}, m AS (SELECT key, {_moments("enh", "clean")} FROM t),
+l AS (SELECT CASE WHEN key % 5 = 0 THEN 10 * log10(xx + 0.01 * yy + 1e-8) ELSE -10 * log10(xy / (yy + 1e-8) * xy / (yy + 1e-8) * yy / (greatest(xx - 2 * xy / (yy + 1e-8) * xy + xy / (yy + 1e-8) * xy / (yy + 1e-8) * yy, 0) + 1e-8) + 1e-8) END AS loss, key % 5 = 0 AS off FROM m)
+SELECT round(avg(loss), 6) AS loss FROM l WHERE off OR loss > -15 OR NOT EXISTS (SELECT 1 FROM l WHERE NOT off AND loss > -15)""")
+def sdr_loss_with_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.trios(spark, sf_dir).withColumn("off", F.col("key") % 5 == 0)
+    return scores.sdr_loss(rows, "sisnr", keep_above=-15.0, inactive="off").select(*r6("loss"))
+
+
+@query(f"""WITH {views.TRIOS}, k AS (SELECT key, {_peak("noisy")} AS pn, {_peak("enh")} AS pe, clean, noisy, enh FROM t)
+SELECT key, round(10 * log10(list_sum([noisy[i] * noisy[i] FOR i IN range(1, len(clean) + 1) IF NOT clean[i] > 0]) / list_sum([enh[i] * enh[i] FOR i IN range(1, len(clean) + 1) IF NOT clean[i] > 0])), 6) AS attenuation,
+       round(10 * log10(list_dot_product(pe, pe) / list_dot_product(pn, pn)), 6) AS noise_reduction,
+       round(list_sum([abs(v) FOR v IN clean]) / len(clean), 6) AS mean_abs, round(list_max([abs(v) FOR v IN clean]), 6) AS peak_abs FROM k""")
+def attenuation_and_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.transform("clean", lambda v: F.when(v > 0, 1).otherwise(0))
+    rows = views.trios(spark, sf_dir)
+    return rows.select("key", scores.attenuation(F.col("enh"), F.col("noisy"), mask).alias("attenuation"), scores.noise_reduction(F.col("enh"), F.col("noisy")).alias("noise_reduction"), waves.mean_abs(F.col("clean")).alias("mean_abs"), waves.peak_abs(F.col("clean")).alias("peak_abs")).select("key", *r6("attenuation", "noise_reduction", "mean_abs", "peak_abs"))
+
+
+_F1 = """c AS (SELECT key, count(*) FILTER (label = 1 AND value = 1)::DOUBLE AS tp, count(*) FILTER (label = 0 AND value = 1)::DOUBLE AS fp, count(*) FILTER (label = 1 AND value = 0)::DOUBLE AS fn, count(*) FILTER (label = 0 AND value = 0)::DOUBLE AS tn FROM v GROUP BY key),
+d AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / (tp + fp + 1e-7) AS "precision", tp / (tp + fn + 1e-7) AS recall FROM c),
+s AS (SELECT *, greatest(1e-7, least(1 - 1e-7, 2 * "precision" * recall / ("precision" + recall + 1e-7))) AS f1 FROM d)"""
+
+
+@query(f"""WITH {views.FRAMES}, v AS (SELECT key, label, (p > 0.3)::INTEGER AS value FROM f), {_F1}
+SELECT key, tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM s""")
+def activity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.frames(spark, sf_dir).withColumn("value", (F.col("p") > 0.3).cast("int"))
+    return scores.confusion(rows).select("key", "tp", "fp", "fn", "tn", *r6("accuracy", "precision", "recall", "f1"))
+
+
+@query(f"""WITH {views.FRAMES}, v AS (SELECT key, label, (sum(p) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4 > 0.3)::INTEGER AS value FROM f), {_F1}
+SELECT round(avg(accuracy), 6) AS accuracy, round(avg("precision"), 6) AS "precision", round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, count(*) AS n FROM s""")
+def activity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity_report(views.frames(spark, sf_dir), 0.3, 20)[1].select(*r6("accuracy", "precision", "recall", "f1"), "n")
+
+
+@query(f"""WITH {views.FRAMES}, s AS (SELECT sum(label * p) AS tp, sum((1 - label) * p) AS fp, sum(label * (1 - p)) AS fn FROM f),
+q AS (SELECT tp / (tp + fp + 1e-10) AS p, tp / (tp + fn + 1e-10) AS r FROM s) SELECT round(1 - 2 * p * r / (p + r + 1e-10), 6) AS loss FROM q""")
+def soft_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.soft_f1_loss(views.frames(spark, sf_dir)).select(*r6("loss"))
+
+
+@query("""
+WITH l AS (SELECT o_custkey % 200 AS epoch, avg(CAST(o_totalprice AS DOUBLE)) AS loss FROM orders GROUP BY 1),
+b AS (SELECT *, min(loss) OVER (ORDER BY epoch) AS best FROM l),
+e AS (SELECT *, last_value(CASE WHEN loss <= best THEN epoch END IGNORE NULLS) OVER (ORDER BY epoch) AS best_epoch FROM b)
+SELECT epoch, round(loss, 4) AS loss, round(best, 4) AS best, best_epoch, epoch >= best_epoch + 25 AS stop FROM e""")
+def training_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = views.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("epoch"), F.col("o_totalprice").cast("double").alias("loss"))
+    return scores.epochs(log).select("epoch", F.round("loss", 4).alias("loss"), F.round("best", 4).alias("best"), "best_epoch", "stop")
+
+
+# --- embeddings --------------------------------------------------------------------------------------------------
+
+
+def _dvecs(spark, sf_dir):
+    return views.waves(spark, sf_dir).select(F.col("key").alias("uttid"), "spk", F.col("w").alias("dvec"))
+
+
+_DVECS = """x AS (SELECT vec_id AS uttid, label AS spk, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+y AS (SELECT uttid, spk, [e / greatest(sqrt(list_dot_product(v, v)), 1e-12) FOR e IN v] AS v FROM x),
+z AS (SELECT uttid, spk, unnest(range(len(v))) AS d, unnest(v) AS e FROM y),
+c AS (SELECT spk, list(s ORDER BY d) AS sums, any_value(n) AS n FROM (SELECT spk, d, sum(e) AS s, count(*) AS n FROM z GROUP BY spk, d) GROUP BY spk)"""
+
+
+@query("""
+WITH z AS (SELECT label AS spk, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)
+SELECT spk, i, count(*) AS n, round(avg(e), 6) AS x FROM z GROUP BY spk, i""")
+def speaker_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long(embeddings.centroids(_dvecs(spark, sf_dir)), "centroid", "spk", "n")
+
+
+@query("""
+WITH z AS (SELECT vec_id AS uttid, label AS spk, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)
+SELECT uttid, spk, i, round((sum(e) OVER w - e) / (count(*) OVER w - 1), 6) AS x FROM z WINDOW w AS (PARTITION BY spk, i)""")
+def left_out_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long(embeddings.left_out(_dvecs(spark, sf_dir)), "others", "uttid", "spk")
+
+
+_GE2E = f"""WITH {_DVECS},
+p AS (SELECT y.uttid, y.spk = c.spk AS own, y.v, CASE WHEN y.spk = c.spk AND n > 1 THEN [(sums[i] - y.v[i]) / (n - 1) FOR i IN range(1, len(sums) + 1)] ELSE [s / n FOR s IN sums] END AS m FROM y, c),
+s AS (SELECT uttid, own, 10 * greatest(list_dot_product(v, m) / greatest(sqrt(list_dot_product(m, m)), 1e-12), 1e-6) - 5 AS s FROM p)"""
+
+
+@query(
+    _GE2E
+    + """, a AS (SELECT uttid, ln(sum(exp(s))) - max(CASE WHEN own THEN s END) AS soft, 1 - 1 / (1 + exp(-max(CASE WHEN own THEN s END))) + coalesce(max(CASE WHEN NOT own THEN 1 / (1 + exp(-s)) END), 0) AS hard FROM s GROUP BY uttid)
+SELECT round(sum(soft), 5) AS softmax, round(sum(hard), 5) AS contrast FROM a"""
+)
+def ge2e_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dvecs(spark, sf_dir)
+    a = embeddings.ge2e_loss(rows).select(F.round("loss", 5).alias("softmax"))
+    return a.crossJoin(embeddings.ge2e_loss(rows, "contrast").select(F.round("loss", 5).alias("contrast")))
+
+
+@query(f"""WITH {_DVECS},
+p AS (SELECT y.uttid, y.spk = c.spk AS own, greatest(-1, least(1, list_dot_product(v, sums) / greatest(sqrt(list_dot_product(sums, sums)), 1e-12))) AS cos FROM y, c),
+q AS (SELECT uttid, own, 30 * CASE WHEN NOT own THEN cos WHEN cos > cos(pi() - 0.2) THEN cos * cos(0.2) - sqrt(greatest(1 - cos * cos, 0)) * sin(0.2) ELSE cos - sin(pi() - 0.2) * 0.2 END AS s FROM p),
+a AS (SELECT uttid, ln(sum(exp(s))) - max(CASE WHEN own THEN s END) AS l FROM q GROUP BY uttid)
+SELECT round(avg(l), 5) AS loss FROM a""")
+def margin_softmax_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dvecs(spark, sf_dir)
+    weights = embeddings.vector_sums(rows.withColumn("dvec", embeddings.unit(F.col("dvec")))).select("spk", F.col("sums").alias("weight"))
+    return embeddings.aam_softmax_loss(rows, weights).select(F.round("loss", 5).alias("loss"))
+
+
+@query(f"""WITH {views.TRIOS}, n AS (SELECT key, [e / sqrt(list_dot_product(clean, clean)) FOR e IN clean] AS a, [e / sqrt(list_dot_product(enh, enh)) FOR e IN enh] AS p, [e / sqrt(list_dot_product(noisy, noisy)) FOR e IN noisy] AS g FROM t)
+SELECT round(avg(greatest(sqrt(list_sum([(a[i] - p[i]) * (a[i] - p[i]) FOR i IN range(1, len(a) + 1)]) + 1e-8) - sqrt(list_sum([(a[i] - g[i]) * (a[i] - g[i]) FOR i IN range(1, len(a) + 1)]) + 1e-8) + 0.3, 0)), 6) AS euclidean,
+       round(avg(greatest(list_dot_product(a, g) - list_dot_product(a, p) + 0.3, 0)), 6) AS cosine FROM n""")
+def triplet_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.trios(spark, sf_dir).select(F.col("clean").alias("anchor"), F.col("enh").alias("positive"), F.col("noisy").alias("negative"))
+    a = embeddings.triplet_loss(rows, 0.3).select(F.round("loss", 6).alias("euclidean"))
+    return a.crossJoin(embeddings.triplet_loss(rows, 0.3, "cosine").select(F.round("loss", 6).alias("cosine")))
+
+
+@query("""
+WITH x AS (SELECT vec_id AS uttid, label AS spk, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.uttid, a.spk, b.spk AS other, list_distance(a.v, b.v) AS d FROM x a JOIN x b ON a.uttid <> b.uttid),
+m AS (SELECT uttid, spk, other, avg(d) AS d FROM d GROUP BY uttid, spk, other),
+s AS (SELECT uttid, spk, max(CASE WHEN spk = other THEN d END) AS a, min(CASE WHEN spk <> other THEN d END) AS b FROM m GROUP BY uttid, spk)
+SELECT uttid, spk, round(a, 6) AS a, round(b, 6) AS b, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
+def silhouette_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.silhouette(_dvecs(spark, sf_dir)).select("uttid", "spk", *r6("a", "b", "silhouette"))
+
+
+@query(f"""WITH {views.FRAMES}, g AS (SELECT key, pos, p, exp(p) AS w FROM f WHERE pos < 40),
+m AS (SELECT key, sum(w) AS a, sum(w * p) / sum(w) AS mean FROM g GROUP BY key)
+SELECT g.key, CAST(0 AS INTEGER) AS d, round(any_value(mean), 6) AS mean, round(sqrt(greatest(sum(w / a * (p - mean) * (p - mean)), 1e-12)), 6) AS std FROM g JOIN m ON m.key = g.key GROUP BY g.key""")
+def pooled_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.frames(spark, sf_dir).select("key", "pos", F.col("p").alias("logit"), F.lit(40).alias("length"), F.array("p").alias("x"))
+    return embeddings.pooled(rows).select("key", "d", *r6("mean", "std"))
+
+
+# --- waveforms ---------------------------------------------------------------------------------------------------
+
+
+def _wave_sql(expression: str, frm: str = "embeddings") -> str:
+    """Long rows of an array expression over (key, w)."""
+    return f"WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS w FROM {frm}), o AS (SELECT key, {expression} AS x FROM v) SELECT key, CAST(unnest(range(len(x))) AS INTEGER) AS i, round(unnest(x), 6) AS x FROM o"
+
+
+@query(_wave_sql("[pow(10, -28 / 20.0::DOUBLE) * (e / (list_sum([abs(u) FOR u IN w]) / len(w) + 1e-14)) FOR e IN w]"))
+def rescaled_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long(views.waves(spark, sf_dir).withColumn("x", waves.rescaled(F.col("w"), -28.0, "avg", "dB")), "x", "key")
+
+
+@query(_wave_sql(f"CASE WHEN len(w) > 20 + key % 60 THEN list_slice(w, CAST(floor({draw('cut', 'key')} * greatest(len(w) - (20 + key % 60) + 1, 1)) AS BIGINT) + 1, CAST(floor({draw('cut', 'key')} * greatest(len(w) - (20 + key % 60) + 1, 1)) AS BIGINT) + 20 + key % 60) ELSE list_concat(w, [0.0::DOUBLE FOR _ IN range(20 + key % 60 - len(w))]) END"))
+def cut_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.lit(20) + F.col("key") % 60).cast("int")
+    at = whole(F.col("key"), "cut", waves.room(F.col("w"), n))
+    return long(views.waves(spark, sf_dir).withColumn("x", waves.cut(F.col("w"), at, n)), "x", "key")
+
+
+@query(_wave_sql(f"[greatest(-1, least(1, e * (0.125 + {draw('volume', 'key')} * 15.875))) FOR e IN w]"))
+def volume_and_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = uniform(F.col("key"), "volume", low=0.125, high=16.0)
+    return long(views.waves(spark, sf_dir).withColumn("x", waves.clamped(waves.scaled(F.col("w"), by))), "x", "key")
+
+
+@query(f"""WITH {views.TRIOS}, z AS (SELECT key, clean, [enh[i] FOR i IN range(1, 41)] AS noise, unnest([-5.0, 5.0]) AS snr FROM t),
+g AS (SELECT key, snr, clean, list_concat(noise, noise)[1:len(clean)] AS noise FROM z),
+o AS (SELECT key, snr, [clean[i] + sqrt(sqrt(list_dot_product(clean, clean)) / (pow(10, snr / 10) * sqrt(list_dot_product(noise, noise)) + 1e-8)) * noise[i] FOR i IN range(1, len(clean) + 1)] AS x FROM g)
+SELECT key, CAST(snr AS DOUBLE) AS snr, CAST(unnest(range(len(x))) AS INTEGER) AS i, round(unnest(x), 6) AS x FROM o""")
+def noisy_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.trios(spark, sf_dir).select("key", "clean", F.slice("enh", 1, 40).alias("noise"), F.explode(F.array(F.lit(-5.0), F.lit(5.0))).alias("snr"))
+    fitted = waves.fitted_noise(F.col("noise"), F.size("clean"), F.lit(0))
+    return long(rows.withColumn("x", waves.noisy(F.col("clean"), fitted, F.col("snr"))), "x", "key", "snr")
+
+
+@query(_wave_sql(f"[CASE WHEN i - 1 >= floor({draw('drop', 'key')} * len(w)) AND i - 1 < floor({draw('drop', 'key')} * len(w)) + floor(least(0.3, 1 - {draw('drop', 'key')}) * len(w)) THEN 0 ELSE w[i] END FOR i IN range(1, len(w) + 1)]"))
+def dropped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long(views.waves(spark, sf_dir).withColumn("x", waves.dropped(F.col("w"), uniform(F.col("key"), "drop"), 0.3)), "x", "key")
+
+
+@query(_wave_sql("[(e - list_sum(w) / len(w)) / sqrt(list_sum([(u - list_sum(w) / len(w)) * (u - list_sum(w) / len(w)) FOR u IN w]) / len(w) + 1e-8) FOR e IN w]"))
+def standardized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long(views.waves(spark, sf_dir).withColumn("x", waves.standardized(F.col("w"))), "x", "key")
+
+
+@query(_wave_sql(f"[CASE WHEN i - 1 >= CAST(floor({draw('band.at', 'key')} * 50) AS BIGINT) AND i - 1 < CAST(floor({draw('band.at', 'key')} * 50) AS BIGINT) + CAST(floor({draw('band.n', 'key')} * 15) AS BIGINT) THEN 0 ELSE w[i] END FOR i IN range(1, len(w) + 1)]"))
+def masked_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.waves(spark, sf_dir)
+    return long(rows.withColumn("x", waves.masked_band(F.col("w"), whole(F.col("key"), "band.at", 50), whole(F.col("key"), "band.n", 15))), "x", "key")
+
+
+@query(f"""WITH {views.TRIOS}, o AS (SELECT key, [sqrt(clean[i] * clean[i] + enh[i] * enh[i] + 1e-8) FOR i IN range(2, len(clean) + 1)] AS m,
+  [CASE WHEN clean[i] = 0 AND enh[i] = 0 THEN 0 ELSE clean[i] * pow(sqrt(clean[i] * clean[i] + enh[i] * enh[i]), -0.7) END FOR i IN range(2, len(clean) + 1)] AS c,
+  [clean[i] * noisy[i] - enh[i] * clean[i] FOR i IN range(2, len(clean) + 1)] AS re, [clean[i] * clean[i] + enh[i] * noisy[i] FOR i IN range(2, len(clean) + 1)] AS im FROM t)
+SELECT key, CAST(unnest(range(len(m))) AS INTEGER) AS i, round(unnest([ln(1 + v) FOR v IN m]), 6) AS magnitude, round(unnest(c), 6) AS compressed, round(unnest(re), 6) AS masked_re, round(unnest(im), 6) AS masked_im FROM o""")
+def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    re, im = F.col("clean"), F.col("enh")
+    masked = waves.complex_masked(re, im, F.col("noisy"), F.col("clean"))
+    tail = lambda c: F.slice(c, F.lit(2), F.size("clean"))
+    rows = views.trios(spark, sf_dir).select("key", F.arrays_zip(waves.magnitude(re, im, True, True).alias("m"), tail(waves.compressed(re, im)[0]).alias("c"), tail(masked[0]).alias("re"), tail(masked[1]).alias("im")).alias("z"))
+    flat = rows.select("key", F.posexplode("z").alias("i", "z"))
+    return flat.select("key", "i", F.round("z.m", 6).alias("magnitude"), F.round("z.c", 6).alias("compressed"), F.round("z.re", 6).alias("masked_re"), F.round("z.im", 6).alias("masked_im"))
+
+
+@query("""
+WITH h AS (SELECT event_id AS key, value * 40 AS hz FROM events WHERE value IS NOT NULL), m AS (SELECT key, hz, CASE WHEN hz >= 1000 THEN 15 + ln(hz / 1000) / (ln(6.4) / 27) ELSE hz / (200 / 3.0::DOUBLE) END AS mel FROM h)
+SELECT key, round(mel, 6) AS mel, round(CASE WHEN mel >= 15 THEN 1000 * exp(ln(6.4) / 27 * (mel - 15)) ELSE mel * (200 / 3.0::DOUBLE) END, 4) AS back FROM m""")
+def mel_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.col("event_id").alias("key"), waves.mel(F.col("value") * 40).alias("mel"))
+    return rows.select("key", F.round("mel", 6).alias("mel"), F.round(waves.hertz(F.col("mel")), 4).alias("back"))
+
+
+@query("""
+WITH r AS (SELECT vec_id AS key, label AS y, CAST(embedding AS DOUBLE[])[1:vec_id % 40 + 10] AS w FROM embeddings),
+o AS (SELECT key, unnest(range(32)) AS i, y, w FROM r)
+SELECT key, CAST(i AS INTEGER) AS i, CASE WHEN i < len(w) THEN 1.0::DOUBLE ELSE 0 END AS mask, CASE WHEN i = y THEN 1.0::DOUBLE ELSE 0 END AS hot,
+       round(CASE WHEN len(w) >= 32 THEN w[i + 1] WHEN i < 32 - len(w) THEN 0 ELSE w[i - (32 - len(w)) + 1] END, 6) AS aligned FROM o""")
+def masks_and_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.waves(spark, sf_dir).select("key", "spk", F.slice("w", F.lit(1), (F.col("key") % 40 + 10).cast("int")).alias("w"))
+    z = F.arrays_zip(waves.length_mask(F.size("w"), 32).alias("mask"), waves.one_hot(F.col("spk"), 32).alias("hot"), waves.aligned(F.col("w"), F.array_repeat(F.lit(0.0), 32)).alias("aligned"))
+    flat = rows.select("key", F.posexplode(z).alias("i", "z"))
+    return flat.select("key", "i", "z.mask", "z.hot", F.round("z.aligned", 6).alias("aligned"))
+
+
+@query("""
+WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+f AS (SELECT key, w, unnest(range((len(w) - 16) // 8 + 1)) AS frame FROM v),
+b AS (SELECT key, frame, w, unnest(range(9)) AS bin FROM f)
+SELECT key, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin,
+  round(list_sum([w[frame * 8 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * bin * n / 16) FOR n IN range(16)]), 5) + 0 AS re,
+  round(-list_sum([w[frame * 8 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * bin * n / 16) FOR n IN range(16)]), 5) + 0 AS im FROM b""")
+def short_time_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signal.spectra(views.waves(spark, sf_dir), 16, 8)
+    flat = rows.select("key", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    return flat.select("key", "frame", "bin", (F.round("z.re", 5) + 0.0).alias("re"), (F.round("z.im", 5) + 0.0).alias("im"))
+
+
+@query(_wave_sql("[w[i] FOR i IN range(9, 57)]"))
+def spectra_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveforms from their spectra, without the ends, where windows leave nothing to divide by."""
+    back = signal.waveforms(signal.spectra(views.waves(spark, sf_dir), 16, 8), 16, 8)
+    return long(back.select("key", F.slice("w", 9, 48).alias("x")), "x", "key")
+
+
+@query(f"""WITH {views.TRIOS},
+h AS (SELECT key, clean AS w, [e / sqrt(list_dot_product(noisy, noisy)) FOR e IN noisy] AS h FROM t),
+d AS (SELECT key, w, h, list_position([abs(e) FOR e IN h], list_max([abs(e) FOR e IN h])) - 1 AS delay FROM h),
+o AS (SELECT key, w, h, delay, unnest(range(len(w))) AS i FROM d)
+SELECT key, CAST(i AS INTEGER) AS i, round(list_sum([w[j + 1] * h[i + delay - j + 1] FOR j IN range(len(w)) IF i + delay - j >= 0 AND i + delay - j < len(h)]), 5) + 0 AS x FROM o""")
+def reverberated_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = signal.by_row(views.trios(spark, sf_dir).select("key", "clean", "noisy"), lambda w, h: {"x": kernels.reverberated(np.array(w), np.array(h), 16000)}, "x array<double>", ["clean", "noisy"])
+    return made.select("key", F.posexplode("x").alias("i", "x")).select("key", "i", (F.round("x", 5) + 0.0).alias("x"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH f AS (SELECT user_id AS stream_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, value / (value + 50.0::DOUBLE) AS p FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+m AS (SELECT stream_id, pos, sum(p) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4 AS mean FROM f)
+SELECT stream_id, pos, round(mean, 6) AS mean, (mean > 0.4)::INTEGER AS value FROM m""")
+def streamed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of chunks through stateful smoothing; the sink is a table in the shared folder."""
+    path, out = f"{sf_dir}/events.parquet", shared_folder(spark)
+    # As a pattern, so that the source may be one file too and not a folder of files.
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    p = F.col("value") / (F.col("value") + 50.0)
+    live = source.filter("user_id IS NOT NULL AND value IS NOT NULL").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.array(p).alias("samples"), F.lit(False).alias("eos"))
+    smooth = chunks.streamed(live, lambda: chunks.Smoothing(4, 0.4), chunks.Smoothing.columns)
+    run = smooth.writeStream.format("parquet").option("path", f"{out}/labels").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(smooth.schema).parquet(f"{out}/labels").withColumn("mean", F.round("mean", 6))

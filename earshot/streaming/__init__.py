@@ -1 +1 @@
-
+"""Stateful jobs over live chunks."""
