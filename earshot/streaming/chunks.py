@@ -142,6 +142,19 @@ def _advance(make, kept: tuple | None, pdf: pd.DataFrame) -> tuple[list[tuple],
     return rows, kept
 
 
+def _packed(kept: tuple) -> bytes:
+    """The state of a stream as bytes: what a processor remembers, without its functions."""
+    last, dropped, processor = kept
+    return pickle.dumps((last, dropped, {k: v for k, v in vars(processor).items() if not callable(v)}))
+
+
+def _revived(make, data: bytes) -> tuple:
+    last, dropped, memory = pickle.loads(data)
+    processor = make()
+    vars(processor).update(memory)
+    return last, dropped, processor
+
+
 def _frame(key, rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame([(key, *r) for r in rows], columns=["stream_id", *names])
 
@@ -155,7 +168,7 @@ def streamed(chunks: DataFrame, make: Callable[[], object], columns: str, idle_m
     schema, names = _schema(chunks, columns)
 
     def work(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        kept = pickle.loads(state.get[0]) if state.exists else None
+        kept = _revived(make, state.get[0]) if state.exists else None
         if state.hasTimedOut:
             state.remove()
             yield _frame(key[0], kept[2].finish() if kept else [], names)
@@ -166,7 +179,7 @@ def streamed(chunks: DataFrame, make: Callable[[], object], columns: str, idle_m
             if state.exists:
                 state.remove()
         else:
-            state.update((pickle.dumps(kept),))
+            state.update((_packed(kept),))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
         if rows:
