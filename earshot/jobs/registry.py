@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from earshot.functions import kernels, signal, waves
 from earshot.functions.draws import uniform, whole
-from earshot.jobs import views
+from earshot.jobs import augment, datasets, views
 from earshot.jobs.reports import SCORES, activity_report
-from earshot.operators import embeddings, manifests, picks, scores, sequences
+from earshot.operators import embeddings, manifests, picks, scores, sequences, spectral
 from earshot.sources.store import shared_folder
 from earshot.streaming import chunks
 
@@ -567,6 +567,92 @@ def reverberated_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("key", F.posexplode("x").alias("i", "x")).select("key", "i", (F.round("x", 5) + 0.0).alias("x"))
 
 
+def _resampled(w, factor: float):
+    return {"x": kernels.changed_speed(np.array(w), factor)}
+
+
+@query()
+def speed_changed_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wave at a drawn speed, pitch included."""
+    rows = views.waves(spark, sf_dir).select("key", "w", uniform(F.col("key"), "speed", low=0.9, high=1.1).alias("factor"))
+    made = signal.by_row(rows, _resampled, "x array<double>", ["w", "factor"])
+    return made.select("key", "factor", F.size("x").alias("n"), F.posexplode("x").alias("i", "x"))
+
+
+@query()
+def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mel bands of short frames."""
+    made = signal.mels(views.waves(spark, sf_dir).select("key", "w"), 16000, 32, 16, 6)
+    return made.select("key", F.posexplode("mel").alias("frame", "bands"))
+
+
+@query()
+def notched_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wave without a drawn band of 500 Hz."""
+    rows = views.waves(spark, sf_dir).select("key", "w", uniform(F.col("key"), "notch", low=500, high=7000).alias("cutoff"))
+    return signal.by_row(rows, lambda w, c: {"x": kernels.without_band(np.array(w), 16000, c, 500.0, 31)}, "x array<double>", ["w", "cutoff"]).drop("w")
+
+
+def _long_waves(spark, sf_dir) -> DataFrame:
+    """One long waveform for each speaker: its trios one after another."""
+    rows = views.trios(spark, sf_dir)
+    joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("key", c))), lambda s: s[c])).alias(c)
+    return rows.groupBy(F.col("spk").alias("speaker")).agg(joined("clean"), joined("noisy"), joined("enh"))
+
+
+@query()
+def spectral_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.spectral_losses(_long_waves(spark, sf_dir).select("speaker", "enh", "clean")).drop("enh", "clean")
+
+
+@query()
+def spectral_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.corpus_convergence(spectral_losses(spark, sf_dir))
+
+
+def _pool(spark, sf_dir) -> DataFrame:
+    return views.waves(spark, sf_dir).select(F.col("key").alias("idx"), "w")
+
+
+@query()
+def enhancement_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Augmented pairs for enhancement: speed, room, noise, response by chance, cut to 48 samples."""
+    pairs = views.trios(spark, sf_dir).select("key", F.col("noisy").alias("w"), "clean")
+    return datasets.enhancement_set(pairs, _pool(spark, sf_dir), _pool(spark, sf_dir), samples=48).drop("w", "clean")
+
+
+@query()
+def extraction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Augmented rows for target-speaker extraction, some of them inactive or of a single speaker."""
+    t = views.trios(spark, sf_dir)
+    name = F.col("spk").cast("string")
+    rows = t.select("key", F.col("key").alias("idx"), name.alias("spk"), F.concat_ws("-", name, (F.col("spk") + 1).cast("string")).alias("all_spks"), F.col("noisy").alias("w"), "clean")
+    clips = t.select("key", F.col("enh").alias("enroll"))
+    return datasets.extraction_set(rows, clips, single=0.2, inactive=0.2, noises=_pool(spark, sf_dir), chances=augment.TSE, sample_rate=16).drop("w", "clean")
+
+
+@query()
+def distance_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Augmented rows for distance separation; every fifth has a silent far side."""
+    silent = F.transform("enh", lambda _: F.lit(0.0))
+    rows = views.trios(spark, sf_dir).select("key", F.col("noisy").alias("w"), F.col("clean").alias("near"), F.when(F.col("key") % 5 == 0, silent).otherwise(F.col("enh")).alias("far"))
+    return datasets.distance_set(rows, _pool(spark, sf_dir), sample_rate=16).drop("w")
+
+
+@query()
+def chunk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves as chunks of a stream for each speaker, cut into overlapping frames."""
+    rows = views.waves(spark, sf_dir).select(F.col("spk").alias("stream_id"), F.col("key").alias("seq"), F.col("w").alias("samples"), F.lit(False).alias("eos"))
+    return chunks.batched(rows, lambda: chunks.Hops(16), chunks.Hops.columns)
+
+
+@query()
+def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those frames put together again, where two overlap by their mean."""
+    frames = chunk_frames(spark, sf_dir).select("stream_id", F.col("frame").alias("seq"), "samples", F.lit(False).alias("eos"))
+    return chunks.batched(frames, lambda: chunks.OverlapAdd(32, 16), chunks.OverlapAdd.columns)
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 import pytest
 
 from earshot.jobs import registry
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -14,3 +15,19 @@ def test_entry_points(spark):
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(registry.QUERIES) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
+def test_query_without_sql_has_rows(name, spark):
+    assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_frames_come_back(spark):
+    """Overlap-add of frames whose overlaps agree gives the samples themselves."""
+    waves = {}
+    for r in registry.views.waves(spark, SF).orderBy("key").collect():
+        waves.setdefault(r["spk"], []).extend(r["w"])
+    got = {}
+    for r in registry.overlap_added(spark, SF).orderBy("start").collect():
+        got.setdefault(r["stream_id"], []).extend(r["samples"])
+    assert all(got[k] == pytest.approx(w[: len(got[k])]) and len(w) - len(got[k]) == 16 for k, w in waves.items())
