@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, stored
 
 
 @dataclass(frozen=True)
@@ -46,15 +46,14 @@ def _scan(blobs: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
     def pieces(order: int, rule: Rule):
         # Between the matches lie the pieces of a split; lengths of both add up to the matches' places.
         hits = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
-        ends = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))
+        gaps = F.transform(F.slice(F.split("text", rule.pattern, -1), 1, F.size(hits)), F.length)
+        lengths = F.arrays_zip(gaps.alias("gap"), F.transform(hits, F.length).alias("hit"))
+        tails = F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)), F.length)
         rows = F.zip_with(
-            F.arrays_zip(F.transform(F.slice(F.split("text", rule.pattern, -1), 1, F.size(hits)), F.length).alias("gap"), F.transform(hits, F.length).alias("hit")),
-            F.transform(ends, F.length),
-            lambda x, least: F.struct(F.lit(rule.kind).alias("kind"), F.lit(order).alias("kind_order"), x[x_gap].alias("gap"), x[x_hit].alias("hit"), (least >= rule.least).alias("good")),
+            lengths, tails, lambda x, tail: F.struct(F.lit(rule.kind).alias("kind"), F.lit(order).alias("kind_order"), x["gap"].alias("gap"), x["hit"].alias("hit"), (tail >= rule.least).alias("good"))
         )
         return F.when(F.col("text").rlike(rule.pattern), rows).otherwise(F.array().cast(FOUND))
 
-    x_gap, x_hit = "gap", "hit"
     scanned = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(-1).alias("kind_order"), F.lit(0).alias("gap"), F.lit(0).alias("hit"), F.lit(True).alias("good"))).cast(FOUND)
     found = blobs.select("blob", F.posexplode(F.concat(scanned, *(pieces(i, r) for i, r in enumerate(rules)))).alias("at", "found")).select("blob", "at", "found.*")
     so_far = "sum(gap + hit) OVER (PARTITION BY blob, kind_order ORDER BY at)"
@@ -108,7 +107,7 @@ def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame
     added = [f"n_{r.kind}" for r in RULES] + ["secret_spans"]
     kept = [c for c in docs.columns if c not in added]
     paths = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), content_address(F.col("text")).alias("blob"))
-    joined = paths.join(findings_by_blob(ledger), "blob", "left")
+    joined = paths.join(stored(findings_by_blob(ledger), "by_blob"), "blob", "left")
     return joined.select("row.*", *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in RULES), F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind_order:int,kind:string,end:bigint>>")).alias("secret_spans"))
 
 
@@ -134,7 +133,8 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ledger = scan_versions(docs, f"{shared_folder(spark)}/ledger")
-    found = findings_by_blob(ledger).withColumn("spans", spans_text(F.col("spans")))
+    # Stored, so that the join can split a blob that very many paths share.
+    found = stored(findings_by_blob(ledger).withColumn("spans", spans_text(F.col("spans"))), "by_blob")
     paths = docs.select("doc_id", content_address(F.col("text")).alias("blob"))
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in RULES]
     spans = F.coalesce("spans", F.lit(""))
