@@ -18,7 +18,7 @@ def prepared(mixed: DataFrame, utts: DataFrame, n_enroll: int = 5, seed: int = 0
     own = utts.select(F.col("uttid").alias("utt"), F.col("spkid").alias("spk"), F.lit(False).alias("unknown")).distinct()
     picked = enrollments(rows.select("key", "utt", "spk"), utts.select("uttid", F.col("spkid").alias("spk")), n_enroll, seed)
     paths = picked.select("key", F.posexplode("enroll").alias("pos", "uttid")).join(utts.select("uttid", "path").dropDuplicates(["uttid"]), "uttid")
-    lists = paths.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("enroll_paths"))
+    lists = paths.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("enroll_paths"))
     out = rows.join(picked.select("key", "short_pool"), "key").join(lists, "key", "left").join(own, ["utt", "spk"], "left")
     return out.withColumns({"unknown": F.coalesce("unknown", F.lit(True)), "enroll_paths": F.coalesce("enroll_paths", F.array().cast("array<string>"))})
 

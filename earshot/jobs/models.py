@@ -19,7 +19,7 @@ def enhanced(rows: DataFrame, model: Callable[..., np.ndarray], columns: list[st
 
 def extracted(mixtures: DataFrame, clips: DataFrame, model: Callable[[np.ndarray, np.ndarray], np.ndarray], level_db: float = -28.0) -> DataFrame:
     """Target-speaker extraction: each mixture (key, w) with all its enrollment clips (key, pos, w), each at a level, one after another."""
-    order = F.array_sort(F.collect_list(F.struct("pos", "w")))
+    order = F.sort_array(F.collect_list(F.struct("pos", "w")))
     joined = clips.withColumn("w", rescaled(F.col("w"), level_db, "avg", "dB")).groupBy("key").agg(F.flatten(F.transform(order, lambda c: c["w"])).alias("enroll"))
     return enhanced(mixtures.join(joined, "key"), model, ["w", "enroll"])
 

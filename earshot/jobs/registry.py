@@ -596,7 +596,7 @@ def notched_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _long_waves(spark, sf_dir) -> DataFrame:
     """One long waveform for each speaker: its trios one after another."""
     rows = views.trios(spark, sf_dir)
-    joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("key", c))), lambda s: s[c])).alias(c)
+    joined = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("key", c))), lambda s: s[c])).alias(c)
     return rows.groupBy(F.col("spk").alias("speaker")).agg(joined("clean"), joined("noisy"), joined("enh"))
 
 

@@ -19,7 +19,7 @@ def vector_sums(rows: DataFrame, by: str = "spk", v: str = "dvec") -> DataFrame:
     """(by, n, sums): componentwise sums by group, with partial sums before the shuffle."""
     long = rows.select(by, F.posexplode(v).alias("d", "x"))
     sums = long.groupBy(by, "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    return sums.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("sums"))
+    return sums.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("sums"))
 
 
 def centroids(rows: DataFrame, by: str = "spk", v: str = "dvec") -> DataFrame:

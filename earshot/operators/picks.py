@@ -16,7 +16,7 @@ def enrollments(targets: DataFrame, utts: DataFrame, n: int = 5, seed: int = 0)
     others gives what there is, flagged.
     """
     pools = utts.groupBy("spk").agg(F.collect_set(F.col("uttid").cast("string")).alias("pool"))
-    ranked = F.array_sort(F.transform(F.filter("pool", lambda u: u != F.col("utt").cast("string")), lambda u: F.struct(ticket(F.concat_ws("/", F.col("key"), u), "enroll", seed).alias("t"), u.alias("u"))))
+    ranked = F.sort_array(F.transform(F.filter("pool", lambda u: u != F.col("utt").cast("string")), lambda u: F.struct(ticket(F.concat_ws("/", F.col("key"), u), "enroll", seed).alias("t"), u.alias("u"))))
     rows = targets.join(pools, "spk", "left").select("key", "spk", F.coalesce(F.transform(F.slice(ranked, 1, n), lambda s: s["u"]), F.array().cast("array<string>")).alias("enroll"))
     return rows.withColumn("short_pool", F.size("enroll") < n)
 
@@ -37,7 +37,7 @@ def by_length(pools: DataFrame, mode: str, seed: int = 0) -> DataFrame:
 
 def joined_clips(clips: DataFrame, least: float | None = None) -> DataFrame:
     """(key, utts, seconds): clips (key, pos, utt, seconds) one after another; with ``least``, only as many from the start as it takes to exceed it."""
-    own = F.array_sort(F.collect_list(F.struct("pos", "utt", "seconds")))
+    own = F.sort_array(F.collect_list(F.struct("pos", "utt", "seconds")))
     rows = clips.groupBy("key").agg(own.alias("c"))
     if least is not None:
         # A clip stays while what comes before it is not yet longer than the least.
@@ -71,7 +71,7 @@ def interferers(rows: DataFrame, tries: int = 8, seed: int = 0) -> DataFrame:
     allowed = asked.join(own, "other_idx").filter(~F.array_contains(F.split("all_spks", "-"), F.col("other_spk").cast("string")))
     first = allowed.groupBy("key").agg(F.min_by(F.struct("other_idx", "other_spk"), "nth").alias("o")).select("key", "o.*")
     speakers = rows.groupBy(F.col("spk").cast("string").alias("s")).agg(F.min("idx").alias("i"))
-    everyone = speakers.agg(F.array_sort(F.collect_list(F.struct("s", "i"))).alias("__all"))
+    everyone = speakers.agg(F.sort_array(F.collect_list(F.struct("s", "i"))).alias("__all"))
     rest = rows.join(first, "key", "left_anti").crossJoin(F.broadcast(everyone))
     free = F.filter("__all", lambda x: ~F.array_contains(F.split("all_spks", "-"), x["s"]))
     best = F.array_min(F.transform(free, lambda x: F.struct(ticket(F.concat_ws("/", F.col("key"), x["s"]), "other", seed).alias("t"), x["s"].alias("s"), x["i"].alias("i"))))
@@ -100,8 +100,8 @@ def speaker_batches(utts: DataFrame, batches: int, speakers: int, each: int, see
     size is that of the speaker list; utterances join only the speakers drawn.
     """
     pools = utts.groupBy("spk").agg(F.collect_set(F.col("uttid").cast("string")).alias("pool")).filter(F.size("pool") >= each)
-    names = pools.agg(F.array_sort(F.collect_list(F.col("spk").cast("string"))).alias("names"))
-    ranked = lambda a, key, salt, n: F.slice(F.array_sort(F.transform(a, lambda x: F.struct(ticket(F.concat_ws("/", key, x), salt, seed).alias("t"), x.alias("x")))), 1, n)
+    names = pools.agg(F.sort_array(F.collect_list(F.col("spk").cast("string"))).alias("names"))
+    ranked = lambda a, key, salt, n: F.slice(F.sort_array(F.transform(a, lambda x: F.struct(ticket(F.concat_ws("/", key, x), salt, seed).alias("t"), x.alias("x")))), 1, n)
     drawn = utts.sparkSession.range(batches).select(F.col("id").alias("batch")).crossJoin(F.broadcast(names))
     drawn = drawn.select("batch", F.explode(ranked(F.col("names"), F.col("batch").cast("string"), "speaker", speakers)).alias("s")).select("batch", F.col("s.x").alias("spk"))
     joined = drawn.join(pools.select(F.col("spk").cast("string").alias("spk"), "pool"), "spk")
