@@ -1,12 +1,12 @@
-"""What the text operators share: where tables that cut lineage go, and how texts split into words."""
+"""What the text operators share: stored tables, and how texts split into words and words into hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+
+from earshot.sources.store import shared_folder, stored  # noqa: F401
 
 #: The bytes that separate words (space, tab, line feed, vertical tab, form feed, carriage return).
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -15,25 +15,6 @@ _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session has no such setting (tests on one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/earshot-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: later steps neither recompute it nor lose it with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in an array of bytes."""
     inside = np.empty(len(data) + 2, bool)
@@ -75,10 +56,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 _PIECE = 1 << 19
 
 
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    return powers(_BASE, _PIECE), powers(_INVERSE, _PIECE)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word from running sums over the bytes, with no loop over words; works in pieces to stay in cache."""
     out = np.empty(len(starts), np.uint64)
-    up, down = powers(_BASE, _PIECE), powers(_INVERSE, _PIECE)
+    up, down = _tables()
     at = 0
     with np.errstate(over="ignore"):
         while at < len(starts):
