@@ -14,13 +14,15 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then the label's own label, so paths
     shrink by more than half. Links with a null end and loops add nothing. Each round's labels are a stored table.
     """
-    both = stored(links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")).distinct(), "links")
+    ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = stored(links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(ways).select("way.*").distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), "labels")
     for _ in range(rounds):
         heard = both.join(labels.select(F.col("id").alias("a"), "component"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("heard"))
         near = stored(labels.join(heard, "id", "left").select("id", "component", F.least("component", "heard").alias("next")), "near")
         far = near.select(F.col("id").alias("next"), F.col("next").alias("further"))
-        labels = stored(near.join(far, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("component"), (F.least("next", F.coalesce("further", "next")) < F.col("component")).alias("moved")), "labels")
+        least = F.least("next", F.coalesce("further", "next"))
+        labels = stored(near.join(far, "next", "left").select("id", least.alias("component"), (least < F.col("component")).alias("moved")), "labels")
         if labels.filter("moved").isEmpty():
             return labels.select("id", "component")
         labels = labels.select("id", "component")
