@@ -25,6 +25,8 @@ RUN = 4
 #: Bytes of text that a task works on at a time, and of packed strings that a bucket should hold.
 CHUNK = 8_000_000
 BUCKETS_PER_PARTITION = 4
+#: Compression of what travels.
+LEVEL = 6
 NULL_ID = -(2**63)
 
 _ROUTED = "bucket int, packed binary"
@@ -164,7 +166,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
     buckets = buckets or partitions * BUCKETS_PER_PARTITION
 
     def send(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for n, rows in enumerate(_chunks(batches)):
             ids, prints, texts = zip(*rows)
             here = Passages(ids, prints, np.zeros(len(ids), np.int64), list(texts), window)
@@ -218,14 +220,25 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, buckets: int | None
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("id")).withColumn("print", F.xxhash64("text"))
     found = repeated_intervals(keyed, window, buckets).groupBy("id", "print").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    joined = keyed.join(found.hint("shuffle_hash"), ["id", "print"], "left").select("doc_id", "text", F.col("cuts.start").alias("starts"), F.col("cuts.stop").alias("stops"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def squeeze(batches):
+        # Texts cross the shuffle compressed: they are most of what this operator moves.
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [small.compress(t.encode()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(packed, pa.binary())], ["doc_id", "id", "print", "packed"])
+
+    texts = keyed.select("doc_id", "id", "print", "text").mapInArrow(squeeze, f"doc_id {kind}, id bigint, print bigint, packed binary")
+    joined = texts.join(found.hint("shuffle_hash"), ["id", "print"], "left").select("doc_id", "packed", F.col("cuts.start").alias("starts"), F.col("cuts.stop").alias("stops"))
 
     def cut(batches):
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             docs, texts, starts, stops = (batch.column(i) for i in range(4))
             n_words, n_removed, kept = [], [], []
-            for text, a, b in zip(texts.to_pylist(), starts.to_pylist(), stops.to_pylist()):
-                words = text.encode().split()
+            for text, a, b in zip(texts, starts.to_pylist(), stops.to_pylist()):
+                words = expand.decompress(text.as_py()).split()
                 n_words.append(len(words))
                 if a:
                     change = np.bincount(a, minlength=len(words) + 1) - np.bincount(b, minlength=len(words) + 1)
@@ -235,7 +248,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, buckets: int | None
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([docs, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_text string")
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
