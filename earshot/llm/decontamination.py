@@ -5,8 +5,8 @@ moves on or stays by a random bit of that word and step. Several walks, each wit
 its output, make keys; a window of a document about as long as an item is a candidate if it shares a key with it, and
 word edit distance decides exactly.
 
-Two bitmaps of fixed size keep the search cheap without losing anything: one of the items' words (a window within
-reach of an item has nearly all its words from there) and one of the items' keys.
+Three bitmaps of fixed size keep the search cheap without losing anything: of the items' words and pairs of adjacent
+words (k edits leave all but k words and all but 2 k pairs of a window in place) and of the items' keys.
 """
 
 from __future__ import annotations
@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, stored, word_hashes
+from .common import mix, rolling, stored, word_hashes
 
 #: An item of n words is found where a window of n words is at most this share of n edits away.
 EDITS = 0.2
 #: Walks, samples of each walk, places of a sample.
-WALKS, SAMPLES, PLACES = 12, 4, 3
+WALKS, SAMPLES, PLACES = 8, 6, 4
 #: Window lengths grow by this factor; an item belongs to the longest not above its own length.
 GROWTH = 1.15
-WORD_BITS, KEY_BITS = 23, 24
+WORD_BITS, PAIR_BITS, KEY_BITS = 23, 24, 24
+#: Up to so many item keys, the table of keys and items is sent to all tasks; beyond, it is joined by a shuffle.
+SENT_KEYS = 500_000
 CHUNK = 4_000_000
 SLAB = 20_000
 SEED = 5
@@ -72,6 +74,12 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def may_match(item: list, window: list) -> bool:
+    """Every edit takes at most one word of the item away, so nearly all must be in the window."""
+    there = set(window)
+    return sum([w in there for w in item]) >= len(item) - allowed(len(item))
+
+
 def walk_keys(windows: np.ndarray, size: int) -> np.ndarray:
     """Keys of windows of word hashes (rows; 0 where a document ends), one column for each walk and sample.
 
@@ -113,7 +121,7 @@ def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
 
 
 def _item_keys(items: DataFrame) -> DataFrame:
-    """(item_id, size, n, words, hashes, keys) of the items that have words."""
+    """(item_id, size, n, words, hashes, pairs, keys) of the items that have words."""
 
     def work(batches):
         for batch in batches:
@@ -125,12 +133,12 @@ def _item_keys(items: DataFrame) -> DataFrame:
                 size = sizes_up_to(len(low))[-1]
                 hashes = word_hashes(np.frombuffer(data, np.uint8), low, high)
                 keys = walk_keys(hashes[None, :size], size)[0]
-                rows.append((item, size, len(low), [data[a:b].decode() for a, b in zip(low, high)], hashes.view(np.int64).tolist(), keys.view(np.int64).tolist()))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "size", "n", "words", "hashes", "keys"])
+                rows.append((item, size, len(low), [data[a:b].decode() for a, b in zip(low, high)], *(x.view(np.int64).tolist() for x in (hashes, rolling(hashes, 2), keys))))
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "size", "n", "words", "hashes", "pairs", "keys"])
 
-    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(work, "item_id bigint, size int, n int, words array<string>, hashes array<bigint>, keys array<bigint>")
+    return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(work, "item_id bigint, size int, n int, words array<string>, hashes array<bigint>, pairs array<bigint>, keys array<bigint>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -142,50 +150,62 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     known = stored(_item_keys(items), "items")
     spread = [(r["size"], r["longest"]) for r in known.groupBy("size").agg(F.max("n").alias("longest")).orderBy("size").collect()]
-    schema = "doc_id bigint, start int, key bigint, around array<string>"
     if not spread:
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).limit(0).select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0).alias("edits"), F.lit(0).alias("start_word"))
-    slot = lambda c, bits: F.col(c).bitwiseAND((1 << bits) - 1).alias("slot")
     spark = docs.sparkSession
-    maps = spark.sparkContext.broadcast((np.packbits(bitmap(known.select(F.explode("hashes").alias("h")).select(slot("h", WORD_BITS)), WORD_BITS)), np.packbits(bitmap(known.select(F.explode("keys").alias("k")).select(slot("k", KEY_BITS)), KEY_BITS))))
+
+    def packed(column: str, bits: int) -> np.ndarray:
+        return np.packbits(bitmap(known.select(F.explode(column).alias("x")).select(F.col("x").bitwiseAND((1 << bits) - 1).alias("slot")), bits))
+
+    maps = spark.sparkContext.broadcast((packed("hashes", WORD_BITS), packed("pairs", PAIR_BITS), packed("keys", KEY_BITS)))
 
     def search(batches):
-        vocabulary, keys_known = (np.unpackbits(m).astype(bool) for m in maps.value)
+        words_known, pairs_known, keys_known = (np.unpackbits(m).astype(bool) for m in maps.value)
+        marked = lambda known, x, bits: known[(x & np.uint64((1 << bits) - 1)).astype(np.int64)]
         for ids, texts in _chunks(batches):
             low, high, data, first, last = _joined(texts)
             hashes = word_hashes(np.frombuffer(data, np.uint8), low, high)
-            inside = np.cumsum(np.r_[0, vocabulary[(hashes & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)]])
+            words = np.cumsum(np.r_[0, marked(words_known, hashes, WORD_BITS)])
+            pairs = np.cumsum(np.r_[0, marked(pairs_known, rolling(hashes, 2), PAIR_BITS), 0])
             owner = np.repeat(np.arange(len(texts)), last - first)
             out: list[tuple] = []
             for size, longest in spread:
                 # The window may end with its text, if what is left can still be within reach.
                 at = np.arange(len(hashes))
                 stop = np.minimum(at + size, last[owner])
-                at = at[inside[stop] - inside[at] >= max(size - allowed(longest), 1)]
+                most = allowed(longest)
+                at = at[(words[stop] - words[at] >= max(size - most, 1)) & (pairs[stop - 1] - pairs[at] >= size - 1 - 2 * most)]
                 for a in range(0, len(at), SLAB):
                     some = at[a : a + SLAB]
                     place = some[:, None] + np.arange(size)
                     short = place >= last[owner[some]][:, None]
-                    windows = np.where(short, np.uint64(0), hashes[np.minimum(place, len(hashes) - 1)])
-                    keys = walk_keys(windows, size)
-                    r, c = np.nonzero(keys_known[(keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)])
-                    for k, start in zip(keys[r, c].view(np.int64).tolist(), some[r].tolist()):
+                    keys = walk_keys(np.where(short, np.uint64(0), hashes[np.minimum(place, len(hashes) - 1)]), size)
+                    hit = marked(keys_known, keys, KEY_BITS)
+                    for k in np.flatnonzero(hit.any(1)).tolist():
+                        start = int(some[k])
                         end = min(start + longest, int(last[owner[start]]))
-                        out.append((ids[owner[start]], start - int(first[owner[start]]), k, start, end))
-            around = [[data[x:y].decode() for x, y in zip(low[s:e].tolist(), high[s:e].tolist())] for *_, s, e in out]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64()), pa.array(around, pa.list_(pa.string()))], ["doc_id", "start", "key", "around"])
+                        around = [data[x:y].decode() for x, y in zip(low[start:end].tolist(), high[start:end].tolist())]
+                        out.append((ids[owner[start]], start - int(first[owner[start]]), around, keys[k, hit[k]].view(np.int64).tolist()))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["doc_id", "start", "around", "keys"])
 
     def verify(batches):
         for batch in batches:
             doc, item, start, around, words = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "start", "around", "words"))
-            edits = [edit_distance(w, a[: len(w)], allowed(len(w))) for w, a in zip(words, around)]
+            edits = [edit_distance(w, a[: len(w)], allowed(len(w))) if may_match(w, a[: len(w)]) else len(w) for w, a in zip(words, around)]
             good = [k for k, (e, w) in enumerate(zip(edits, words)) if e <= allowed(len(w))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in good], t) for x, t in ((doc, pa.int64()), (item, pa.int64()), (edits, pa.int32()), (start, pa.int32()))], ["doc_id", "item_id", "edits", "start_word"])
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(search, schema)
-    keyed = known.select("item_id", "words", F.explode("keys").alias("key"))
-    pairs = found.join(keyed, "key").groupBy("doc_id", "item_id", "start").agg(F.any_value("around").alias("around"), F.any_value("words").alias("words"))
-    sure = pairs.mapInArrow(verify, "doc_id bigint, item_id bigint, edits int, start_word int")
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    windows = stored(read.mapInArrow(search, "doc_id bigint, start int, around array<string>, keys array<bigint>").withColumn("print", F.xxhash64("around")), "windows")
+    small = known.count() * WALKS * SAMPLES <= SENT_KEYS
+    sent = F.broadcast if small else (lambda df: df)
+    place = ["doc_id", "start", "print"]
+    met = windows.select(*place, F.explode("keys").alias("key")).join(sent(known.select("item_id", F.explode("keys").alias("key"))), "key").select(*place, "item_id").distinct()
+    items_words = known.select("item_id", "words").dropDuplicates(["item_id", "words"])
+    same = windows.select(*(F.col(c).alias(f"w_{c}") for c in place), "around").dropDuplicates([f"w_{c}" for c in place])
+    at = [F.col("doc_id").eqNullSafe(F.col("w_doc_id")), F.col("start") == F.col("w_start"), F.col("print") == F.col("w_print")]
+    sure = met.join(same, at).join(sent(items_words), "item_id").select("doc_id", "item_id", "start", "around", "words").mapInArrow(verify, "doc_id bigint, item_id bigint, edits int, start_word int")
     return sure.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word")).alias("best")).select("doc_id", "item_id", "best.edits", "best.start_word")
 
 
