@@ -22,12 +22,14 @@ def _by_place(docs: DataFrame) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score is below ``quality.ACCEPT`` go; without labels to learn from, none goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(quality.remainder(F.col("doc_id")) != 2).select("doc_id", F.col("quality").alias("good"))
-    stats = stored(quality.with_statistics(_by_place(docs).select("doc_id", "__print", "text")), "statistics")
+    stats = stored(quality.with_statistics(docs.select("doc_id", "text")), "statistics")
     model = quality.fit(stats, labels)
     if len(model.points[0]) == 1 and not model.weights.any():
         return docs
-    rejected = stored(quality.scored(stats, model).filter("predicted = 0").select("doc_id", "__print").distinct(), "rejected")
-    return _left_out(docs, rejected, ["doc_id", "__print"])
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns))
+    good = quality.scored_texts(renamed, model).filter("predicted = 1")
+    return good.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

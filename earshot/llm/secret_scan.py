@@ -106,9 +106,17 @@ def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame
     ledger = scan_versions(docs, ledger_path or f"{shared_folder(spark)}/ledger")
     added = [f"n_{r.kind}" for r in RULES] + ["secret_spans"]
     kept = [c for c in docs.columns if c not in added]
-    paths = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), content_address(F.col("text")).alias("blob"))
+    any_rule = F.lit(False)
+    for r in RULES:
+        any_rule = any_rule | F.coalesce(F.col("text").rlike(r.pattern), F.lit(False))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("text"))
+    # A text that no pattern matches has no findings: only the others meet the ledger, and few texts cross the shuffle.
+    paths = rows.filter(any_rule).select("row", content_address(F.col("text")).alias("blob"))
     joined = paths.join(stored(findings_by_blob(ledger), "by_blob"), "blob", "left")
-    return joined.select("row.*", *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in RULES), F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind_order:int,kind:string,end:bigint>>")).alias("secret_spans"))
+    none = F.array().cast("array<struct<start:bigint,kind_order:int,kind:string,end:bigint>>")
+    hit = joined.select("row.*", *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in RULES), F.coalesce("spans", none).alias("secret_spans"))
+    clean = rows.filter(~any_rule).select("row.*", *(F.lit(0).cast("bigint").alias(f"n_{r.kind}") for r in RULES), none.alias("secret_spans"))
+    return hit.unionByName(clean)
 
 
 def spans_text(spans):
