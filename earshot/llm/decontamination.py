@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import mix, rolling, stored, word_hashes
 
-#: An item of n words is found where a window of n words is at most this share of n edits away.
+#: An item of n words is found where a stretch of words is at most this share of n edits away.
 EDITS = 0.2
 #: Walks, samples of each walk, places of a sample.
 WALKS, SAMPLES, PLACES = 8, 6, 4
+#: The places of a sample are drawn from so many steps in a row.
+SPAN = 12
 #: Window lengths grow by this factor; an item belongs to the longest not above its own length.
 GROWTH = 1.15
 WORD_BITS, PAIR_BITS, KEY_BITS = 23, 24, 24
@@ -74,6 +76,37 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def closest(items: np.ndarray, around: np.ndarray, there: np.ndarray, free: bool) -> np.ndarray:
+    """For rows of an item's n words and the words from a place on (as numbers; -1 beyond the ``there`` ones given):
+    the word edit distance of the item to all of them, or with ``free`` the smallest one to any stretch that begins there."""
+    at = np.arange(around.shape[1] + 1, dtype=np.int32)
+    row = np.tile(at, (len(items), 1))
+    for i in range(items.shape[1]):
+        new = row + 1
+        np.minimum(new[:, 1:], row[:, :-1] + (around != items[:, i : i + 1]), out=new[:, 1:])
+        row = np.minimum.accumulate(new - at, 1) + at
+    return row.min(1) if free else row[np.arange(len(row)), there]
+
+
+def closest_edits(items: list[list], around: list[list], free: bool) -> list[int]:
+    """The distance of each item to the closest stretch at the start of its words, n + 1 if more than allowed for n words."""
+    code: dict = {}
+    out = np.array([len(w) + 1 for w in items], np.int32)
+    alike: dict[int, list[int]] = {}
+    for k, (w, a) in enumerate(zip(items, around)):
+        if may_match(w, a[: len(w) + free * allowed(len(w))]):
+            alike.setdefault(len(w), []).append(k)
+    number = lambda words: [code.setdefault(w, len(code)) for w in words]
+    for n, rows in alike.items():
+        reach = n + free * allowed(n)
+        for b in range(0, len(rows), 2000):
+            some = rows[b : b + 2000]
+            near = [number(around[k][:reach]) for k in some]
+            found = closest(np.array([number(items[k]) for k in some]), np.array([x + [-1] * (reach - len(x)) for x in near]), np.array([len(x) for x in near]), free)
+            out[some] = np.where(found <= allowed(n), found, n + 1)
+    return out.tolist()
+
+
 def may_match(item: list, window: list) -> bool:
     """Every edit takes at most one word of the item away, so nearly all must be in the window."""
     there = set(window)
@@ -83,12 +116,17 @@ def may_match(item: list, window: list) -> bool:
 def walk_keys(windows: np.ndarray, size: int) -> np.ndarray:
     """Keys of windows of word hashes (rows; 0 where a document ends), one column for each walk and sample.
 
-    Places are sampled from the first 2 * size steps: a walk moves at every second step on average, so later ones say
-    little. The draws depend on the size alone, so that items and documents agree.
+    A walk moves at every second step on average, so 2 * size steps cover the window; a stretch with words dropped
+    covers the first 1 - EDITS of them. The places of a sample stand within SPAN steps of each other: after an
+    insertion or deletion walks agree in spells, and places far apart seldom fall into one. The draws depend on the
+    size alone, so that items and documents agree.
     """
     rng = np.random.default_rng([SEED, size])
     steps = 2 * size
-    places = np.sort(rng.integers(0, steps, (WALKS, SAMPLES, PLACES)), 2)
+    reach = max(int((1 - EDITS) * steps), 1)
+    span = min(SPAN, reach)
+    first = rng.integers(0, reach - span + 1, (WALKS, SAMPLES, 1))
+    places = np.sort(first + rng.random((WALKS, SAMPLES, span)).argsort(2)[:, :, :PLACES], 2)
     salts = rng.integers(1, 2**63, (WALKS, steps), dtype=np.uint64)
     padded = np.hstack([windows, np.zeros((len(windows), 1), np.uint64)])
     row = np.arange(len(windows))
@@ -141,11 +179,12 @@ def _item_keys(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(work, "item_id bigint, size int, n int, words array<string>, hashes array<bigint>, pairs array<bigint>, keys array<bigint>")
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, free: bool = False) -> DataFrame:
     """(doc_id, item_id, edits, start_word): the best place of each item in each row's text, for items found in it.
 
-    An item of n words is in a text if a stretch of n words (fewer at the text's end) is at most EDITS * n word edits
-    away; of equally good places the first counts. Case and punctuation do not matter. Null or wordless texts and
+    With ``free``, an item of n words is in a text if a stretch of any length (by that, n - EDITS * n to n + EDITS * n
+    words) is at most EDITS * n word edits away; without, if a stretch of n words (fewer at the text's end) is, so that
+    each net word added or dropped costs two edits. Of equally good places the first counts. Case and punctuation do not matter. Null or wordless texts and
     items match nothing. Rows that share a doc_id give one row for each item, rows of equal items one for each id.
     """
     known = stored(_item_keys(items), "items")
@@ -170,7 +209,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(texts)), last - first)
             out: list[tuple] = []
             for size, longest in spread:
-                # The window may end with its text, if what is left can still be within reach.
+                # The window may end with its text, if what is left can still be within reach. Words beyond a shorter
+                # stretch count as deletions, so these bounds hold for a stretch of any length.
                 at = np.arange(len(hashes))
                 stop = np.minimum(at + size, last[owner])
                 most = allowed(longest)
@@ -183,7 +223,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     hit = marked(keys_known, keys, KEY_BITS)
                     for k in np.flatnonzero(hit.any(1)).tolist():
                         start = int(some[k])
-                        end = min(start + longest, int(last[owner[start]]))
+                        end = min(start + longest + free * most, int(last[owner[start]]))
                         around = [data[x:y].decode() for x, y in zip(low[start:end].tolist(), high[start:end].tolist())]
                         out.append((ids[owner[start]], start - int(first[owner[start]]), around, keys[k, hit[k]].view(np.int64).tolist()))
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
@@ -192,7 +232,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     def verify(batches):
         for batch in batches:
             doc, item, start, around, words = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "start", "around", "words"))
-            edits = [edit_distance(w, a[: len(w)], allowed(len(w))) if may_match(w, a[: len(w)]) else len(w) for w, a in zip(words, around)]
+            edits = closest_edits(words, around, free)
             good = [k for k, (e, w) in enumerate(zip(edits, words)) if e <= allowed(len(w))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in good], t) for x, t in ((doc, pa.int64()), (item, pa.int64()), (edits, pa.int32()), (start, pa.int32()))], ["doc_id", "item_id", "edits", "start_word"])
 
@@ -239,4 +279,4 @@ def _joined(texts: list[str]):
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), free=True)

@@ -75,3 +75,36 @@ def test_empty_tables_nulls_and_repeats(spark):
 def test_edit_distance(a, b, want):
     assert D.edit_distance(a.split(), b.split(), 9) == want
     assert D.edit_distance(a.split(), b.split(), want - 1) == want if want else True
+
+
+def test_added_and_dropped_words_against_brute_force_with_free_ends(spark):
+    rng = random.Random(2)
+    v = ["the", "of", "and"] * 20 + [f"w{k}" for k in range(300)]
+    items, docs = [], []
+    for n in (15, 20, 40, 60):
+        for kind in ("ins", "del", "mixed"):
+            for _ in range(6):
+                q = [rng.choice(v) for _ in range(n)]
+                x = q[:]
+                for _ in range(D.allowed(n)):
+                    k = rng.randrange(1, len(x))
+                    edit = kind if kind != "mixed" else rng.choice(["ins", "del", "sub"])
+                    x[k : k + (edit != "ins")] = [] if edit == "del" else ["new"]
+                docs.append((len(items), " ".join([rng.choice(v) for _ in range(20)] + x + [rng.choice(v) for _ in range(20)])))
+                items.append((len(items), " ".join(q)))
+    want = {}
+    for d, t in docs:
+        w = words(t)
+        for i, x in items:
+            q = words(x)
+            m = D.allowed(len(q))
+            if len(set(q) & set(w)) < len(set(q)) - m:
+                continue
+            best = min((D.edit_distance(q, w[k:e], m), k) for k in range(len(w)) for e in range(k + len(q) - m, min(k + len(q) + m, len(w)) + 1))
+            if best[0] <= m:
+                want[d, i] = best
+    rows = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free=True).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["start_word"]) for r in rows}
+    assert len(want) >= len(docs) == sum((k, k) in want for k in range(len(docs)))
+    assert set(got) <= set(want) and len(got) >= 0.93 * len(want)
+    assert all(got[k][0] >= want[k][0] for k in got) and sum(got[k] == want[k] for k in got) >= 0.9 * len(got)
