@@ -128,7 +128,8 @@ def main_text(page: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
     for text, linked, inside in lines:
         if text:
             held += [("", 0)] * (min(gap, 1) if inside else min(gap // 2, window + 1))
-            held.append((text, len(text) - linked))
+            # Within an article links are text too; elsewhere they are mostly navigation.
+            held.append((text, len(text) - (0 if inside else linked)))
             gap = 0
         else:
             gap += 1

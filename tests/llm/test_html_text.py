@@ -48,3 +48,9 @@ def test_rows_and_other_columns(spark):
 def test_hostile_pages_end_soon():
     for page in ("<a " * 20_000, '<a "' * 20_000, "<" * 50_000, "<nav>" * 20_000, "<!--" * 20_000, "<script>" * 5_000):
         main_text(page)
+
+
+@pytest.mark.parametrize("tail", ["<p><a href=x>Read the source.</a></p>", "<p><a href=x>A link.</a></p><p>Short end.</p>"])
+def test_links_within_an_article_are_kept(tail):
+    text = main_text(f"<nav><a href=y>Home</a></nav><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p><a href=a>One.</a></p><p><a href=b>Two.</a></p><p><a href=c>Three.</a></p>{tail}</article>")
+    assert text.startswith(f"{LONG} {LONG} {LONG} One. Two. Three.") and text.endswith(("Three. Read the source.", "Three. A link. Short end.")) and "Home" not in text
