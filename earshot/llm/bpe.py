@@ -18,11 +18,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose encodings a task keeps at most; beyond that it forgets them all and goes on.
-CACHED_WORDS = 200_000
-#: Characters that a task works on at a time.
-CHUNK_CHARS = 4_000_000
+CACHED_WORDS = 100_000
+#: Bytes of text that a task works on at a time.
+CHUNK = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -60,6 +62,8 @@ class Codec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        if len(np.unique(made)) < len(made):
+            raise ValueError("two merges of this file make one token, so that rounds could not merge all places of a pair at once")
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order, made
@@ -167,21 +171,10 @@ class Codec:
         return " ".join([self.tokens[i] for i in ids])
 
 
-def _chunks(texts: list[str | None]):
-    start, chars = 0, 0
-    for k, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= CHUNK_CHARS:
-            yield start, k + 1
-            start, chars = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encoded(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``docs`` without its text, with n_tokens (long), token_ids (array of int) and decoded (string).
 
-    Whole texts are encoded, a null text as an empty one, which has no tokens. Other columns pass through, but
+    Whole texts of any length are encoded, a null text as an empty one, which has no tokens. Other columns pass through, but
     columns of the added names are replaced; repeated rows are kept. Nothing is shuffled. The driver reads the
     file once and sends it to the tasks: its size is fixed.
     """
@@ -194,12 +187,10 @@ def encoded(docs: DataFrame, text: str = "text", vocabulary: str | None = None)
 
     def work(batches):
         codec = Codec(spec.value)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in _chunks(texts):
-                ids, size, shown = codec.encode([codec.split(t) if t else [] for t in texts[a:b]])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(size, pa.int64()), lists, pa.array(shown, pa.string())], [*kept, *added])
+        for batch in pieces(batches, "__text", CHUNK):
+            ids, size, shown = codec.encode([codec.split(t) if t else [] for t in batch.column("__text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(size, pa.int64()), lists, pa.array(shown, pa.string())], [*kept, *added])
 
     schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in kept), "n_tokens bigint, token_ids array<int>, decoded string"])
     return given.mapInArrow(work, schema)

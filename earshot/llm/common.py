@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from earshot.sources.store import shared_folder, stored  # noqa: F401
 
 #: The bytes that separate words (space, tab, line feed, vertical tab, form feed, carriage return).
 SEPARATORS = b" \t\n\x0b\x0c\r"
 
+
+def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of at most ``size`` bytes of ``column`` (one row at least), so that a task's memory does not follow the batch size."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(int(np.searchsorted(ends, size + (ends[a - 1] if a else 0), "right")), a + 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 

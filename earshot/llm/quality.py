@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pieces, stored
 
 FOURIER = 192
 FOLDS = 4
@@ -22,6 +22,8 @@ RIDGE = 1e-3
 LENGTH_SCALE = 8.0
 BINS = 2000
 ACCEPT = 0.7
+#: Bytes of text that a task works on at a time.
+CHUNK = 2_000_000
 SEED = 7
 
 _BYTES = np.zeros((256, 10))
@@ -66,8 +68,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     given = docs.select(*(f"`{c}`" for c in kept), docs[f"`{text}`"].alias("__text"))
 
     def work(batches):
-        for batch in batches:
-            rows = [statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in pieces(batches, "__text", CHUNK):
+            rows = [statistics(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(rows, pa.list_(pa.float32()))], [*kept, "statistics"])
 
     return given.mapInArrow(work, ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in kept), "statistics array<float>"]))
@@ -88,6 +90,11 @@ class Model:
     weights: np.ndarray
     points: tuple[np.ndarray, np.ndarray]
 
+    @property
+    def learned(self) -> bool:
+        """Whether there was any label to learn from."""
+        return bool(self.weights.any())
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         return fourier((x - self.mean) / self.spread) @ self.weights
 
@@ -205,12 +212,10 @@ def scored_texts(docs: DataFrame, model: Model, text: str = "text", accept: floa
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def work(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                x = np.array([statistics(t) for t in part.column(text).to_pylist()], np.float32).astype(np.float64)
-                s = np.clip(model.score(x), 0, 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= accept).astype(np.int32))], [*kept, "score", "predicted"])
+        for part in pieces(batches, text, CHUNK):
+            x = np.array([statistics(t) for t in part.column(text).to_pylist()], np.float32).astype(np.float64)
+            s = np.clip(model.score(x), 0, 1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= accept).astype(np.int32))], [*kept, "score", "predicted"])
 
     given = docs.select(*(f"`{c}`" for c in kept))
     return given.mapInArrow(work, ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in kept), "score double", "predicted int"]))
