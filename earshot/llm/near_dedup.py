@@ -4,11 +4,10 @@ One hash per word shingle: its top bits choose a bucket, and of the smallest res
 count of leading zeros and some bits of mantissa. Bands of registers make candidates, the share of equal registers,
 corrected for chance collisions, estimates the similarity, and full shingle sets decide.
 
-Work follows the number of different documents, not of pairs: documents with one shingle set are one class; classes
-that share a band are joined to the band's smallest member; the components of that graph, cut into blocks, are
-compared in tiles inside tasks, which report a spanning forest of the links and never the pairs. In a component of
-many blocks, tiles of neighbouring blocks come first; after that only classes outside the main component are
-compared with all others.
+Work follows the number of different documents, not of pairs. Documents with one shingle set are one class. Each class
+is first compared with one other, the smallest member of most of its bands; the links make parts. Only bands that
+still hold several parts go on: they connect parts to groups, and in a group the classes outside the main part are
+compared with the others in tiles of bounded size, which report one link for two parts and never the pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, stored, word_bounds, word_hashes
+from .common import mix, pieces, rolling, stored, word_bounds, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -27,10 +26,14 @@ LEAST = (75, 100)
 #: 2^8 registers of 6 bits of leading zeros and 10 of mantissa. 48 bands of 5: at a similarity of 0.75, (1 - 0.75^5)^48 = 2e-6 is missed.
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BANDS, ROWS = 48, 5
-#: Classes of a block; a tile holds two blocks.
-BLOCK = 96
-#: Standard deviations by which an estimate may fall short before a pair is dismissed without its sets.
+#: Bytes of registers and sets in a block; a tile holds two blocks (one class at least).
+BLOCK = 4_000_000
+#: Standard deviations by which an estimate may fall short before a pair is dismissed without its sets: for a link, a chance below 1e-9.
 SLACK = 6.0
+#: Sets that are compared with one at a time, the likeliest first.
+AT_ONCE = 32
+#: Bytes of text that a task works on at a time.
+CHUNK = 2_000_000
 
 _REGISTERS = 1 << BUCKET_BITS
 _PROBES = 16
@@ -102,43 +105,42 @@ def estimates(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (share - CHANCE) / (1 - CHANCE), np.sqrt(least * (1 - least) / np.maximum(either, 1))
 
 
-def links_among(group: list[int], found: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows of one tile; rows with the same ``group`` count as joined already."""
-    n = len(sets)
-    top = list(range(n))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    first: dict[int, int] = {}
-    for i, g in enumerate(group):
-        top[i] = first.setdefault(g, i)
-    out = []
+def links_among(part: list[int], asks: list[bool], found: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of parts, of the links between rows that ask and all other rows of a tile; rows of one part count as joined already."""
     sizes = np.array([len(s) for s in sets])
-    for i in range(n - 1):
-        root = find(i)
-        other = np.array([j for j in range(i + 1, n) if find(j) != root], np.int64)
-        if not len(other):
-            continue
+    flat = np.concatenate(sets)
+    _, word, often = np.unique(flat, return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(word, kind="stable")]
+    place, begin = np.cumsum(often) - often, np.cumsum(sizes) - sizes
+    label = np.unique(part, return_inverse=True)[1]
+    out = []
+    for i in np.flatnonzero(asks).tolist():
+        # A link leaves at most n - least shingles unshared, so of any n - least + 1 (the rarest) one is shared.
+        own = word[begin[i] : begin[i] + sizes[i]]
+        few = int(sizes[i]) + int(sizes[i]) * -LEAST[0] // LEAST[1] + 1
+        if few < len(own):
+            own = own[np.argpartition(often[own], few - 1)[:few]]
+        own = own[often[own] > 1]
+        length = often[own]
+        other = np.unique(holders[np.repeat(place[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())])
         small, large = np.minimum(sizes[i], sizes[other]), np.maximum(sizes[i], sizes[other])
-        other = other[small * LEAST[1] >= large * LEAST[0]]
+        other = other[(label[other] != label[i]) & (small * LEAST[1] >= large * LEAST[0])]
         near, spread = estimates(found[i], found[other])
-        other = other[near >= LEAST[0] / LEAST[1] - SLACK * spread]
-        if not len(other):
-            continue
-        mine, theirs = sets[i], np.concatenate([sets[j] for j in other])
-        at = np.searchsorted(mine, theirs)
-        hit = np.zeros(len(theirs) + 1, np.int64)
-        np.cumsum(mine[np.minimum(at, len(mine) - 1)] == theirs, out=hit[1:])
-        ends = np.cumsum(sizes[other])
-        both = hit[ends] - hit[ends - sizes[other]]
-        for j in other[both * LEAST[1] >= (sizes[i] + sizes[other] - both) * LEAST[0]].tolist():
-            if find(j) != find(i):
-                top[find(j)] = find(i)
-                out.append((i, j))
+        likely = near >= LEAST[0] / LEAST[1] - SLACK * spread
+        other = other[likely][np.argsort(-near[likely], kind="stable")]
+        while len(other):
+            some, other = other[:AT_ONCE], other[AT_ONCE:]
+            theirs = np.concatenate([sets[j] for j in some])
+            at = np.searchsorted(sets[i], theirs)
+            hit = np.zeros(len(theirs) + 1, np.int64)
+            np.cumsum(sets[i][np.minimum(at, len(sets[i]) - 1)] == theirs, out=hit[1:])
+            ends = np.cumsum(sizes[some])
+            both = hit[ends] - hit[ends - sizes[some]]
+            for j in some[both * LEAST[1] >= (sizes[i] + sizes[some] - both) * LEAST[0]].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((part[i], part[j]))
+            other = other[label[other] != label[i]]
     return out
 
 
@@ -146,36 +148,33 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, high, low, bands): size, 128-bit fingerprint of the shingle set and its band keys, from (doc_id, text)."""
 
     def work(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 1000):
-                sets = [shingles(t) for t in texts[a : a + 1000]]
-                with np.errstate(over="ignore"):
-                    high = np.array([np.add.reduce(mix(s)) for s in sets], np.uint64).view(np.int64)
-                    low = np.array([np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in sets], np.uint64).view(np.int64)
-                keys = band_keys(registers(sets)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(low), pa.FixedSizeListArray.from_arrays(keys.reshape(-1), BANDS).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "n", "high", "low", "bands"],
-                )
+        for batch in pieces(batches, "text", CHUNK):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            with np.errstate(over="ignore"):
+                high = np.array([np.add.reduce(mix(s)) for s in sets], np.uint64).view(np.int64)
+                low = np.array([np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in sets], np.uint64).view(np.int64)
+            keys = band_keys(registers(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(low), pa.FixedSizeListArray.from_arrays(keys.reshape(-1), BANDS).cast(pa.list_(pa.int64()))],
+                ["doc_id", "n", "high", "low", "bands"],
+            )
 
     return docs.mapInArrow(work, "doc_id bigint, n bigint, high bigint, low bigint, bands array<bigint>")
 
 
-def _compared(payloads: DataFrame) -> DataFrame:
-    """Links (a, b) from rows (grp, i, j, id, part, found, hashes); rows with equal (grp, i, j) meet in one tile."""
+def _compared(tiles: DataFrame) -> DataFrame:
+    """Links (a, b) between parts from rows (grp, i, j, part, asks, found, hashes); rows with equal (grp, i, j) meet in one tile."""
 
     def work(batches):
         tile, rows = None, []
 
         def settle():
-            ids = [r[0] for r in rows]
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-            found = np.frombuffer(b"".join([r[2] for r in rows]), np.uint16).reshape(len(rows), -1)
-            pairs = links_among([r[1] for r in rows], found, sets)
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
+            part, asks, found, sets = zip(*rows)
+            found = np.frombuffer(b"".join(found), np.uint16).reshape(len(rows), -1)
+            pairs = links_among(list(part), list(asks), found, [np.frombuffer(s, np.uint64) for s in sets])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in pieces(batches, "hashes", CHUNK):
             for g, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 if (g, i, j) != tile and rows:
                     yield settle()
@@ -185,36 +184,29 @@ def _compared(payloads: DataFrame) -> DataFrame:
         if rows:
             yield settle()
 
-    partitions = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = payloads.select("grp", "i", "j", "id", "part", "found", "hashes").repartition(partitions, "grp", "i", "j")
-    return tiles.sortWithinPartitions("grp", "i", "j").mapInArrow(work, "a bigint, b bigint")
+    rows = tiles.select("grp", "i", "j", "part", "asks", "found", "hashes").repartition("grp", "i", "j")
+    return rows.sortWithinPartitions("grp", "i", "j").mapInArrow(work, "a bigint, b bigint")
 
 
-def _payloads(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (id, ...) with registers ``found`` and sorted shingle ``hashes`` of their documents."""
-    rest = [c for c in members.columns if c != "id"]
-    schema = "id bigint, " + "".join(f"{c} {members.schema[c].dataType.simpleString()}, " for c in rest) + "found binary, hashes binary"
+def _payloads(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, found, hashes) of the ``members`` (id): size, registers and sorted shingle hashes of their texts."""
 
     def work(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 500):
-                sets = [shingles(t) for t in texts[a : a + 500]]
-                found = registers(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(a, len(sets)) for c in ["id", *rest]), pa.array([r.tobytes() for r in found], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["id", *rest, "found", "hashes"],
-                )
+        for batch in pieces(batches, "text", CHUNK):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            found = registers(sets)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in found], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "found", "hashes"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    return members.join(texts, "id").select("id", *rest, "text").mapInArrow(work, schema)
+    chosen = texts.select(F.col("doc_id").alias("id"), "text").join(members, "id", "left_semi")
+    return chosen.mapInArrow(work, "id bigint, n bigint, found binary, hashes binary").filter("n > 0")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, any others).
 
     Rows that share an id are one node of the graph. A row without words has an empty set and is its own component.
-    A null id links with nothing: its component is null, and it is kept. An empty table gives an empty one.
+    A null id links with nothing: its component is null, and it is kept. Texts of any length are compared whole, other
+    columns, whatever their names, are not looked at. An empty table gives an empty one.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = stored(sketches(texts), "sketches")
@@ -237,35 +229,85 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _components_of_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, component) of the classes that have links."""
+    """(id, component) of the classes (class, bands) that share a band with another one."""
     keyed = classes.select(F.col("class").alias("id"), F.explode("bands").alias("band"))
     # Bands with one member go; the rest is stored, so that the join below can split a band that very many share.
     hubs = stored(keyed.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last"), "hubs")
-    loose = components(keyed.join(hubs, "band").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    sizes = stored(loose.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = stored(loose.join(sizes, "component").select("id", F.col("component").alias("grp"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")), "members")
-    # First tiles: each block with the next one; two blocks or fewer meet in one tile and are done.
-    tiles = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.array("block", F.pmod(F.col("block") - 1, F.col("blocks")).cast("int")))
-    loaded = _payloads(texts, members)
-    first = loaded.select("grp", F.explode(tiles).alias("i"), F.lit(0).alias("j"), "id", F.col("id").alias("part"), "found", "hashes")
-    links = stored(_compared(first), "links")
-    found = components(links)
-    large = members.filter("blocks > 2")
-    if large.isEmpty():
-        return found
-    # Then all classes outside the main component of such a group against the whole group.
-    parts = stored(large.join(found, "id", "left").select("id", "grp", "blocks", "block", F.coalesce("component", "id").alias("part")), "parts")
-    counts = parts.groupBy("grp", "part").agg(F.count("*").alias("n"))
-    main = stored(counts.groupBy("grp").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).filter("most < size"), "main")
-    outside = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
-    chosen = parts.join(main, "grp").select("id", "grp", "part", "blocks", "block", outside.alias("others"), F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("id", F.lit(1)), outside).cast("int")).alias("other"))
-    loaded = stored(_payloads(texts, chosen), "outside")
-    rows = ["id", "part", "found", "hashes"]
-    across = loaded.select("grp", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), F.col("block").alias("j"), *rows)
-    against = loaded.filter("other IS NOT NULL").select("grp", F.col("other").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), *rows)
-    more = stored(_compared(across.unionByName(against)), "more")
-    return components(links.unionByName(more))
+    shared = stored(keyed.join(hubs, "band"), "shared")
+    payloads = stored(_payloads(texts, shared.select("id").distinct()), "payloads")
+    parts = _first_parts(shared, payloads)
+    groups = _open_groups(shared, parts)
+    found = components(stored(_compared(_tiles(payloads, parts, groups)), "more"))
+    return parts.join(found.select(F.col("id").alias("part"), "component"), "part", "left").select("id", F.coalesce("component", "part").alias("component"))
+
+
+def _blocks(weight):
+    return F.greatest(F.ceil(weight / BLOCK), F.lit(1)).cast("int")
+
+
+def _weight():
+    """Bytes of a row of payloads."""
+    return F.octet_length("hashes") + F.octet_length("found")
+
+
+def _first_parts(shared: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(id, part) after each class has been compared with the one hub that it shares most bands with."""
+    votes = shared.filter("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
+    stars = stored(votes.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("grp")), "stars")
+    members = stored(payloads.join(stars, "id"), "starred")
+    sizes = stored(members.groupBy("grp").agg(_blocks(F.sum(_weight())).alias("blocks")), "star_sizes")
+    # A large star is cut in blocks, and its hub meets each of them.
+    around = members.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("i"), F.col("id").alias("part"), F.lit(False).alias("asks"), "found", "hashes")
+    hubs = payloads.join(sizes, F.col("id") == F.col("grp")).select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("id").alias("part"), F.lit(True).alias("asks"), "found", "hashes")
+    found = components(stored(_compared(around.unionByName(hubs).withColumn("j", F.lit(0))), "links"))
+    return stored(shared.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("part")), "parts")
+
+
+def _open_groups(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, grp): the parts that meet another part in some band, in groups that are connected by such bands."""
+    labelled = shared.join(parts, "id").select("band", "part").distinct()
+    ends = stored(labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").drop("high"), "open")
+    meetings = labelled.join(ends, "band").filter("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b")).distinct()
+    return components(meetings).select(F.col("id").alias("part"), F.col("component").alias("grp"))
+
+
+def _tiles(payloads: DataFrame, parts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows for ``_compared``: in each group, every class outside the group's main part asks all classes of the group.
+
+    A group of up to BLOCK bytes is one tile. In a larger one, classes go first that cannot link with anything: those
+    of whose shingles too many occur nowhere else in the group.
+    """
+    open_parts = stored(parts.join(groups, "part"), "open_parts")
+    loaded = stored(payloads.join(open_parts, "id"), "loaded")
+    first = loaded.groupBy("grp", "part").agg(F.sum(_weight()).alias("weight"))
+    sized = stored(first.groupBy("grp").agg(F.max_by("part", F.struct("weight", -F.col("part"))).alias("main"), F.sum("weight").alias("weight")), "groups")
+    asks = F.col("part") != F.col("main")
+    row = ["grp", "part", "found", "hashes"]
+    small = loaded.join(sized.filter(F.col("weight") <= BLOCK).select("grp", "main"), "grp").select(*row, asks.alias("asks"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    crowded = sized.filter(F.col("weight") > BLOCK).select("grp", "main")
+    if crowded.isEmpty():
+        return small
+    large = stored(loaded.join(crowded, "grp").withColumn("row", F.monotonically_increasing_id()), "large")
+    alone = _shingle_rows(large).groupBy("grp", "shingle").agg(F.count("*").alias("n"), F.min("row").alias("row")).filter("n = 1").groupBy("row").agg(F.count("*").alias("alone"))
+    able = F.coalesce("alone", F.lit(0)) * LEAST[1] <= F.col("n") * (LEAST[1] - LEAST[0])
+    left = stored(large.join(alone, "row", "left").filter(able).select("id", *row, "main"), "able")
+    weights = stored(left.groupBy("grp").agg(_blocks(F.sum(_weight())).alias("all"), _blocks(F.sum(F.when(asks, _weight()).otherwise(0))).alias("outside")), "weights")
+    placed = left.join(weights, "grp").withColumns({"i": F.pmod(F.xxhash64("id", F.lit(1)), F.col("outside")).cast("int"), "j": F.pmod(F.xxhash64("id"), F.col("all")).cast("int")})
+    asking = placed.filter(asks).select(*row, F.lit(True).alias("asks"), "i", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
+    asked = placed.select(*row, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), "j")
+    return small.unionByName(asking).unionByName(asked)
+
+
+def _shingle_rows(loaded: DataFrame) -> DataFrame:
+    """(grp, row, shingle), a row for each shingle."""
+
+    def work(batches):
+        for batch in pieces(batches, "hashes", CHUNK):
+            sets = [np.frombuffer(h, np.int64) for h in batch.column("hashes").to_pylist()]
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(pa.array(row)), batch.column("row").take(pa.array(row)), pa.array(np.concatenate(sets))], ["grp", "row", "shingle"])
+
+    return loaded.select("grp", "row", "hashes").mapInArrow(work, "grp bigint, row bigint, shingle bigint")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
