@@ -27,7 +27,7 @@ LEAST = (75, 100)
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BANDS, ROWS = 48, 5
 #: Bytes of registers and sets in a block; a tile holds two blocks (one class at least).
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Standard deviations by which an estimate may fall short before a pair is dismissed without its sets: for a link, a chance below 1e-9.
 SLACK = 6.0
 #: Sets that are compared with one at a time, the likeliest first.
