@@ -29,3 +29,19 @@ def normal(key: Column, salt: str, seed: int = 0) -> Column:
     """A standard normal draw (Box-Muller)."""
     u, v = uniform(key, salt + ".u", seed), uniform(key, salt + ".v", seed)
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def distinct(key: Column, salt: str, size: Column, n: int, seed: int = 0) -> Column:
+    """An array of (nth, number): min(n, size) different numbers in [0, size), each as likely as another.
+
+    One number is drawn in each of ``n`` equal parts of the range, and all are turned by one drawn step, so that a draw
+    costs n whatever the size.
+    """
+    turn = whole(key, f"{salt}.turn", size, seed)
+
+    def one(i: Column) -> Column:
+        low, high = F.floor(size * i / n), F.floor(size * (i + 1) / n)
+        drawn = low + whole(F.concat_ws("/", key.cast("string"), i.cast("string")), salt, high - low, seed)
+        return F.struct(i.alias("nth"), F.when(high > low, F.pmod(drawn + turn, size)).alias("number"))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one), lambda x: x["number"].isNotNull())

@@ -31,23 +31,10 @@ def changed_speed(w: np.ndarray, factor: float) -> np.ndarray:
     return resample(w, factor, 1.0)
 
 
-def smooth_size(n: int) -> int:
-    """The smallest size from ``n`` up with no prime factor above 5."""
-    while True:
-        m = n
-        for p in (2, 3, 5):
-            while m % p == 0:
-                m //= p
-        if m == 1:
-            return n
-        n += 1
-
-
 def convolve(x: np.ndarray, h: np.ndarray, mode: str = "full") -> np.ndarray:
     """Convolution by FFT. "same" is the centre of the full one at the size of ``x``, "valid" where both overlap whole."""
     full = len(x) + len(h) - 1
-    size = smooth_size(full)
-    out = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[:full]
+    out = np.fft.irfft(np.fft.rfft(x, full) * np.fft.rfft(h, full), full)
     if mode == "full":
         return out
     n = {"same": len(x), "valid": max(len(x), len(h)) - min(len(x), len(h)) + 1}[mode]
@@ -80,46 +67,44 @@ def reverberated(w: np.ndarray, rir: np.ndarray, sample_rate: int, mode: str = "
 
 
 def biquad(w: np.ndarray, a: tuple[float, float], b: tuple[float, float]) -> np.ndarray:
-    """y[t] = x[t] + b1 x[t-1] + b2 x[t-2] - a1 y[t-1] - a2 y[t-2], clamped to [-1, 1]."""
-    out = np.empty(len(w))
-    x1 = x2 = y1 = y2 = 0.0
-    for t, x in enumerate(w.tolist()):
-        y = x + b[0] * x1 + b[1] * x2 - a[0] * y1 - a[1] * y2
-        out[t] = y
-        x1, x2, y1, y2 = x, x1, y, y1
-    return np.clip(out, -1, 1)
-
-
-def lowpass(cutoff: float, width: int | None = None) -> np.ndarray:
-    """Windowed sinc of 2 * width + 1 taps; the cutoff is a share of the sample rate."""
-    width = int(2 / cutoff) if width is None else width
-    t = np.arange(-width, width + 1)
-    return 2 * cutoff * np.sinc(2 * cutoff * t) * np.blackman(2 * width + 1)
-
-
-def bandpass(low: float, high: float, width: int | None = None) -> np.ndarray:
-    width = int(2 / min(low, high)) if width is None else width
-    return lowpass(high, width) - lowpass(low, width)
-
-
-def notch(cutoff: float, notch_width: float = 0.05, width: int | None = None) -> np.ndarray:
-    """What a low-pass below the notch and a high-pass above it let through; the notch reaches from the cutoff to twice its width above."""
-    width = int(2 / cutoff) if width is None else width
-    middle = width // 2
-    t = np.arange(width) - middle
-    below = np.sinc(2 * cutoff * t) * np.blackman(width)
-    above = np.sinc(2 * (cutoff + 2 * notch_width) * t) * np.blackman(width)
-    out = below / below.sum() - above / above.sum()
-    out[middle] += 1
+    """y[t] = x[t] + b1 x[t-1] + b2 x[t-2] - a1 y[t-1] - a2 y[t-2], clamped to [-1, 1].
+
+    Convolution with the filter's own answer to a unit pulse, as long as that answer is above rounding.
+    """
+    largest = np.abs(np.roots([1.0, *a])).max(initial=0)
+    n = len(w) if largest >= 1 else min(len(w), 3 if largest == 0 else int(np.log(1e-18) / np.log(largest)) + 8)
+    pulse = np.zeros(n)
+    for t, x in enumerate([1.0, *b][:n]):
+        pulse[t] = x
+    for t in range(1, n):
+        pulse[t] -= a[0] * pulse[t - 1] + (a[1] * pulse[t - 2] if t > 1 else 0.0)
+    return np.clip(causal(w, pulse), -1, 1) if n else np.empty(0)
+
+
+def pass_band(low: float, high: float, half: int) -> np.ndarray:
+    """2 * half + 1 taps that let frequencies from ``low`` to ``high`` (shares of the sample rate) through.
+
+    The ideal answer is the difference of two sines over time; a Blackman window tapers it, and the gain is set to one
+    in the middle of the band.
+    """
+    t = np.arange(-half, half + 1)
+    taps = (2 * high * np.sinc(2 * high * t) - 2 * low * np.sinc(2 * low * t)) * np.blackman(2 * half + 1)
+    return taps / (taps @ np.cos(np.pi * (low + high if low > 0 else 0.0) * t))
+
+
+def stop_band(low: float, high: float, half: int) -> np.ndarray:
+    """What the pass band takes, taken out: the unit pulse less the band, whose two sides have unit gain each at their own zero frequency."""
+    out = pass_band(0.0, low, half) - pass_band(0.0, high, half)
+    out[half] += 1
     return out
 
 
-def without_band(w: np.ndarray, sample_rate: int, cutoff_hz: float, width_hz: float, taps: int = 512) -> np.ndarray:
-    """Take out a band by a notch filter; a width that runs over the Nyquist limit is cut."""
+def without_band(w: np.ndarray, sample_rate: int, cutoff_hz: float, width_hz: float, taps: int = 513) -> np.ndarray:
+    """Take out the band from ``cutoff_hz`` to twice ``width_hz`` above, at the size of ``w``; a width that runs over the Nyquist limit is cut."""
     if not 0 < cutoff_hz < sample_rate / 2:
         raise ValueError("the cutoff lies outside the band")
     width_hz = min(width_hz, sample_rate / 2 - cutoff_hz)
-    return np.convolve(w, notch(cutoff_hz / sample_rate, width_hz / sample_rate, taps), "same")[: max(len(w), taps)]
+    return convolve(w, stop_band(cutoff_hz / sample_rate, (cutoff_hz + 2 * width_hz) / sample_rate, taps // 2), "same")
 
 
 def hann(n: int) -> np.ndarray:

@@ -49,10 +49,18 @@ def plan(rows: DataFrame, chances: Chances = Chances(), seed: int = 0, key: str
 
 
 def paired_offset(ref: Column, n: int, key: Column, tries: int = 8, seed: int = 0) -> Column:
-    """An offset for cutting ``n`` samples: the first of ``tries`` draws where the reference is not silent, else the last one."""
-    drawn = [whole(key, f"crop.{k}", waves.room(ref, n), seed) for k in range(tries)]
+    """An offset for cutting ``n`` samples: the first of ``tries`` draws where the reference is not silent.
+
+    If none is, the cut is drawn around a drawn sample that is not zero; only where every sample is, the last draw stays.
+    """
+    last = waves.room(ref, n)
+    drawn = [whole(key, f"crop.{k}", last, seed) for k in range(tries)]
     heard = [F.when(~waves.silent(waves.cut(ref, d, n)), d) for d in drawn]
-    return F.coalesce(*heard, drawn[-1])
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ref) - 1, F.lit(0))), lambda i: F.coalesce(F.get(ref, i), F.lit(0.0)) != 0)
+    place = F.get(places, whole(key, "crop.place", F.size(places), seed).cast("int"))
+    low, high = F.greatest(place - n + 1, F.lit(0)), F.least(place, last - 1)
+    around = F.when(F.size(places) > 0, low + whole(key, "crop.around", high - low + 1, seed))
+    return F.coalesce(*heard, around, drawn[-1])
 
 
 def _augmented(w, clean, noise, rir, speed, use_rir, use_noise, snr, noise_at, a1, a2, b1, b2, volume, sample_rate: int, target: str, mode: str):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.functions import kernels, signal, waves
@@ -42,35 +42,46 @@ def draw(salt: str, key: str) -> str:
     return f"('0x' || substr(md5('0|{salt}|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
+def distinct(salt: str, key: str, size: str, n: int, nth: str = "nth") -> str:
+    """The ``nth`` of ``n`` different numbers below ``size``."""
+    low, high = f"({size} * {nth} // {n})", f"({size} * ({nth} + 1) // {n})"
+    place = draw(salt, f"{key} || '/' || {nth}")
+    return f"({low} + CAST(floor({place} * ({high} - {low})) AS BIGINT) + CAST(floor({draw(salt + '.turn', key)} * {size}) AS BIGINT)) % {size}"
+
+
 # --- manifests ---------------------------------------------------------------------------------------------------
 
 
-def _lines(spark, sf_dir, part: str):
-    e = views.table(spark, sf_dir, "events").filter(part)
+def _lines(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
     value = F.concat_ws(" ", F.concat(F.lit("u"), F.col("user_id").cast("string")), "event_type", F.concat(F.lit("p"), F.col("event_id").cast("string")))
     return e.select(F.col("event_id").alias("line_no"), value.alias("value"))
 
 
+def _order_lines(spark, sf_dir):
+    value = F.concat_ws(" ", F.concat(F.lit("u"), F.col("o_custkey").cast("string")), "o_orderstatus", F.concat(F.lit("p"), F.col("o_orderkey").cast("string")))
+    return views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_no"), value.alias("value"))
+
+
 @query("""SELECT 'u' || user_id AS key, arg_max(event_type || '|p' || event_id, event_id) AS vals FROM events GROUP BY user_id""")
 def manifest_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.parsed(_lines(spark, sf_dir, "true")).select("key", F.array_join("vals", "|").alias("vals"))
+    return manifests.parsed(_lines(spark, sf_dir)).select("key", F.array_join("vals", "|").alias("vals"))
 
 
 @query("""
-WITH a AS (SELECT 'u' || user_id AS key, arg_max('p' || event_id, event_id) AS path FROM events WHERE event_id % 7 = 0 GROUP BY 1),
-b AS (SELECT 'u' || user_id AS key, arg_max(event_type || '|p' || event_id, event_id) AS ref2list FROM events WHERE event_id % 11 = 0 GROUP BY 1)
+WITH a AS (SELECT 'u' || user_id AS key, arg_max('p' || event_id, event_id) AS path FROM events GROUP BY 1),
+b AS (SELECT 'u' || o_custkey AS key, arg_max(o_orderstatus || '|p' || o_orderkey, o_orderkey) AS ref2list FROM orders GROUP BY 1)
 SELECT a.key, a.path, b.ref2list, CAST(NULL AS VARCHAR) AS ref2list_value FROM a LEFT JOIN b ON a.key = b.key""")
 def manifest_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    main = manifests.parsed(_lines(spark, sf_dir, "event_id % 7 = 0")).select("key", F.slice("vals", 2, 1).alias("vals"))
-    rows = manifests.assembled(main, ref2list=manifests.parsed(_lines(spark, sf_dir, "event_id % 11 = 0")))
+    main = manifests.parsed(_lines(spark, sf_dir)).select("key", F.slice("vals", 2, 1).alias("vals"))
+    rows = manifests.assembled(main, ref2list=manifests.parsed(_order_lines(spark, sf_dir)))
     return rows.select("key", "path", F.array_join("ref2list", "|").alias("ref2list"), "ref2list_value")
 
 
 @query("""
-SELECT DISTINCT 'ref2list' AS manifest, 'u' || user_id AS key FROM events b WHERE event_id % 11 = 0
-AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_id % 97 = 0 AND a.user_id = b.user_id)""")
+SELECT DISTINCT 'ref2list' AS manifest, 'u' || o_custkey AS key FROM orders WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = o_custkey)""")
 def manifest_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.unmatched(manifests.parsed(_lines(spark, sf_dir, "event_id % 97 = 0")), ref2list=manifests.parsed(_lines(spark, sf_dir, "event_id % 11 = 0")))
+    return manifests.unmatched(manifests.parsed(_lines(spark, sf_dir)), ref2list=manifests.parsed(_order_lines(spark, sf_dir)))
 
 
 _TARGETS = f"""WITH {views.MIXTURES},
@@ -86,9 +97,11 @@ def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _TARGETS
-    + """, c AS (SELECT g.key, g.spk, e.user_id || '-' || e.event_id AS u FROM g JOIN events e ON CAST(e.user_id AS VARCHAR) = g.spk AND e.user_id || '-' || e.event_id <> g.utt),
-r AS (SELECT key, spk, u, row_number() OVER (PARTITION BY key ORDER BY md5('0|enroll|' || key || '/' || u), u) AS nth FROM c)
-SELECT key, spk, string_agg(u, ' ' ORDER BY nth) AS enroll, count(*) < 5 AS short_pool FROM r WHERE nth <= 5 GROUP BY key, spk"""
+    + f""", p AS (SELECT CAST(user_id AS VARCHAR) AS spk, user_id || '-' || event_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY user_id || '-' || event_id) - 1 AS number, count(*) OVER (PARTITION BY user_id) AS size FROM events),
+o AS (SELECT g.key, g.spk, number AS own, size - 1 AS others, unnest(range(5)) AS nth FROM g JOIN p ON p.spk = g.spk AND p.u = g.utt),
+d AS (SELECT key, spk, own, nth, {distinct("enroll", "key", "others", 5)} AS number FROM o WHERE others * (nth + 1) // 5 > others * nth // 5),
+r AS (SELECT d.key, d.spk, p.u, d.nth FROM d JOIN p ON p.spk = d.spk AND p.number = d.number + (d.number >= d.own)::INTEGER)
+SELECT key, spk, string_agg(u, ' ' ORDER BY nth) AS enroll, count(*) < 5 AS short_pool FROM r GROUP BY key, spk"""
 )
 def enrollment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifests.targets(views.mixtures(spark, sf_dir)).select("key", "utt", "spk")
@@ -177,24 +190,29 @@ def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.shuffled(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), 32, epoch=3)
 
 
-@query("""
-WITH u AS (SELECT CAST(user_id AS VARCHAR) AS spk, CAST(event_id AS VARCHAR) AS uttid FROM events),
-p AS (SELECT spk FROM u GROUP BY spk HAVING count(*) >= 4),
-b AS (SELECT batch, spk, row_number() OVER (PARTITION BY batch ORDER BY md5('0|speaker|' || batch || '/' || spk), spk) AS nth FROM (SELECT unnest(range(50)) AS batch), p),
-c AS (SELECT b.batch, b.spk, uttid, row_number() OVER (PARTITION BY b.batch, b.spk ORDER BY md5('0|utt|' || b.batch || '/' || b.spk || '/' || uttid), uttid) AS k FROM b JOIN u ON u.spk = b.spk WHERE nth <= 6)
-SELECT batch, spk, uttid FROM c WHERE k <= 4""")
+_BATCH_SPEAKER = "batch || '/' || spk"
+
+
+@query(f"""
+WITH u AS (SELECT spk, uttid, row_number() OVER (PARTITION BY spk ORDER BY uttid) - 1 AS number, count(*) OVER (PARTITION BY spk) AS size FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS spk, CAST(event_id AS VARCHAR) AS uttid FROM events)),
+k AS (SELECT spk, size, row_number() OVER (ORDER BY spk) - 1 AS n, count(*) OVER () AS "all" FROM (SELECT DISTINCT spk, size FROM u WHERE size >= 4)),
+b AS (SELECT unnest(range((SELECT count(*) FROM u) // 24)) AS batch),
+d AS (SELECT batch, {distinct("speaker", "batch", '"all"', 6)} AS n FROM (SELECT batch, "all", unnest(range(6)) AS nth FROM b, (SELECT any_value("all") AS "all" FROM k)) WHERE "all" * (nth + 1) // 6 > "all" * nth // 6),
+p AS (SELECT batch, spk, size, unnest(range(4)) AS nth FROM d JOIN k ON k.n = d.n),
+q AS (SELECT batch, spk, {distinct("utt", _BATCH_SPEAKER, "size", 4)} AS number FROM p)
+SELECT batch, q.spk, uttid FROM q JOIN u ON u.spk = q.spk AND u.number = q.number""")
 def speaker_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     utts = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("spk"), F.col("event_id").alias("uttid"))
-    return picks.speaker_batches(utts, 50, 6, 4)
+    return picks.speaker_batches(utts, 6, 4)
 
 
 @query("""
-WITH r AS (SELECT vec_id AS key, vec_id // 8 AS batch, CAST(embedding AS DOUBLE[])[1:vec_id % 40 + 10] AS w FROM embeddings),
+WITH r AS (SELECT vec_id AS key, vec_id // 8 AS batch, CASE WHEN vec_id % 3 = 0 THEN list_concat(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS w FROM embeddings),
 m AS (SELECT *, len(w) AS length, max(len(w)) OVER (PARTITION BY batch) AS longest FROM r),
 i AS (SELECT key, batch, length, w, unnest(range(longest)) AS i FROM m)
 SELECT key, batch, CAST(length AS INTEGER) AS length, CAST(i AS INTEGER) AS i, round(coalesce(w[i + 1], 0), 6) AS x FROM i""")
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.waves(spark, sf_dir).select("key", F.floor(F.col("key") / 8).alias("batch"), F.slice("w", F.lit(1), (F.col("key") % 40 + 10).cast("int")).alias("w"))
+    rows = views.waves(spark, sf_dir).select("key", F.floor(F.col("key") / 8).alias("batch"), F.when(F.col("key") % 3 == 0, F.concat("w", "w")).otherwise(F.col("w")).alias("w"))
     return long(picks.padded_batches(rows), "w", "key", "batch", "length")
 
 
@@ -256,12 +274,16 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {views.FRAMES},
-s AS (SELECT user_id AS key, event_id % 60 AS start, event_id % 60 + CAST(floor(value) AS BIGINT) % 5 AS stop FROM events WHERE event_id % 9 = 0 AND value IS NOT NULL)
+n AS (SELECT key, count(*) AS n FROM f GROUP BY key),
+s AS (SELECT user_id AS key, CAST(floor({draw("span", "event_id")} * n) AS BIGINT) AS start, CAST(floor({draw("span", "event_id")} * n) AS BIGINT) + CAST(floor(value) AS BIGINT) % 3 AS stop FROM events JOIN n ON n.key = user_id WHERE value IS NOT NULL)
 SELECT key, pos, (EXISTS (SELECT 1 FROM s WHERE s.key = f.key AND s.start <= f.pos AND f.pos < s.stop))::INTEGER AS label FROM f""")
 def vad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.col("event_id") % 60
-    spans = views.table(spark, sf_dir, "events").filter("event_id % 9 = 0 AND value IS NOT NULL").select(F.col("user_id").alias("key"), start.alias("start"), (start + F.floor("value") % 5).alias("stop"))
-    return sequences.rasterized(views.frames(spark, sf_dir), spans)
+    """A span for each event, from a drawn place of its user's sequence on."""
+    frames = views.frames(spark, sf_dir)
+    sizes = frames.groupBy("key").agg(F.count("*").alias("n"))
+    events = views.table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("key"), "event_id", "value").join(sizes, "key")
+    start = whole(F.col("event_id"), "span", F.col("n"))
+    return sequences.rasterized(frames, events.select("key", start.alias("start"), (start + F.floor("value") % 3).alias("stop")))
 
 
 # --- scores ------------------------------------------------------------------------------------------------------
@@ -444,11 +466,11 @@ def silhouette_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.silhouette(_dvecs(spark, sf_dir)).select("uttid", "spk", *r6("a", "b", "silhouette"))
 
 
-@query(f"""WITH {views.FRAMES}, g AS (SELECT key, pos, p, exp(p) AS w FROM f WHERE pos < 40),
+@query(f"""WITH {views.FRAMES}, g AS (SELECT key, pos, p, exp(p) AS w FROM f),
 m AS (SELECT key, sum(w) AS a, sum(w * p) / sum(w) AS mean FROM g GROUP BY key)
 SELECT g.key, CAST(0 AS INTEGER) AS d, round(any_value(mean), 6) AS mean, round(sqrt(greatest(sum(w / a * (p - mean) * (p - mean)), 1e-12)), 6) AS std FROM g JOIN m ON m.key = g.key GROUP BY g.key""")
 def pooled_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.frames(spark, sf_dir).select("key", "pos", F.col("p").alias("logit"), F.lit(40).alias("length"), F.array("p").alias("x"))
+    rows = views.frames(spark, sf_dir).select("key", "pos", F.col("p").alias("logit"), F.count("*").over(Window.partitionBy("key")).alias("length"), F.array("p").alias("x"))
     return embeddings.pooled(rows).select("key", "d", *r6("mean", "std"))
 
 
@@ -478,12 +500,12 @@ def volume_and_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(views.waves(spark, sf_dir).withColumn("x", waves.clamped(waves.scaled(F.col("w"), by))), "x", "key")
 
 
-@query(f"""WITH {views.TRIOS}, z AS (SELECT key, clean, [enh[i] FOR i IN range(1, 41)] AS noise, unnest([-5.0, 5.0]) AS snr FROM t),
-g AS (SELECT key, snr, clean, list_concat(noise, noise)[1:len(clean)] AS noise FROM z),
+@query(f"""WITH {views.TRIOS}, z AS (SELECT key, list_concat(clean, list_concat(clean, noisy)) AS clean, enh AS noise, unnest([-5.0, 5.0]) AS snr FROM t),
+g AS (SELECT key, snr, clean, list_concat(noise, list_concat(noise, noise)) AS noise FROM z),
 o AS (SELECT key, snr, [clean[i] + sqrt(sqrt(list_dot_product(clean, clean)) / (pow(10, snr / 10) * sqrt(list_dot_product(noise, noise)) + 1e-8)) * noise[i] FOR i IN range(1, len(clean) + 1)] AS x FROM g)
 SELECT key, CAST(snr AS DOUBLE) AS snr, CAST(unnest(range(len(x))) AS INTEGER) AS i, round(unnest(x), 6) AS x FROM o""")
 def noisy_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.trios(spark, sf_dir).select("key", "clean", F.slice("enh", 1, 40).alias("noise"), F.explode(F.array(F.lit(-5.0), F.lit(5.0))).alias("snr"))
+    rows = views.trios(spark, sf_dir).select("key", F.concat("clean", "clean", "noisy").alias("clean"), F.col("enh").alias("noise"), F.explode(F.array(F.lit(-5.0), F.lit(5.0))).alias("snr"))
     fitted = waves.fitted_noise(F.col("noise"), F.size("clean"), F.lit(0))
     return long(rows.withColumn("x", waves.noisy(F.col("clean"), fitted, F.col("snr"))), "x", "key", "snr")
 
@@ -526,13 +548,13 @@ def mel_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT vec_id AS key, label AS y, CAST(embedding AS DOUBLE[])[1:vec_id % 40 + 10] AS w FROM embeddings),
-o AS (SELECT key, unnest(range(32)) AS i, y, w FROM r)
+WITH r AS (SELECT vec_id AS key, label AS y, CASE WHEN vec_id % 3 = 0 THEN list_concat(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS w FROM embeddings),
+o AS (SELECT key, unnest(range(96)) AS i, y, w FROM r)
 SELECT key, CAST(i AS INTEGER) AS i, CASE WHEN i < len(w) THEN 1.0::DOUBLE ELSE 0 END AS mask, CASE WHEN i = y THEN 1.0::DOUBLE ELSE 0 END AS hot,
-       round(CASE WHEN len(w) >= 32 THEN w[i + 1] WHEN i < 32 - len(w) THEN 0 ELSE w[i - (32 - len(w)) + 1] END, 6) AS aligned FROM o""")
+       round(CASE WHEN len(w) >= 96 THEN w[i + 1] WHEN i < 96 - len(w) THEN 0 ELSE w[i - (96 - len(w)) + 1] END, 6) AS aligned FROM o""")
 def masks_and_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.waves(spark, sf_dir).select("key", "spk", F.slice("w", F.lit(1), (F.col("key") % 40 + 10).cast("int")).alias("w"))
-    z = F.arrays_zip(waves.length_mask(F.size("w"), 32).alias("mask"), waves.one_hot(F.col("spk"), 32).alias("hot"), waves.aligned(F.col("w"), F.array_repeat(F.lit(0.0), 32)).alias("aligned"))
+    rows = views.waves(spark, sf_dir).select("key", "spk", F.when(F.col("key") % 3 == 0, F.concat("w", "w")).otherwise(F.col("w")).alias("w"))
+    z = F.arrays_zip(waves.length_mask(F.size("w"), 96).alias("mask"), waves.one_hot(F.col("spk"), 96).alias("hot"), waves.aligned(F.col("w"), F.array_repeat(F.lit(0.0), 96)).alias("aligned"))
     flat = rows.select("key", F.posexplode(z).alias("i", "z"))
     return flat.select("key", "i", "z.mask", "z.hot", F.round("z.aligned", 6).alias("aligned"))
 
@@ -593,11 +615,20 @@ def notched_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.by_row(rows, lambda w, c: {"x": kernels.without_band(np.array(w), 16000, c, 500.0, 31)}, "x array<double>", ["w", "cutoff"]).drop("w")
 
 
+#: Waves of a speaker that make one recording session.
+SESSION = 1000
+
+
+def _session():
+    """The name of a speaker's session: a row's size is bounded, whatever the speaker's share of the corpus."""
+    return F.concat_ws("-", F.col("spk").cast("string"), F.floor(F.col("key") / SESSION).cast("string"))
+
+
 def _long_waves(spark, sf_dir) -> DataFrame:
-    """One long waveform for each speaker: its trios one after another."""
+    """One long waveform for each speaker's session: its trios one after another."""
     rows = views.trios(spark, sf_dir)
     joined = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("key", c))), lambda s: s[c])).alias(c)
-    return rows.groupBy(F.col("spk").alias("speaker")).agg(joined("clean"), joined("noisy"), joined("enh"))
+    return rows.groupBy(_session().alias("speaker")).agg(joined("clean"), joined("noisy"), joined("enh"))
 
 
 @query()
@@ -641,8 +672,8 @@ def distance_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waves as chunks of a stream for each speaker, cut into overlapping frames."""
-    rows = views.waves(spark, sf_dir).select(F.col("spk").alias("stream_id"), F.col("key").alias("seq"), F.col("w").alias("samples"), F.lit(False).alias("eos"))
+    """Waves as chunks of a stream for each speaker's session, cut into overlapping frames."""
+    rows = views.waves(spark, sf_dir).select(_session().alias("stream_id"), F.col("key").alias("seq"), F.col("w").alias("samples"), F.lit(False).alias("eos"))
     return chunks.batched(rows, lambda: chunks.Hops(16), chunks.Hops.columns)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.sources.store import stored
+
 
 def parsed(lines: DataFrame, separator: str = " ") -> DataFrame:
     """(key, vals) from rows (line_no, value): the first item is the key, a later line replaces an earlier one of its key. Blank lines go."""
@@ -66,17 +68,26 @@ def speakers(utts: DataFrame) -> DataFrame:
     )
 
 
-def indexed(rows: DataFrame, key: str, index: str = "idx") -> DataFrame:
-    """``rows`` with their place in the order of ``key``, from 0 on.
+def indexed(rows: DataFrame, key: str | list[str], index: str = "idx") -> DataFrame:
+    """``rows`` with their place in the order of ``key``, from 0 on; equal keys by a hash of the whole row.
 
     Rows are dealt out by ranges of the key; each range is numbered on its own and starts after the sizes of those
-    before it, so no task sees all rows.
+    before it, so no task sees all rows. The numbered ranges are stored once, so that rows and sizes agree.
     """
-    parts = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    order = [*([key] if isinstance(key, str) else key), "__tie"]
+    ranges = rows.withColumn("__tie", F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = stored(ranges.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).drop("__tie"), "ranges")
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__start"))
-    return parts.join(F.broadcast(starts), "__part").select(*rows.columns, (F.col("__start") + F.col("__at")).alias(index))
+    return parts.join(F.broadcast(starts), "__part").select(*(f"`{c}`" for c in rows.columns), (F.col("__start") + F.col("__at")).alias(index))
+
+
+def numbered(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``rows`` with ``number``, their place within their group in the order of ``key``, and the group's ``size``; a group of any size is spread over tasks."""
+    placed = indexed(rows, [group, key], "__idx")
+    groups = placed.groupBy(group).agg(F.min("__idx").alias("__first"), F.count("*").alias("size"))
+    return placed.join(groups, group).withColumn("number", F.col("__idx") - F.col("__first")).drop("__idx", "__first")
 
 
 def rows_by_speaker(rows: DataFrame) -> DataFrame:
@@ -86,5 +97,4 @@ def rows_by_speaker(rows: DataFrame) -> DataFrame:
 
 def speaker_labels(rows: DataFrame) -> DataFrame:
     """(spk, label): class ids of the distinct speakers in the order of their names as strings."""
-    names = rows.select(F.col("spk").cast("string").alias("spk")).distinct()
-    return names.select("spk", (F.row_number().over(Window.orderBy("spk")) - 1).alias("label"))
+    return indexed(rows.select(F.col("spk").cast("string").alias("spk")).distinct(), "spk", "label")

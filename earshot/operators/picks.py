@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.functions.draws import ticket, uniform, whole
+from earshot.functions.draws import distinct, ticket, uniform, whole
+from earshot.operators.manifests import indexed, numbered
+from earshot.sources.store import stored
 
 
 def enrollments(targets: DataFrame, utts: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
-    """(key, spk, enroll, short_pool): ``n`` other utterances of the target's speaker in the order of their tickets.
+    """(key, spk, enroll, short_pool): ``n`` other utterances of the target's speaker, in the order drawn.
 
-    ``targets`` has (key, utt, spk), ``utts`` (uttid, spk). Utterances are gathered once for each speaker; a target
-    takes its own out of that list and ranks what is left by tickets of both ids. A speaker with fewer than ``n``
-    others gives what there is, flagged.
+    ``targets`` has (key, utt, spk), ``utts`` (uttid, spk). Each speaker's utterances are numbered; a target draws
+    different numbers, its own left out, and only what it has drawn is fetched. A speaker with fewer than ``n`` others
+    gives what there is, flagged; targets with equal keys and speakers give one row.
     """
-    pools = utts.groupBy("spk").agg(F.collect_set(F.col("uttid").cast("string")).alias("pool"))
-    ranked = F.sort_array(F.transform(F.filter("pool", lambda u: u != F.col("utt").cast("string")), lambda u: F.struct(ticket(F.concat_ws("/", F.col("key"), u), "enroll", seed).alias("t"), u.alias("u"))))
-    rows = targets.join(pools, "spk", "left").select("key", "spk", F.coalesce(F.transform(F.slice(ranked, 1, n), lambda s: s["u"]), F.array().cast("array<string>")).alias("enroll"))
-    return rows.withColumn("short_pool", F.size("enroll") < n)
+    pool = stored(numbered(utts.select(F.col("spk").cast("string").alias("spk"), F.col("uttid").cast("string").alias("uttid")).distinct(), "spk", "uttid"), "pool")
+    own = pool.select("spk", F.col("uttid").alias("utt"), F.col("number").alias("own"))
+    sizes = pool.groupBy("spk").agg(F.count("*").alias("size"))
+    rows = targets.select("key", F.col("utt").cast("string").alias("utt"), F.col("spk").cast("string").alias("spk")).join(own, ["spk", "utt"], "left").join(sizes, "spk", "left")
+    others = F.coalesce("size", F.lit(0)) - F.col("own").isNotNull().cast("int")
+    drawn = rows.select("key", "spk", "own", F.explode_outer(distinct(F.col("key"), "enroll", others, n, seed)).alias("d"))
+    past = (F.col("own").isNotNull() & (F.col("d.number") >= F.col("own"))).cast("int")
+    met = drawn.select("key", "spk", "d.nth", (F.col("d.number") + past).alias("number")).join(pool.select("spk", "number", "uttid"), ["spk", "number"], "left")
+    lists = met.groupBy("key", "spk").agg(F.sort_array(F.collect_list(F.when(F.col("uttid").isNotNull(), F.struct("nth", "uttid")))).alias("d"))
+    return lists.select("key", "spk", F.transform("d", lambda x: x["uttid"]).alias("enroll")).withColumn("short_pool", F.size("enroll") < n)
 
 
 def by_length(pools: DataFrame, mode: str, seed: int = 0) -> DataFrame:
@@ -61,25 +69,33 @@ def channel(key: Column, channels: Column, seed: int = 0) -> Column:
 def interferers(rows: DataFrame, tries: int = 8, seed: int = 0) -> DataFrame:
     """``rows`` (key, idx, spk, all_spks) with another row whose speaker is none of the mixture's: other_idx, other_spk, use_mixture.
 
-    Each row draws ``tries`` row numbers and takes the first that is allowed. The rare row for which none is takes the
-    smallest ticket among one row of each speaker; where every speaker is in the mixture, the columns are null.
+    Each row draws ``tries`` row numbers and takes the first that is allowed. The rare row for which none is draws among
+    the numbers of all speakers but its mixture's, and takes that speaker's first row; where every speaker is in the
+    mixture, the columns are null.
     """
     size = rows.agg(F.count("*").alias("__size"))
     probes = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.struct(i.alias("nth"), F.floor((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.concat(F.lit("other."), i.cast("string")), F.col("key"))), 1, 8), 16, 10).cast("double") / 4294967296.0) * F.col("__size")).alias("other_idx")))
     asked = rows.crossJoin(F.broadcast(size)).select("key", "all_spks", F.explode(probes).alias("p")).select("key", "all_spks", "p.nth", "p.other_idx")
     own = rows.select(F.col("idx").alias("other_idx"), F.col("spk").alias("other_spk"))
     allowed = asked.join(own, "other_idx").filter(~F.array_contains(F.split("all_spks", "-"), F.col("other_spk").cast("string")))
-    first = allowed.groupBy("key").agg(F.min_by(F.struct("other_idx", "other_spk"), "nth").alias("o")).select("key", "o.*")
-    speakers = rows.groupBy(F.col("spk").cast("string").alias("s")).agg(F.min("idx").alias("i"))
-    everyone = speakers.agg(F.sort_array(F.collect_list(F.struct("s", "i"))).alias("__all"))
-    rest = rows.join(first, "key", "left_anti").crossJoin(F.broadcast(everyone))
-    free = F.filter("__all", lambda x: ~F.array_contains(F.split("all_spks", "-"), x["s"]))
-    best = F.array_min(F.transform(free, lambda x: F.struct(ticket(F.concat_ws("/", F.col("key"), x["s"]), "other", seed).alias("t"), x["s"].alias("s"), x["i"].alias("i"))))
-    fallback = rest.select("key", best["i"].alias("other_idx"), best["s"].cast(rows.schema["spk"].dataType).alias("other_spk"))
-    chosen = first.unionByName(fallback)
+    first = stored(allowed.groupBy("key").agg(F.min_by(F.struct("other_idx", "other_spk"), "nth").alias("o")).select("key", "o.*"), "first")
+    rest = stored(rows.select("key", "all_spks").join(first, "key", "left_anti"), "rest")
+    chosen = first if rest.isEmpty() else first.unionByName(_by_speaker(rows, rest, seed))
     return rows.join(chosen, "key", "left").withColumn("use_mixture", F.when(F.col("other_idx").isNotNull(), uniform(F.col("key"), "use_mixture", seed) < 0.5))
 
 
+def _by_speaker(rows: DataFrame, rest: DataFrame, seed: int) -> DataFrame:
+    """(key, other_idx, other_spk) for ``rest`` (key, all_spks): a speaker's number is drawn from the numbers that are left when the mixture's are taken out."""
+    names = rows.groupBy(F.col("spk").cast("string").alias("s")).agg(F.min("idx").alias("other_idx"), F.min("spk").alias("other_spk"))
+    known = stored(indexed(names, "s", "n"), "speakers")
+    size = known.agg(F.count("*").alias("size"))
+    listed = rest.select("key", F.explode(F.array_distinct(F.split("all_spks", "-"))).alias("s")).join(known.select("s", "n"), "s", "left")
+    taken = listed.groupBy("key").agg(F.sort_array(F.collect_list("n")).alias("taken")).crossJoin(F.broadcast(size))
+    left = F.col("size") - F.size("taken")
+    drawn = taken.filter(left > 0).select("key", F.aggregate("taken", whole(F.col("key"), "other", left, seed), lambda at, t: F.when(at >= t, at + 1).otherwise(at)).alias("n"))
+    return drawn.join(known, "n").select("key", "other_idx", "other_spk")
+
+
 def cases(rows: DataFrame, single: float, inactive: float, seed: int = 0) -> DataFrame:
     """``rows`` (key, ...) with their case: "inactive" (an interferer takes the mixture's place), "single" (the clean reference does) or "mixture"."""
     return rows.withColumn("case", F.when(uniform(F.col("key"), "inactive", seed) < inactive, "inactive").when(uniform(F.col("key"), "single", seed) < single, "single").otherwise("mixture"))
@@ -87,25 +103,25 @@ def cases(rows: DataFrame, single: float, inactive: float, seed: int = 0) -> Dat
 
 def shuffled(rows: DataFrame, size: int, key: str = "key", epoch: int = 0, seed: int = 0) -> DataFrame:
     """``rows`` with batch and pos: a shuffle by tickets, new in each epoch, cut into batches."""
-    from earshot.operators.manifests import indexed
-
-    mixed = indexed(rows.withColumn("__ticket", ticket(F.col(key), f"shuffle.{epoch}", seed)), "__ticket", "__idx")
+    mixed = indexed(rows.withColumn("__ticket", ticket(F.col(key), f"shuffle.{epoch}", seed)), ["__ticket", key], "__idx")
     return mixed.select(*rows.columns, F.floor(F.col("__idx") / size).alias("batch"), (F.col("__idx") % size).alias("pos"))
 
 
-def speaker_batches(utts: DataFrame, batches: int, speakers: int, each: int, seed: int = 0) -> DataFrame:
+def speaker_batches(utts: DataFrame, speakers: int, each: int, batches: int | None = None, seed: int = 0) -> DataFrame:
     """(batch, spk, uttid): every batch has ``speakers`` speakers and ``each`` utterances of each, without repetition within a batch.
 
-    Speakers with fewer utterances are left out. Batches x speakers is ranked inside an array for each batch, so its
-    size is that of the speaker list; utterances join only the speakers drawn.
+    As many batches as the utterances fill, if their number is not given. Speakers with fewer utterances are left out;
+    with fewer speakers than asked for, a batch has them all. Speakers and utterances are drawn by their numbers and
+    fetched by joins, so a batch costs the same whatever the corpus.
     """
-    pools = utts.groupBy("spk").agg(F.collect_set(F.col("uttid").cast("string")).alias("pool")).filter(F.size("pool") >= each)
-    names = pools.agg(F.sort_array(F.collect_list(F.col("spk").cast("string"))).alias("names"))
-    ranked = lambda a, key, salt, n: F.slice(F.sort_array(F.transform(a, lambda x: F.struct(ticket(F.concat_ws("/", key, x), salt, seed).alias("t"), x.alias("x")))), 1, n)
-    drawn = utts.sparkSession.range(batches).select(F.col("id").alias("batch")).crossJoin(F.broadcast(names))
-    drawn = drawn.select("batch", F.explode(ranked(F.col("names"), F.col("batch").cast("string"), "speaker", speakers)).alias("s")).select("batch", F.col("s.x").alias("spk"))
-    joined = drawn.join(pools.select(F.col("spk").cast("string").alias("spk"), "pool"), "spk")
-    return joined.select("batch", "spk", F.explode(ranked(F.col("pool"), F.concat_ws("/", F.col("batch").cast("string"), "spk"), "utt", each)).alias("u")).select("batch", "spk", F.col("u.x").alias("uttid"))
+    named = utts.select(F.col("spk").cast("string").alias("spk"), F.col("uttid").cast("string").alias("uttid")).distinct()
+    pool = stored(numbered(named, "spk", "uttid"), "pool")
+    known = stored(indexed(pool.filter("number = 0").filter(F.col("size") >= each).select("spk", "size"), "spk", "n"), "speakers")
+    batches = pool.count() // (speakers * each) if batches is None else batches
+    rows = utts.sparkSession.range(batches).select(F.col("id").alias("batch")).crossJoin(F.broadcast(known.agg(F.count("*").alias("all"))))
+    drawn = rows.select("batch", F.explode(distinct(F.col("batch"), "speaker", F.col("all"), speakers, seed)).alias("d")).select("batch", F.col("d.number").alias("n")).join(known, "n")
+    picked = drawn.select("batch", "spk", F.explode(distinct(F.concat_ws("/", F.col("batch").cast("string"), "spk"), "utt", F.col("size"), each, seed)).alias("d"))
+    return picked.select("batch", "spk", F.col("d.number").alias("number")).join(pool.select("spk", "number", "uttid"), ["spk", "number"]).select("batch", "spk", "uttid")
 
 
 def padded_batches(rows: DataFrame, w: str = "w") -> DataFrame:

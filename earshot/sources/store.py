@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such setting (tests on one machine) a temporary folder takes its place.
+    Only on one machine (a local master) a temporary folder takes its place where the session has no such setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/earshot-{uuid.uuid4().hex}"

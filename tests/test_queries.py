@@ -26,7 +26,7 @@ def test_frames_come_back(spark):
     """Overlap-add of frames whose overlaps agree gives the samples themselves."""
     waves = {}
     for r in registry.views.waves(spark, SF).orderBy("key").collect():
-        waves.setdefault(r["spk"], []).extend(r["w"])
+        waves.setdefault(f"{r['spk']}-{r['key'] // registry.SESSION}", []).extend(r["w"])
     got = {}
     for r in registry.overlap_added(spark, SF).orderBy("start").collect():
         got.setdefault(r["stream_id"], []).extend(r["samples"])

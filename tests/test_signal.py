@@ -74,16 +74,15 @@ def test_convolution_and_rooms():
     spike = np.r_[np.zeros(3), 2.0, np.zeros(4)]
     assert kernels.reverberated(x, spike, 16000) == pytest.approx(x)
     assert len(kernels.response(np.r_[np.zeros(10), 1, np.ones(2000)], 16000, "direct")) == 10 + 96
-    assert kernels.smooth_size(7) == 8 and kernels.smooth_size(121) == 125
 
 
 def test_filters():
     response = lambda h, f: abs(np.sum(h * np.exp(-2j * np.pi * f * np.arange(len(h)))))
-    low = kernels.lowpass(0.1, 100)
+    low = kernels.pass_band(0, 0.1, 100)
     assert response(low, 0.02) == pytest.approx(1, abs=1e-2) and response(low, 0.3) < 1e-2
-    band = kernels.bandpass(0.1, 0.2, 100)
+    band = kernels.pass_band(0.1, 0.2, 100)
     assert response(band, 0.15) == pytest.approx(1, abs=1e-2) and response(band, 0.02) < 1e-2 and response(band, 0.4) < 1e-2
-    gap = kernels.notch(0.2, 0.05, 401)
+    gap = kernels.stop_band(0.2, 0.3, 200)
     assert response(gap, 0.25) < 2e-2 and response(gap, 0.05) == pytest.approx(1, abs=1e-2) and response(gap, 0.45) == pytest.approx(1, abs=1e-2)
     with pytest.raises(ValueError):
         kernels.without_band(np.ones(1000), 16000, 8000, 10)
