@@ -22,9 +22,11 @@ from .common import mix, rolling, word_bounds, word_hashes
 WINDOW = 20
 #: Words of the runs whose smallest hash is the minimiser: long enough that no common phrase draws many windows.
 RUN = 4
-#: Bytes of text that a task works on at a time, and of packed strings that a bucket should hold.
+#: Bytes of text that a task works on at a time, and bytes of the corpus for each bucket.
 CHUNK = 8_000_000
-BUCKETS_PER_PARTITION = 4
+BUCKET = 4_000_000
+#: Bytes of passages that a bucket's task holds before it settles what it has and goes on with one copy of each window.
+SETTLED = 24_000_000
 #: Compression of what travels.
 LEVEL = 6
 NULL_ID = -(2**63)
@@ -72,6 +74,7 @@ class Passages:
     def repeated(self) -> np.ndarray:
         """For each window: does its word sequence start earlier, here?"""
         n = len(self.keys)
+        self.first = np.arange(n)
         if not n:
             return np.zeros(0, bool)
         order = np.argsort(self.keys)
@@ -99,6 +102,7 @@ class Passages:
                 seen: dict[bytes, int] = {}
                 for i in np.flatnonzero(self.keys == key).tolist():
                     first[i] = seen.setdefault(self.words(self.at[i], self.at[i] + w), i)
+        self.first = first
         # The same place of the same document, met twice, is no earlier one.
         mine, other = self.owner[self.at], self.owner[self.at[first]]
         return (self.ids[mine] != self.ids[other]) | (self.prints[mine] != self.prints[other]) | (self.place(self.at) != self.place(self.at[first]))
@@ -161,9 +165,9 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
     """(id, print, start, stop): stretches of words of ``docs`` (id, print, text) covered by windows that start earlier elsewhere."""
     if window < RUN:
         raise ValueError(f"a window has {RUN} words at least")
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or partitions * BUCKETS_PER_PARTITION
+    # The number of buckets follows the corpus, so that a bucket fits a task at any size.
+    buckets = buckets or int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET) + 1
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
@@ -179,15 +183,17 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
     def settle(parts: list):
+        """The intervals of the parts' repeated windows, and the other windows, one copy of each, as one part."""
         ids, prints, starts = (np.concatenate([p[k] for p in parts]) for k in range(3))
         texts = [t for p in parts for t in p[3]]
         order = np.lexsort((starts, prints, ids))
         there = Passages(ids[order], prints[order], starts[order], [texts[i] for i in order.tolist()], window)
-        return there.intervals(there.repeated())
+        found = there.intervals(there.repeated())
+        return found, [rest for _, *rest in there.route(there.first == np.arange(len(there.first)), 1)]
 
     def meet(batches):
         expand = zstandard.ZstdDecompressor()
-        bucket, parts = None, []
+        bucket, parts, size, most = None, [], 0, SETTLED
 
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], ["id", "print", "start", "stop"])
@@ -198,13 +204,20 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
                 if b < 0:
                     yield out(np.frombuffer(expand.decompress(blob), np.int64).reshape(4, -1))
                     continue
-                if b != bucket and parts:
-                    yield out(settle(parts))
-                    parts = []
-                bucket = b
+                if b != bucket:
+                    if parts:
+                        yield out(settle(parts)[0])
+                    bucket, parts, size, most = b, [], 0, SETTLED
                 parts.append(_unpack(blob, expand))
+                size += sum(map(len, parts[-1][3]))
+                if size > most:
+                    # Copies of a passage that very many documents share shrink to one before more of them come.
+                    found, parts = settle(parts)
+                    yield out(found)
+                    size = sum(map(len, parts[0][3])) if parts else 0
+                    most = max(SETTLED, 2 * size)
         if parts:
-            yield out(settle(parts))
+            yield out(settle(parts)[0])
 
     routed = docs.select("id", "print", "text").mapInArrow(send, _ROUTED)
     return routed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _INTERVALS)

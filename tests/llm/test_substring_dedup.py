@@ -49,11 +49,15 @@ def test_against_brute_force(spark):
 
 def test_small_chunks_meet_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 300)
+    monkeypatch.setattr(S, "SETTLED", 500)
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcd") for _ in range(80))) for i in range(30)]
     chunks = list(S._chunks(iter([spark.createDataFrame([(i, i, t) for i, t in rows], "i long, p long, t string").toArrow().to_batches()[0]])))
     assert len(chunks) > 1
-    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), window=5) == brute(rows, 5)
+    df = spark.createDataFrame([*rows, *rows[:9]], "doc_id long, text string").repartition(16)
+    assert got(df, window=5) == brute(rows, 5)
+    # One bucket for all, settled again and again as passages come in.
+    assert got(df, window=5, buckets=1) == brute(rows, 5)
 
 
 def test_equal_hashes_are_settled_by_words():
