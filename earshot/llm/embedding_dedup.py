@@ -20,18 +20,19 @@ from .common import mix, stored
 from .components import components
 
 THRESHOLD = 0.95
-#: Classes that a bucket should hold, and at most in a block.
+#: Classes that a bucket should hold, and at most in a block; bits of a key at least.
 BUCKET, BLOCK = 2048, 2048
+LEAST_BITS = 4
 #: Chance that a pair right at the threshold shares no bucket.
 MISS = 1e-5
 SEED = 11
 
 
 def plan(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """Bits per key and number of tables for ``n`` classes: one table without bits compares all with all."""
-    bits = max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    """Bits per key and number of tables for ``n`` classes, such that a pair at the threshold is missed with a chance of MISS whatever ``n``."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / BUCKET)))
     same = (1 - math.acos(threshold) / math.pi) ** bits
-    return (bits, math.ceil(math.log(MISS) / math.log1p(-same))) if bits else (0, 1)
+    return bits, math.ceil(math.log(MISS) / math.log1p(-same))
 
 
 def units(vectors: list) -> np.ndarray:
@@ -64,8 +65,14 @@ def possible(a: tuple, b: tuple, threshold: float) -> np.ndarray:
     return product >= threshold - 1e-9
 
 
+def _vectors(packed: list[bytes]) -> list[np.ndarray]:
+    """The vectors of packed rows: a letter for the kind of number, then the numbers."""
+    return [np.frombuffer(r, "<f4" if r[:1] == b"f" else "<f8", offset=1).astype(np.float64) for r in packed]
+
+
 def _packed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, packed): the vector's doubles as bytes, null for one that links with nothing."""
+    """(vec_id, packed): the vector's numbers as bytes (floats as floats, which loses nothing), null for one that links with nothing."""
+    single = "float" in vectors.schema["embedding"].dataType.simpleString()
 
     def work(batches):
         for batch in batches:
@@ -76,7 +83,7 @@ def _packed(vectors: DataFrame) -> DataFrame:
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no minus zero
                     if not np.isfinite(x).all() or not x.any():
                         x = None
-                packed.append(None if x is None else x.tobytes())
+                packed.append(None if x is None else b"f" + x.astype("<f4").tobytes() if single else b"d" + x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["vec_id", "packed"])
 
     return vectors.mapInArrow(work, "vec_id bigint, packed binary")
@@ -89,26 +96,30 @@ def _keyed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             raw = batch.column("packed").to_pylist()
-            keys = np.zeros((len(raw), tables), np.int64)
-            size = np.array([len(r) // 8 for r in raw])
+            keys, short = np.zeros((len(raw), tables), np.int64), np.zeros((len(raw), tables), np.uint32)
+            size = np.array([(len(r) - 1) // (4 if r[:1] == b"f" else 8) for r in raw])
             for d in np.unique(size):
                 own = np.flatnonzero(size == d)
                 if d not in planes:
                     planes[d] = np.random.default_rng([SEED, int(d)]).normal(size=(int(d), tables * bits))
-                unit = units([np.frombuffer(raw[i]) for i in own])
+                unit = units(_vectors([raw[i] for i in own]))
                 signs = (unit @ planes[d] > 0).reshape(len(own), tables, bits)
-                codes = (signs << np.arange(bits)).sum(2).astype(np.uint64) if bits else np.zeros((len(own), tables), np.uint64)
+                codes = (signs << np.arange(bits)).sum(2).astype(np.uint64)
+                short[own] = codes
                 keys[own] = mix(mix(codes + np.uint64(int(d) << 40)) + np.arange(tables, dtype=np.uint64)[None, :]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "packed")), pa.FixedSizeListArray.from_arrays(keys.reshape(-1), tables).cast(pa.list_(pa.int64()))], ["id", "n", "packed", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "n", "packed")), pa.FixedSizeListArray.from_arrays(keys.reshape(-1), tables).cast(pa.list_(pa.int64())), pa.array([c.tobytes() for c in short], pa.binary())],
+                ["id", "n", "packed", "keys", "codes"],
+            )
 
-    return classes.mapInArrow(work, "id bigint, n bigint, packed binary, keys array<bigint>")
+    return classes.mapInArrow(work, "id bigint, n bigint, packed binary, keys array<bigint>, codes binary")
 
 
 def _tile_links(ids, weights, blocks, raw, keys, table: int, i: int, j: int, threshold: float):
     """Links that this tile counts: (id, weight of its partners) and a spanning forest of pairs."""
     blocks = np.array(blocks)
     rows, cols = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-    unit = units([np.frombuffer(r) for r in raw])
+    unit = units(_vectors(raw))
     q = quantised(unit)
     part = lambda own: tuple(x[own] for x in q)
     partners = np.zeros(len(ids), np.int64)
@@ -121,7 +132,7 @@ def _tile_links(ids, weights, blocks, raw, keys, table: int, i: int, j: int, thr
             k = top[k]
         return k
 
-    weights, keys = np.array(weights, np.int64), np.array(keys)
+    weights, keys = np.array(weights, np.int64), np.frombuffer(b"".join(keys), np.uint32).reshape(len(ids), -1)
     step = 512
     for a in range(0, len(rows), step):
         for b in range(0, len(cols), step):
@@ -166,7 +177,7 @@ def _compared(tiles: DataFrame, threshold: float) -> DataFrame:
 
     partitions = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = ["t", "key", "i", "j"]
-    return tiles.select(*at, "id", "n", "block", "packed", "keys").repartition(partitions, *at).sortWithinPartitions(*at).mapInArrow(work, "a bigint, links bigint, b bigint")
+    return tiles.select(*at, "id", "n", "block", "packed", "codes").repartition(partitions, *at).sortWithinPartitions(*at).mapInArrow(work, "a bigint, links bigint, b bigint")
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -174,7 +185,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
 
     Vectors that are null, empty or zero, hold null or non-finite components or have a null id link with nothing;
     vectors of different lengths do not link. Repeated rows are vectors of their own that link with each other, but
-    one node. A row with a null id has a null component and is kept. An empty table gives an empty one.
+    one node. A row with a null id has a null component and is kept. Other columns, whatever their names, are not looked
+    at. An empty table gives an empty one.
     """
     rows = stored(_packed(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")), "packed")
     classes = stored(rows.filter("packed IS NOT NULL").groupBy("packed").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
@@ -182,12 +194,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     keyed = stored(_keyed(classes.select("id", "n", "packed"), bits, tables), "keyed")
     placed = keyed.select("id", F.posexplode("keys").alias("t", "key"))
     counts = stored(placed.groupBy("t", "key").agg(F.count("*").alias("size")).filter("size > 1"), "counts")
-    exploded = keyed.select("id", "n", "packed", "keys", F.posexplode("keys").alias("t", "key")).join(counts, ["t", "key"])
+    exploded = keyed.select("id", "n", "packed", "codes", F.posexplode("keys").alias("t", "key")).join(counts, ["t", "key"])
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id", "packed"), blocks).cast("int")
     # A block meets itself and each other block once.
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    tiles = exploded.withColumns({"blocks": blocks, "block": block}).withColumn("tile", F.explode(others)).select("t", "key", "tile.i", "tile.j", "id", "n", "block", "packed", "keys")
+    tiles = exploded.withColumns({"blocks": blocks, "block": block}).withColumn("tile", F.explode(others)).select("t", "key", "tile.i", "tile.j", "id", "n", "block", "packed", "codes")
     found = stored(_compared(tiles, threshold), "found")
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("outer"))
     joined = components(found.filter("b IS NOT NULL").select("a", "b"))
