@@ -22,6 +22,8 @@ from .common import shared_folder, stored
 LEAST_PAYLOAD = 100
 #: Records of a file at most, so that a reader can hold a file.
 RECORDS_PER_FILE = 5_000
+#: Captures of a range of the index that a task merges.
+RANGE = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "page_id bigint, url string, url_key string, captured string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, run string, offset bigint"
 
@@ -67,10 +69,11 @@ def record(page: dict[str, Column]) -> Column:
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> None:
     """Write ``pages`` (page_id, url, html, optional timestamp column captured) as compressed WARC files below ``path``.
 
-    Null html is an empty payload. Without times, captures are dated by page_id in seconds from the epoch.
+    Null html is an empty payload. Without times, captures are dated by page_id in seconds from the epoch. Dates are in
+    UTC whatever the session's time zone; other columns, whatever their names, are not looked at.
     """
     time = F.col("captured") if "captured" in pages.columns else F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) % 4_000_000_000)
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"), url_key(F.col("url")).alias("url_key"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"), url_key(F.col("url")).alias("url_key"))
     dealt = with_originals(rows, least).sortWithinPartitions("url_key", "captured", "page_id")
     value = record({c: F.col(c) for c in ("page_id", "url", "captured", "payload", "payload_bytes", "payload_digest", "refers_to")})
     dealt.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -163,12 +166,15 @@ class LoserTree:
 def merged_index(captures: DataFrame) -> DataFrame:
     """``captures`` in global order of (url_key, captured, page_id, run, offset): partition after partition, rows within it in order.
 
-    Ranges are cut by the whole key, so a URL with very many captures spans partitions.
+    Ranges are cut by the whole key, so a URL with very many captures spans partitions, and their number follows the
+    captures, so that a task can hold its range. The captures are stored once: the archives are read once for the ranges'
+    bounds and for the rows. Within a range only the runs' own order is restored; the tree merges them.
     """
     columns = captures.columns
-    partitions = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = captures.repartitionByRange(partitions, "url_key", "captured", "page_id", "run", "offset")
-    ordered = ranged.sortWithinPartitions("run", "url_key", "captured", "page_id", "offset")
+    captures = stored(captures, "captures")
+    ranges = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), captures.count() // RANGE + 1)
+    ranged = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "offset")
+    ordered = ranged.sortWithinPartitions("run", "offset")
     schema = captures.schema
 
     def merge(batches):

@@ -61,3 +61,13 @@ def test_loser_tree():
     for _ in range(200):
         runs = [sorted((rng.randint(0, 9), i, j) for j in range(rng.randint(0, 6))) for i in range(rng.randint(0, 9))]
         assert [h for _, h in W.LoserTree(runs)] == sorted(x for r in runs for x in r)
+
+
+def test_dates_are_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got, _ = round_trip(spark, spark.createDataFrame([(5, "u", "h")], "page_id long, url string, html string"))
+        assert got.first()["captured"] == "1970-01-01T00:00:05Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
