@@ -91,16 +91,21 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
 
 def findings_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each blob with findings: a count for each kind and ``spans``, an array of (start, kind_order, kind, end) in order."""
-    found = ledger.filter("kind IS NOT NULL")
-    counts = [F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in rules]
-    return found.groupBy("blob").agg(*counts, F.array_sort(F.collect_list(F.struct("start", "kind_order", "kind", "end"))).alias("spans"))
+    # As a set: two writers may have scanned one blob at the same time.
+    found = ledger.filter("kind IS NOT NULL").groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "kind_order", "kind", "end"))).alias("spans"))
+
+    def of(kind: str):
+        return lambda x: x["kind"] == kind
+
+    counts = [F.size(F.filter("spans", of(r.kind))).cast("bigint").alias(f"n_{r.kind}") for r in rules]
+    return found.select("blob", *counts, "spans")
 
 
 def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """``docs`` (any columns, among them text) with n_assign, n_access, n_hex and the array ``secret_spans``.
 
-    Every input row comes back once, repeated rows too; a null text has no findings. Columns of these names
-    are replaced.
+    Every input row comes back once, repeated rows too; a null text has no findings, a text of any length is scanned
+    whole. Columns of these names are replaced.
     """
     spark = docs.sparkSession
     ledger = scan_versions(docs, ledger_path or f"{shared_folder(spark)}/ledger")

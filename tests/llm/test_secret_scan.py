@@ -52,3 +52,18 @@ def test_every_row_comes_back_and_is_redacted(spark):
     got = sorted(((r["doc_id"], r["text"], r["n_assign"], r["n_access"]) for r in out.collect()), key=str)
     assert got == sorted([(1, "é [REDACTED] end", 1, 0)] * 2 + [(None, None, 0, 0), (2, "clean", 0, 0), (3, "[REDACTED]!", 1, 1), (4, "", 0, 0)], key=str)
     assert "blob" in out.columns and S.scan_documents(df.limit(0)).count() == 0
+
+
+def test_two_writers_of_one_blob_count_once(spark):
+    path = f"{S.shared_folder(spark)}/ledger"
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop")], "doc_id long, text string")
+    ledger = S.scan_versions(docs, path)
+    twice = ledger.unionByName(ledger)
+    (row,) = S.findings_by_blob(twice).collect()
+    assert (row["n_assign"], len(row["spans"])) == (1, 1)
+
+
+def test_very_long_text(spark):
+    text = "word " * 200_000 + "token=abcdefghijklmnop"
+    (row,) = S.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(x["start"], x["end"]) for x in row["secret_spans"]] == [(1_000_000, len(text))]
