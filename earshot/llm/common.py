@@ -15,7 +15,7 @@ from earshot.sources.store import shared_folder, stored  # noqa: F401
 SEPARATORS = b" \t\n\x0b\x0c\r"
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str | int, size: int) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in slices of at most ``size`` bytes of ``column`` (one row at least), so that a task's memory does not follow the batch size."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

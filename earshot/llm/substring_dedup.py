@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, word_bounds, word_hashes
+from .common import mix, pieces, rolling, word_bounds, word_hashes
 
 WINDOW = 20
 #: Words of the runs whose smallest hash is the minimiser: long enough that no common phrase draws many windows.
@@ -25,6 +25,8 @@ RUN = 4
 #: Bytes of text that a task works on at a time, and bytes of the corpus for each bucket.
 CHUNK = 8_000_000
 BUCKET = 4_000_000
+#: Bytes of text, packed or not, that are taken out of an Arrow batch at a time.
+PIECE = 1_000_000
 #: Bytes of passages that a bucket's task holds before it settles what it has and goes on with one copy of each window.
 SETTLED = 24_000_000
 #: Compression of what travels.
@@ -149,7 +151,7 @@ def _unpack(blob: bytes, expand):
 def _chunks(batches):
     """(id, print, single-spaced words) of documents, some megabytes at a time, in order and each document once."""
     rows, size = {}, 0
-    for batch in batches:
+    for batch in pieces(batches, 2, PIECE):
         for doc, fingerprint, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             words = b" ".join(text.encode().split())
             rows[doc, fingerprint] = words
@@ -181,6 +183,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, buckets: int | Non
             if len(found[0]):
                 out.append((-1 - (n + int(ids[0])) % buckets, squeeze.compress(np.stack(found).astype(np.int64).tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
+            del rows, ids, prints, texts, here, again, out, found  # before the next chunk is gathered
 
     def settle(parts: list):
         """The intervals of the parts' repeated windows, and the other windows, one copy of each, as one part."""
@@ -238,7 +241,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, buckets: int | None
     def squeeze(batches):
         # Texts cross the shuffle compressed: they are most of what this operator moves.
         small = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in pieces(batches, 3, PIECE):
             packed = [small.compress(t.encode()) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(packed, pa.binary())], ["doc_id", "id", "print", "packed"])
 
@@ -247,7 +250,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, buckets: int | None
 
     def cut(batches):
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches, 1, PIECE):
             docs, texts, starts, stops = (batch.column(i) for i in range(4))
             n_words, n_removed, kept = [], [], []
             for text, a, b in zip(texts, starts.to_pylist(), stops.to_pylist()):
