@@ -34,48 +34,64 @@ def left_out(rows: DataFrame, v: str = "dvec") -> DataFrame:
     return joined.withColumn("others", F.when(F.col("n") > 1, mean)).drop("sums", "n")
 
 
-def _similarities(rows: DataFrame, w: float, b: float, v: str) -> DataFrame:
-    """Scaled similarity of every row to every speaker's centroid, its own without itself.
+def _against_others(rows: DataFrame, classes: DataFrame, score, most: float, block: int = 1024) -> DataFrame:
+    """(uttid, own, rest, best): how each row scores against all classes but its own.
 
-    Centroids (speakers x dimensions) go to all tasks by way of a join that Spark broadcasts while they are small.
+    ``rows`` has (uttid, spk, v, own), ``classes`` (spk, v), vectors at length 1; ``score`` maps cosines to scores, at
+    most ``most``. ``rest`` is the sum of exp(score - most), ``best`` the largest score (minus infinity if there is no
+    other class). Rows and classes are cut into blocks of about ``block``; a task multiplies one block of each and
+    returns one row of sums for each of its rows, so neither side has to fit anywhere whole.
     """
-    e = unit(F.col(v))
-    points = left_out(rows.withColumn(v, e), v)
-    middle = centroids(rows.withColumn(v, e), "spk", v).select(F.col("spk").alias("other"), "centroid")
-    pairs = points.crossJoin(middle)
-    own = F.col("spk") == F.col("other")
-    c = F.when(own, F.coalesce("others", "centroid")).otherwise(F.col("centroid"))
-    # The vectors of the points have length 1 already, so the centroid's length is all that is left to divide by.
-    cos = let(c, lambda m: F.greatest(dot(F.col(v), m) / F.greatest(F.sqrt(dot(m, m)), F.lit(1e-12)), F.lit(1e-6)))
-    return pairs.select("uttid", "spk", "other", own.alias("own"), (F.lit(w) * cos + F.lit(b)).alias("s"))
+    import numpy as np
+    import pandas as pd
+
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"uttid": left.uttid, "own": left.own, "rest": 0.0, "best": -np.inf})
+        s = score(np.clip(np.stack(left.v.to_numpy()) @ np.stack(right.other_v.to_numpy()).T, -1, 1))
+        same = left.spk.to_numpy()[:, None] == right.other.to_numpy()[None, :]
+        return pd.DataFrame({"uttid": left.uttid, "own": left.own, "rest": np.where(same, 0, np.exp(s - most)).sum(1), "best": np.where(same, -np.inf, s).max(1)})
+
+    def blocks(of: DataFrame, name: str) -> DataFrame:
+        return of.agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.lit(1)).cast("int").alias(name))
+
+    sizes = F.broadcast(blocks(rows, "m").crossJoin(blocks(classes, "n")))  # one row
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = rows.crossJoin(sizes).select(place("uttid", "m").alias("i"), every("n").alias("j"), "uttid", "spk", "v", "own")
+    rights = classes.crossJoin(sizes).select(every("m").alias("i"), place("spk", "n").alias("j"), F.col("spk").alias("other"), F.col("v").alias("other_v"))
+    kind = rows.schema["uttid"].dataType.simpleString()
+    met = lefts.groupBy("i", "j").cogroup(rights.groupBy("i", "j")).applyInPandas(tile, f"uttid {kind}, own double, rest double, best double")
+    return met.groupBy("uttid").agg(F.max("own").alias("own"), F.sum("rest").alias("rest"), F.max("best").alias("best"))
 
 
 def ge2e_loss(rows: DataFrame, kind: str = "softmax", w: float = 10.0, b: float = -5.0, v: str = "dvec") -> DataFrame:
-    """(loss): generalized end-to-end loss summed over rows, "softmax" or "contrast"."""
-    s = _similarities(rows, w, b, v)
-    own = F.max(F.when(F.col("own"), F.col("s")))
+    """(loss): generalized end-to-end loss summed over rows, "softmax" or "contrast"; a row's own centroid leaves it out (``w`` above 0)."""
+    if kind not in ("softmax", "contrast"):
+        raise ValueError(f"no such kind: {kind}")
+    units = rows.select("uttid", "spk", unit(F.col(v)).alias("v"))
+    cos = lambda m: F.greatest(dot(F.col("v"), m), F.lit(1e-6))
+    points = left_out(units, "v").select("uttid", "spk", "v", (F.lit(w) * cos(unit(F.coalesce("others", "v"))) + F.lit(b)).alias("own"))
+    middle = centroids(units, "spk", "v").select("spk", unit(F.col("centroid")).alias("v"))
+    met = _against_others(points, middle, lambda x: w * x.clip(1e-6) + b, w + b)
     if kind == "softmax":
-        each = F.log(F.sum(F.exp("s"))) - own
-    elif kind == "contrast":
-        sigmoid = lambda x: 1 / (1 + F.exp(-x))
-        each = 1 - sigmoid(own) + F.coalesce(F.max(F.when(~F.col("own"), sigmoid(F.col("s")))), F.lit(0.0))
+        each = F.log1p(F.col("rest") * F.exp(F.lit(w + b) - F.col("own")))
     else:
-        raise ValueError(f"no such kind: {kind}")
-    return s.groupBy("uttid").agg(each.alias("loss")).agg(F.sum("loss").alias("loss"))
+        sigmoid = lambda x: 1 / (1 + F.exp(-x))
+        each = 1 - sigmoid(F.col("own")) + sigmoid(F.col("best"))
+    return met.agg(F.sum(each).alias("loss"))
 
 
 def aam_softmax_loss(rows: DataFrame, classes: DataFrame, margin: float = 0.2, scale: float = 30.0, v: str = "dvec") -> DataFrame:
-    """(loss): mean additive-angular-margin cross entropy of rows against class weights (spk, weight)."""
-    known = classes.select(F.col("spk").alias("other"), unit(F.col("weight")).alias("weight"))
-    met = rows.withColumn(v, unit(F.col(v))).crossJoin(known)
-    pairs = met.select("uttid", "spk", "other", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col(v), F.col("weight")))).alias("cos"))
-    cos = F.col("cos")
-    sin = F.sqrt(F.greatest(1 - cos * cos, F.lit(0.0)))
-    phi = F.when(cos > F.lit(math.cos(math.pi - margin)), cos * F.lit(math.cos(margin)) - sin * F.lit(math.sin(margin))).otherwise(cos - F.lit(math.sin(math.pi - margin) * margin))
-    own = F.col("spk") == F.col("other")
-    s = pairs.select("uttid", own.alias("own"), (F.lit(scale) * F.when(own, phi).otherwise(cos)).alias("s"))
-    each = F.log(F.sum(F.exp("s"))) - F.max(F.when(F.col("own"), F.col("s")))
-    return s.groupBy("uttid").agg(each.alias("loss")).agg(F.avg("loss").alias("loss"))
+    """(loss): mean additive-angular-margin cross entropy of rows against class weights (spk, weight); rows of no known class do not count."""
+    known = classes.select("spk", unit(F.col("weight")).alias("v"))
+    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("mine"))))
+    own = rows.select("uttid", "spk", unit(F.col(v)).alias("v")).join(known.select("spk", F.col("v").alias("mine")), "spk").select("uttid", "spk", "v", cos.alias("cos"))
+    c = F.col("cos")
+    sin = F.sqrt(F.greatest(1 - c * c, F.lit(0.0)))
+    phi = F.when(c > F.lit(math.cos(math.pi - margin)), c * F.lit(math.cos(margin)) - sin * F.lit(math.sin(margin))).otherwise(c - F.lit(math.sin(math.pi - margin) * margin))
+    met = _against_others(own.select("uttid", "spk", "v", (F.lit(scale) * phi).alias("own")), known, lambda x: scale * x, scale)
+    return met.agg(F.avg(F.log1p(F.col("rest") * F.exp(F.lit(scale) - F.col("own")))).alias("loss"))
 
 
 def triplet_loss(rows: DataFrame, margin: float = 1.0, distance: str = "euclidean", compat: bool = False) -> DataFrame:
