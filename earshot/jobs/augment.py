@@ -104,6 +104,17 @@ def augmented(planned: DataFrame, sample_rate: int = 16000, target: str = "image
     return made.withColumns({c: F.when(F.col("augmented"), F.col(c)) for c in ("speed", "snr", "a1", "a2", "b1", "b2")})
 
 
+def with_white_noise(rows: DataFrame, snr_db: float, seed: int = 0, key: str = "key", w: str = "w") -> DataFrame:
+    """``rows`` with ``x``: ``w`` and Gaussian noise at a ratio to its power; the noise depends on the key alone."""
+    drawn = rows.withColumn("__seed", whole(F.col(key), "white", 2**31, seed))
+    made = by_row(drawn, lambda a, s: {"x": np.asarray(a, np.float64) + kernels.white_noise(np.asarray(a, np.float64), snr_db, s)}, "x array<double>", [w, "__seed"])
+    return made.drop("__seed")
+
+
+#: Speed and volume that always change, as one preset.
+SPEED_AND_VOLUME = Chances(speed=1.0, rir=0.0, noise=0.0, response=0.0, speeds=(0.8, 1.2), volumes=(0.125, 2.0))
+
+
 def enrollment_level(key: Column, seed: int = 0) -> Column:
     """Level of an enrollment clip in dB: normal around -28 with variance 10, to tenths."""
     return F.round(F.lit(-28.0) + F.sqrt(F.lit(10.0)) * normal(key, "level", seed), 1)

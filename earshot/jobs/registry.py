@@ -593,26 +593,111 @@ def _resampled(w, factor: float):
     return {"x": kernels.changed_speed(np.array(w), factor)}
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS w, 0.9 + {draw("speed", "vec_id")} * {1.1 - 0.9!r} AS f FROM embeddings),
+c AS (SELECT key, w, f, least(f, 1.0) * 0.99 AS cutoff, CAST(ceil(len(w) / f) AS BIGINT) AS n FROM v),
+o AS (SELECT *, unnest(range(n)) AS i FROM c),
+t AS (SELECT key, n, i, cutoff / f AS gain, [w[j + 1] FOR j IN range(len(w))] AS w, [(i * f - j) * (cutoff / f) FOR j IN range(len(w))] AS t FROM o)
+SELECT key, CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS i,
+  round(coalesce(list_sum([w[k] * gain * CASE WHEN t[k] = 0 THEN 1 ELSE sin(pi() * t[k]) / (pi() * t[k]) END * pow(cos(pi() * t[k] / 12), 2) FOR k IN range(1, len(w) + 1) IF abs(t[k]) < 6]), 0), 5) + 0 AS x FROM t""")
 def speed_changed_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each wave at a drawn speed, pitch included."""
     rows = views.waves(spark, sf_dir).select("key", "w", uniform(F.col("key"), "speed", low=0.9, high=1.1).alias("factor"))
     made = signal.by_row(rows, _resampled, "x array<double>", ["w", "factor"])
-    return made.select("key", "factor", F.size("x").alias("n"), F.posexplode("x").alias("i", "x"))
+    return made.select("key", F.size("x").alias("n"), F.posexplode("x").alias("i", "x")).select("key", "n", "i", (F.round("x", 5) + 0.0).alias("x"))
 
 
-@query()
+@query("""
+WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+e AS (SELECT k, CASE WHEN m >= 15 THEN 1000 * exp(ln(6.4) / 27 * (m - 15)) ELSE m * (200 / 3.0::DOUBLE) END AS hz FROM (SELECT k, k * (15 + ln(8.0) / (ln(6.4) / 27)) / 7 AS m FROM (SELECT unnest(range(8)) AS k))),
+l AS (SELECT a.k AS band, a.hz AS low, b.hz AS mid, c.hz AS high FROM e a JOIN e b ON b.k = a.k + 1 JOIN e c ON c.k = a.k + 2),
+p AS (SELECT band, list(greatest(0, least((bin * 500 - low) / (mid - low), (high - bin * 500) / (high - mid))) * 2 / (high - low) ORDER BY bin) AS weight FROM l, (SELECT unnest(range(17)) AS bin) GROUP BY band),
+f AS (SELECT key, w, unnest(range((len(w) - 32) // 16 + 1)) AS frame FROM v),
+b AS (SELECT key, frame, w, unnest(range(17)) AS bin FROM f),
+z AS (SELECT key, frame, bin, pow(list_sum([w[frame * 16 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 32)) * cos(2 * pi() * bin * n / 32) FOR n IN range(32)]), 2)
+  + pow(list_sum([w[frame * 16 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 32)) * sin(2 * pi() * bin * n / 32) FOR n IN range(32)]), 2) AS power FROM b),
+g AS (SELECT key, frame, list(power ORDER BY bin) AS power FROM z GROUP BY key, frame)
+SELECT key, CAST(frame AS INTEGER) AS frame, CAST(band AS INTEGER) AS band, round(1000 * list_dot_product(power, weight), 5) + 0 AS x FROM g, p""")
 def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mel bands of short frames."""
+    """Mel bands of short frames, in thousandths."""
     made = signal.mels(views.waves(spark, sf_dir).select("key", "w"), 16000, 32, 16, 6)
-    return made.select("key", F.posexplode("mel").alias("frame", "bands"))
+    bands = made.select("key", F.posexplode("mel").alias("frame", "bands")).select("key", "frame", F.posexplode("bands").alias("band", "x"))
+    return bands.select("key", "frame", "band", (F.round(1000 * F.col("x"), 5) + 0.0).alias("x"))
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS w, (500.0 + {draw("notch", "vec_id")} * 6500.0) AS hz FROM embeddings),
+c AS (SELECT key, w, hz / 16000 AS low, (hz + 2 * least(500, 8000 - hz)) / 16000 AS high FROM v),
+p AS (SELECT *, [CASE WHEN t = 0 THEN 2 * low ELSE sin(2 * pi() * low * t) / (pi() * t) END * (0.42 - 0.5 * cos(2 * pi() * (t + 15) / 30) + 0.08 * cos(4 * pi() * (t + 15) / 30)) FOR t IN range(-15, 16)] AS a,
+  [CASE WHEN t = 0 THEN 2 * high ELSE sin(2 * pi() * high * t) / (pi() * t) END * (0.42 - 0.5 * cos(2 * pi() * (t + 15) / 30) + 0.08 * cos(4 * pi() * (t + 15) / 30)) FOR t IN range(-15, 16)] AS b FROM c),
+h AS (SELECT key, w, [a[k] / list_sum(a) - b[k] / list_sum(b) + CASE WHEN k = 16 THEN 1 ELSE 0 END FOR k IN range(1, 32)] AS h FROM p),
+o AS (SELECT key, w, h, unnest(range(len(w))) AS i FROM h)
+SELECT key, CAST(i AS INTEGER) AS i, round(list_sum([w[j + 1] * h[i - j + 16] FOR j IN range(len(w)) IF abs(i - j) <= 15]), 5) + 0 AS x FROM o""")
 def notched_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each wave without a drawn band of 500 Hz."""
+    """Each wave without a drawn band of up to 1000 Hz."""
     rows = views.waves(spark, sf_dir).select("key", "w", uniform(F.col("key"), "notch", low=500, high=7000).alias("cutoff"))
-    return signal.by_row(rows, lambda w, c: {"x": kernels.without_band(np.array(w), 16000, c, 500.0, 31)}, "x array<double>", ["w", "cutoff"]).drop("w")
+    made = signal.by_row(rows, lambda w, c: {"x": kernels.without_band(np.array(w), 16000, c, 500.0, 31)}, "x array<double>", ["w", "cutoff"])
+    return made.select("key", F.posexplode("x").alias("i", "x")).select("key", "i", (F.round("x", 5) + 0.0).alias("x"))
+
+
+@query(f"""WITH {views.TRIOS}, o AS (SELECT key, clean AS w, noisy AS h, unnest(range(len(clean))) AS i FROM t)
+SELECT key, CAST(i AS INTEGER) AS i, round(list_sum([w[j + 1] * h[i - j + 1] FOR j IN range(i + 1) IF i - j < len(h)]), 5) + 0 AS x FROM o""")
+def causal_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convolution with the noisy side that looks back only."""
+    made = signal.causal_filtered(views.trios(spark, sf_dir).select("key", F.col("clean").alias("w"), F.col("noisy").alias("h")))
+    return made.select("key", F.posexplode("x").alias("i", "x")).select("key", "i", (F.round("x", 5) + 0.0).alias("x"))
+
+
+@query("""
+WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+f AS (SELECT key, w, unnest(range((len(w) - 16) // 8 + 1)) AS frame FROM v),
+b AS (SELECT key, frame, w, unnest(range(6)) AS bin FROM f),
+t AS (SELECT *, 50 * pow(120, bin / 6.0::DOUBLE) * 16 / 16000 AS turn FROM b)
+SELECT key, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin,
+  round(list_sum([w[frame * 8 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * turn * n / 16) FOR n IN range(16)]), 5) + 0 AS re,
+  round(-list_sum([w[frame * 8 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * turn * n / 16) FOR n IN range(16)]), 5) + 0 AS im FROM t""")
+def log_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra with six bins spread by ratio from 50 to 6000 hertz."""
+    rows = signal.spectra(views.waves(spark, sf_dir), 16, 8, scale="log", bins=6)
+    flat = rows.select("key", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    return flat.select("key", "frame", "bin", (F.round("z.re", 5) + 0.0).alias("re"), (F.round("z.im", 5) + 0.0).alias("im"))
+
+
+@query("""
+WITH v AS (SELECT vec_id AS key, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+f AS (SELECT key, i // 8 AS frame, i % 8 AS bin, x FROM v)
+SELECT key, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin,
+  round((x - avg(x) OVER k) / sqrt(var_pop(x) OVER k + 1e-8), 5) + 0 AS by_key, round((x - avg(x) OVER r) / sqrt(var_pop(x) OVER r + 1e-8), 5) + 0 AS by_frame, round((x - avg(x) OVER c) / sqrt(var_pop(x) OVER c + 1e-8), 5) + 0 AS by_bin
+FROM f WINDOW k AS (PARTITION BY key), r AS (PARTITION BY key, frame), c AS (PARTITION BY key, bin)""")
+def normalized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves as frames of eight bins, each value against its waveform, its frame, its bin."""
+    flat = views.waves(spark, sf_dir).select("key", F.posexplode("w").alias("i", "x")).select("key", F.floor(F.col("i") / 8).cast("int").alias("frame"), (F.col("i") % 8).alias("bin"), "x")
+    for name, by in (("by_key", ["key"]), ("by_frame", ["key", "frame"]), ("by_bin", ["key", "bin"])):
+        flat = signal.normalized(flat, "x", by, name)
+    return flat.select("key", "frame", "bin", *((F.round(c, 5) + 0.0).alias(c) for c in ("by_key", "by_frame", "by_bin")))
+
+
+@query()
+def white_noise_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wave with Gaussian noise at 10 dB."""
+    return augment.with_white_noise(views.waves(spark, sf_dir).select("key", "w"), 10.0)
+
+
+@query()
+def mel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves from their mel bands and phases."""
+    rows = signal.mels(views.waves(spark, sf_dir).select("key", "w"), 16000, 32, 16, 6, phase=True)
+    return signal.from_mels(rows, 16000, 32, 16).select("key", "w", "back")
+
+
+@query(f"""
+WITH u AS (SELECT user_id AS key, event_id AS utt, value AS seconds FROM events WHERE value IS NOT NULL),
+d AS (SELECT *, md5('0|enroll.order|' || key || '/' || utt) AS ticket FROM u),
+c AS (SELECT key, utt, ticket, coalesce(sum(seconds) OVER (PARTITION BY key ORDER BY ticket DESC, utt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT key, string_agg(CAST(utt AS VARCHAR), ' ' ORDER BY ticket DESC, utt) AS utts FROM c WHERE before = 0 OR before < 60 GROUP BY key""")
+def enrollment_until_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips in a drawn order, as many as it takes to reach 60 seconds."""
+    return picks.drawn_until(_clips(spark, sf_dir), 60.0).groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "utt"))), lambda x: x["utt"].cast("string")), " ").alias("utts"))
 
 
 #: Waves of a speaker that make one recording session.

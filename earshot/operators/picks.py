@@ -54,6 +54,14 @@ def joined_clips(clips: DataFrame, least: float | None = None) -> DataFrame:
     return rows.select("key", F.transform("c", lambda x: x["utt"]).alias("utts"), F.aggregate("c", F.lit(0.0), lambda a, x: a + x["seconds"]).alias("seconds"))
 
 
+def drawn_until(clips: DataFrame, least: float, seed: int = 0) -> DataFrame:
+    """Rows of (key, pos, utt, seconds) with ``nth``: each key's clips in a drawn order, one at least, and more while they are shorter than ``least`` together."""
+    order = Window.partitionBy("key").orderBy(ticket(F.concat_ws("/", "key", "utt"), "enroll.order", seed).desc(), "utt")
+    before = F.coalesce(F.sum("seconds").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    nth = F.row_number().over(order) - 1
+    return clips.withColumns({"nth": nth, "__before": before}).filter((F.col("nth") == 0) | (F.col("__before") < least)).drop("__before")
+
+
 def assigned(rows: DataFrame, pool: DataFrame, salt: str, key: str = "key", seed: int = 0) -> DataFrame:
     """``rows`` joined with one row of ``pool`` (idx from 0 on, ...) each, drawn uniformly. Draw first, fetch after: the join is on the drawn number."""
     size = pool.agg(F.count("*").alias("__size"))
