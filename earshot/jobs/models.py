@@ -24,6 +24,11 @@ def extracted(mixtures: DataFrame, clips: DataFrame, model: Callable[[np.ndarray
     return enhanced(mixtures.join(joined, "key"), model, ["w", "enroll"])
 
 
+def conditioned(mixtures: DataFrame, vectors: DataFrame, model: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Target-speaker extraction from vectors: each mixture (key, w) with its speaker's vector (key, dvec); a mixture without one gets null."""
+    return enhanced(mixtures.join(vectors.select("key", "dvec"), "key", "left"), model, ["w", "dvec"])
+
+
 def embeddings(clips: DataFrame, model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(uttid, spk, dvec) from (uttid, spk, w)."""
     return by_row(clips.select("uttid", "spk", "w"), lambda w: {"dvec": np.asarray(model(w), np.float64)}, "dvec array<double>", ["w"]).drop("w")

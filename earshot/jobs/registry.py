@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import kernels, signal, waves
 from earshot.functions.draws import uniform, whole
-from earshot.jobs import augment, datasets, views
+from earshot.jobs import augment, datasets, losses, models, views
 from earshot.jobs.reports import SCORES, activity_report
 from earshot.operators import embeddings, manifests, picks, scores, sequences, spectral
 from earshot.sources.store import shared_folder
@@ -769,6 +769,29 @@ def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.batched(frames, lambda: chunks.OverlapAdd(32, 16), chunks.OverlapAdd.columns)
 
 
+# --- jobs by name ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {views.TRIOS}, m AS (SELECT key, clean, enh, {_moments("enh", "clean")} FROM t),
+l AS (SELECT -({_SISNR}) AS sisnr, list_sum([abs(enh[i] - clean[i]) FOR i IN range(1, len(clean) + 1)]) / len(clean) AS l1 FROM m)
+SELECT round(avg(sisnr) + avg(l1), 6) AS loss FROM l""")
+def named_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of a loss of the registry and a user's own one."""
+    l1 = losses.by_rows(lambda x, y, _: waves.total(F.zip_with(x, y, lambda a, b: F.abs(a - b))) / F.size(y))
+    return losses.loss("sisnr+l1", {"l1": l1})(views.trios(spark, sf_dir)).select(*r6("loss"))
+
+
+@query(f"""WITH {views.TRIOS}, c AS (SELECT spk, i, avg(x) AS m FROM (SELECT spk, unnest(range(len(clean))) AS i, unnest(clean) AS x FROM t) GROUP BY spk, i),
+v AS (SELECT spk, list(m ORDER BY i) AS v FROM c GROUP BY spk)
+SELECT key, CAST(unnest(range(len(noisy))) AS INTEGER) AS i, round(unnest([noisy[k] * v[k] FOR k IN range(1, len(noisy) + 1)]), 6) AS x FROM t JOIN v ON t.spk = v.spk""")
+def conditioned_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that sees each mixture and its speaker's centroid; here it multiplies them."""
+    t = views.trios(spark, sf_dir)
+    middle = embeddings.centroids(t.select("spk", F.col("clean").alias("dvec")))
+    vectors = t.select("key", "spk").join(middle, "spk").select("key", F.col("centroid").alias("dvec"))
+    return long(models.conditioned(t.select("key", F.col("noisy").alias("w")), vectors, lambda w, v: w * v), "enh", "key")
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 

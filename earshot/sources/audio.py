@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from earshot.operators.manifests import last_of_each
 from earshot.sources.store import stored
+from earshot.sources.text import write_manifests
 
 
 def listing(spark: SparkSession, path: str, suffix: str = ".wav") -> DataFrame:
@@ -122,6 +124,42 @@ def write_waves(rows: DataFrame, path: str) -> None:
     rows.select("uttid", "sample_rate", "w").mapInPandas(work, "uttid string, wav binary").write.mode("overwrite").parquet(path)
 
 
+def write_wave_files(rows: DataFrame, path: str, folders: int = 256) -> DataFrame:
+    """(uttid, path) of the .wav files written for rows (uttid, sample_rate, w), for manifests to point at.
+
+    A file's folder below ``path`` (shared by all executors) follows from its id, and a file is moved into place when
+    it is whole, so a task that runs again writes the same files. Slashes in ids become "%2F"; of equal ids one stays.
+    """
+
+    def work(batches):
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(path)
+        for pdf in batches:
+            made = []
+            for uttid, folder, rate, w in zip(pdf["uttid"], pdf["folder"], pdf["sample_rate"], pdf["w"]):
+                name = f"{folder}/{str(uttid).replace('/', '%2F')}.wav"
+                fs.create_dir(f"{root}/{folder}", recursive=True)
+                part = f"{root}/{folder}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(encode(np.asarray(w), int(rate)))
+                fs.move(part, f"{root}/{name}")
+                made.append(f"{path}/{name}")
+            yield pd.DataFrame({"uttid": pdf["uttid"].astype(str), "path": made})
+
+    placed = rows.select("uttid", F.pmod(F.xxhash64("uttid"), F.lit(folders)).alias("folder"), "sample_rate", "w")
+    return stored(placed.mapInPandas(work, "uttid string, path string"), "wave_files")
+
+
+def write_activity(labels: DataFrame, path: str, sample_rate: int = 16000) -> DataFrame:
+    """Voice activity labels (key, pos, label) as one .wav of zeros and ones for each key, and a manifest ``ref2vad`` of their paths."""
+    order = F.sort_array(F.collect_list(F.struct("pos", F.col("label").cast("double").alias("label"))))
+    rows = labels.groupBy("key").agg(F.transform(order, lambda x: x["label"]).alias("w"))
+    files = write_wave_files(rows.select(F.col("key").cast("string").alias("uttid"), F.lit(sample_rate).alias("sample_rate"), "w"), f"{path}/vad")
+    write_manifests(files, path, {"ref2vad": "path"}, key="uttid")
+    return files
+
+
 def read_waves(spark: SparkSession, path: str) -> DataFrame:
     """(uttid, sample_rate, w) of what ``write_waves`` wrote."""
 
