@@ -334,11 +334,7 @@ def _family_sql() -> str:
 @query(_family_sql())
 def sdr_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.trios(spark, sf_dir).withColumn("key", F.col("spk"))
-    out = None
-    for name in scores.FAMILY:
-        one = scores.sdr_loss(rows, name).select(F.lit(name).alias("kind"), F.round("loss", 6).alias("loss"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return scores.family_losses(rows).select("kind", *r6("loss"))
 
 
 @query(f"""WITH {views.TRIOS}, m AS (SELECT key, {_moments("enh", "clean")} FROM t),
@@ -755,18 +751,37 @@ def distance_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.distance_set(rows, _pool(spark, sf_dir), sample_rate=16).drop("w")
 
 
-@query()
-def chunk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waves as chunks of a stream for each speaker's session, cut into overlapping frames."""
+_HOPS = f"""WITH h AS (SELECT label || '-' || vec_id // {SESSION} AS stream_id, vec_id, unnest(range(len(embedding) // 16)) AS k, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+n AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY vec_id, k) - 1 AS hop, list_slice(w, k * 16 + 1, k * 16 + 16) AS samples FROM h),
+f AS (SELECT stream_id, hop - 1 AS frame, list_concat(lag(samples) OVER (PARTITION BY stream_id ORDER BY hop), samples) AS samples FROM n QUALIFY hop > 0)"""
+
+
+def _session_frames(spark, sf_dir) -> DataFrame:
     rows = views.waves(spark, sf_dir).select(_session().alias("stream_id"), F.col("key").alias("seq"), F.col("w").alias("samples"), F.lit(False).alias("eos"))
     return chunks.batched(rows, lambda: chunks.Hops(16), chunks.Hops.columns)
 
 
-@query()
+def session_samples(spark, sf_dir) -> DataFrame:
+    """(stream_id, start, samples): the frames of the sessions put together again."""
+    frames = _session_frames(spark, sf_dir).select("stream_id", F.col("frame").alias("seq"), "samples", F.lit(False).alias("eos"))
+    return chunks.batched(frames, lambda: chunks.OverlapAdd(32, 16), chunks.OverlapAdd.columns)
+
+
+@query(_HOPS + " SELECT stream_id, CAST(frame AS BIGINT) AS frame, CAST(unnest(range(32)) AS INTEGER) AS i, round(unnest(samples), 6) AS x FROM f")
+def chunk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves as chunks of a stream for each speaker's session, cut into overlapping frames."""
+    return long(_session_frames(spark, sf_dir), "samples", "stream_id", "frame")
+
+
+@query(
+    _HOPS
+    + """, o AS (SELECT stream_id, frame, samples, lag(samples) OVER (PARTITION BY stream_id ORDER BY frame) AS before FROM f),
+m AS (SELECT stream_id, frame * 16 AS start, [CASE WHEN before IS NULL THEN samples[i] ELSE (samples[i] + before[i + 16]) / 2 END FOR i IN range(1, 17)] AS samples FROM o)
+SELECT stream_id, CAST(start AS BIGINT) AS start, CAST(unnest(range(16)) AS INTEGER) AS i, round(unnest(samples), 6) AS x FROM m"""
+)
 def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those frames put together again, where two overlap by their mean."""
-    frames = chunk_frames(spark, sf_dir).select("stream_id", F.col("frame").alias("seq"), "samples", F.lit(False).alias("eos"))
-    return chunks.batched(frames, lambda: chunks.OverlapAdd(32, 16), chunks.OverlapAdd.columns)
+    return long(session_samples(spark, sf_dir), "samples", "stream_id", "start")
 
 
 # --- jobs by name ----------------------------------------------------------------------------------------------------

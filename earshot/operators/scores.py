@@ -93,13 +93,12 @@ def sdr_loss(pairs: DataFrame, kind: str, x: str = "enh", y: str = "clean", keep
     With ``keep_above`` only losses above it count, if there are any. Rows flagged ``inactive`` count with their
     residual energy instead.
     """
-    scaled, dependent, limit, pooled = FAMILY[kind]
+    pooled = FAMILY[kind][3]
     active = pairs.filter(~F.col(inactive)) if inactive else pairs
-    energies = lambda m: F.struct(*(e.alias(n) for e, n in zip(target_and_noise(m, scaled, dependent, limit), ("t", "e"))))
-    sums = active.select("key", from_moments(F.col(x), F.col(y), energies).alias("s")).select("key", "s.t", "s.e")
+    sums = active.select("key", from_moments(F.col(x), F.col(y), lambda m: _energies(m, kind)).alias("s")).select("key", "s.t", "s.e")
     if pooled:
         sums = sums.groupBy("key").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
-    losses = sums.select((-db(F.col("t") / (F.col("e") + F.lit(EPS)) + F.lit(EPS))).alias("loss"))
+    losses = sums.select(_negated(F.col("t"), F.col("e")).alias("loss"))
     if keep_above is not None:
         above = F.col("loss") > keep_above
         some = losses.agg(F.coalesce(F.bool_or(above), F.lit(False)).alias("some"))
@@ -109,6 +108,36 @@ def sdr_loss(pairs: DataFrame, kind: str, x: str = "enh", y: str = "clean", keep
     return losses.agg(F.avg("loss").alias("loss"))
 
 
+def _energies(m: Moments, kind: str) -> Column:
+    scaled, dependent, limit, _ = FAMILY[kind]
+    return F.struct(*(e.alias(n) for e, n in zip(target_and_noise(m, scaled, dependent, limit), ("t", "e"))))
+
+
+def _negated(target: Column, noise: Column) -> Column:
+    return -db(target / (noise + F.lit(EPS)) + F.lit(EPS))
+
+
+def family_losses(pairs: DataFrame, x: str = "enh", y: str = "clean") -> DataFrame:
+    """(kind, loss) for all members of the family: the waveforms are read once, their moments serve every member.
+
+    Rows are summed by ``key`` for the pooled members, and these sums carry the means of the others along.
+    No pairs give a null for each member.
+    """
+    every = lambda m: F.struct(*(_energies(m, k).alias(k) for k in FAMILY))
+    sums = pairs.select("key", from_moments(F.col(x), F.col(y), every).alias("s"))
+    by_key, over_all = [], []
+    for kind, (*_, pooled) in FAMILY.items():
+        t, e = F.col(f"s.{kind}.t"), F.col(f"s.{kind}.e")
+        if pooled:
+            by_key += [F.sum(t).alias(f"{kind}_t"), F.sum(e).alias(f"{kind}_e")]
+            over_all.append(F.avg(_negated(F.col(f"{kind}_t"), F.col(f"{kind}_e"))).alias(kind))
+        else:
+            loss = _negated(t, e)
+            by_key += [F.sum(loss).alias(f"{kind}_sum"), F.count(loss).alias(f"{kind}_n")]
+            over_all.append((F.sum(f"{kind}_sum") / F.nullif(F.sum(f"{kind}_n"), F.lit(0))).alias(kind))
+    return sums.groupBy("key").agg(*by_key).agg(*over_all).unpivot([], list(FAMILY), "kind", "loss")
+
+
 def inactive_loss(x: Column, y: Column) -> Column:
     """Residual energy of the output where the target is silent, in dB."""
     return from_moments(x, y, lambda m: db(m.xx + F.lit(0.01) * m.yy + F.lit(EPS)))

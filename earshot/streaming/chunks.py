@@ -1,8 +1,10 @@
 """Live audio in chunks: state by stream, the same processors for streams and for stored chunks.
 
 Rows are (stream_id, seq, samples array<double>, eos boolean). Chunks of one micro-batch are put in order of seq;
-a chunk whose seq is not above the last one seen is a duplicate or late and only counted. A processor keeps what it
-needs of the past, a few hops, never the whole stream.
+a chunk whose seq is not above the last one seen is a duplicate or late and only counted (``late`` names a column that
+shows the count). A processor keeps what it needs of the past, a few hops, never the whole stream; only ``Session``,
+whose embedding needs all samples, keeps those of one session. ``batched`` gives a task all chunks of a stream_id, so
+stored streams are cut into sessions first.
 """
 
 from __future__ import annotations
@@ -122,19 +124,24 @@ class Session:
         return [(len(whole), self.embed(whole))] if len(whole) else []
 
 
-def _advance(make, kept: tuple | None, pdf: pd.DataFrame) -> tuple[list[tuple], tuple | None]:
-    """Rows that new chunks give, and (last seq, dropped, processor), or None after the end."""
+def _advance(make, kept: tuple | None, pdf: pd.DataFrame, counted: bool = False) -> tuple[list[tuple], tuple | None]:
+    """Rows that new chunks give, and (last seq, dropped, processor), or None after the end.
+
+    If ``counted``, a row ends with the number of chunks that its session had dropped when the row was made.
+    """
+    tally = lambda found: [(*r, dropped) for r in found] if counted else found
     last, dropped, processor = kept or (None, 0, make())
     rows: list[tuple] = []
     for seq, samples, eos in pdf.sort_values("seq", kind="stable")[["seq", "samples", "eos"]].itertuples(index=False):
         if last is not None and seq <= last:
             dropped += 1
+            kept = (last, dropped, processor)
             continue
         last = int(seq)
         if samples is not None and len(samples):
-            rows += processor.push(np.asarray(samples, np.float64))
+            rows += tally(processor.push(np.asarray(samples, np.float64)))
         if eos:
-            rows += processor.finish()
+            rows += tally(processor.finish())
             last, dropped, processor = None, 0, make()
             kept = None
             continue
@@ -159,22 +166,27 @@ def _frame(key, rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame([(key, *r) for r in rows], columns=["stream_id", *names])
 
 
-def _schema(chunks: DataFrame, columns: str) -> tuple[str, list[str]]:
+def _schema(chunks: DataFrame, columns: str, late: str | None) -> tuple[str, list[str]]:
+    columns = f"{columns}, {late} bigint" if late else columns
     return f"stream_id {chunks.schema['stream_id'].dataType.simpleString()}, {columns}", [c.split()[0] for c in columns.split(", ")]
 
 
-def streamed(chunks: DataFrame, make: Callable[[], object], columns: str, idle_ms: int | None = None) -> DataFrame:
-    """A stream of chunks through one processor for each stream_id. With ``idle_ms`` a stream that stays silent so long is finished and forgotten."""
-    schema, names = _schema(chunks, columns)
+def streamed(chunks: DataFrame, make: Callable[[], object], columns: str, idle_ms: int | None = None, late: str | None = None) -> DataFrame:
+    """A stream of chunks through one processor for each stream_id. With ``idle_ms`` a stream that stays silent so long is finished and forgotten.
+
+    ``late`` names a column for the number of chunks that the session has dropped so far as late or duplicate.
+    """
+    schema, names = _schema(chunks, columns, late)
 
     def work(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState):
         kept = _revived(make, state.get[0]) if state.exists else None
         if state.hasTimedOut:
             state.remove()
-            yield _frame(key[0], kept[2].finish() if kept else [], names)
+            found = kept[2].finish() if kept else []
+            yield _frame(key[0], [(*r, kept[1]) for r in found] if late else found, names)
             return
         # A micro-batch of a stream may come in several frames, in any order.
-        rows, kept = _advance(make, kept, pd.concat(list(pdfs)))
+        rows, kept = _advance(make, kept, pd.concat(list(pdfs)), bool(late))
         if kept is None:
             if state.exists:
                 state.remove()
@@ -189,11 +201,11 @@ def streamed(chunks: DataFrame, make: Callable[[], object], columns: str, idle_m
     return chunks.groupBy("stream_id").applyInPandasWithState(work, schema, "kept binary", "append", timeout)
 
 
-def batched(chunks: DataFrame, make: Callable[[], object], columns: str) -> DataFrame:
+def batched(chunks: DataFrame, make: Callable[[], object], columns: str, late: str | None = None) -> DataFrame:
     """Stored chunks through the same processors."""
-    schema, names = _schema(chunks, columns)
+    schema, names = _schema(chunks, columns, late)
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key[0], _advance(make, None, pdf)[0], names)
+        return _frame(key[0], _advance(make, None, pdf, bool(late))[0], names)
 
     return chunks.groupBy("stream_id").applyInPandas(work, schema)

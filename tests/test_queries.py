@@ -28,6 +28,6 @@ def test_frames_come_back(spark):
     for r in registry.views.waves(spark, SF).orderBy("key").collect():
         waves.setdefault(f"{r['spk']}-{r['key'] // registry.SESSION}", []).extend(r["w"])
     got = {}
-    for r in registry.overlap_added(spark, SF).orderBy("start").collect():
+    for r in registry.session_samples(spark, SF).orderBy("start").collect():
         got.setdefault(r["stream_id"], []).extend(r["samples"])
     assert all(got[k] == pytest.approx(w[: len(got[k])]) and len(w) - len(got[k]) == 16 for k, w in waves.items())

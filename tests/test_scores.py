@@ -88,3 +88,12 @@ def test_embedding_scores_by_hand(spark):
     assert embeddings.left_out(df).filter("spk = 2").first()["others"] is None
     with pytest.raises(ValueError):
         embeddings.ge2e_loss(df, "other")
+
+
+def test_family_at_once_is_each_member_alone(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k // 2, rng.normal(size=20).tolist(), rng.normal(size=20).tolist()) for k in range(8)]
+    pairs = spark.createDataFrame(rows, "key long, enh array<double>, clean array<double>")
+    got = {r["kind"]: r["loss"] for r in scores.family_losses(pairs).collect()}
+    assert got == {k: pytest.approx(scores.sdr_loss(pairs, k).first()["loss"]) for k in scores.FAMILY}
+    assert {r["loss"] for r in scores.family_losses(pairs.limit(0)).collect()} == {None}

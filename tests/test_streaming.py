@@ -6,12 +6,12 @@ from earshot.streaming import chunks
 CHUNK = "stream_id string, seq long, samples array<double>, eos boolean"
 
 
-def run(spark, tmp_path, batches, make, columns):
+def run(spark, tmp_path, batches, make, columns, **more):
     """Each batch is one file and one micro-batch."""
     for i, b in enumerate(batches):
         spark.createDataFrame(b, CHUNK).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     source = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = chunks.streamed(source, make, columns).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q = chunks.streamed(source, make, columns, **more).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
@@ -58,3 +58,12 @@ def test_null_samples_and_empty(spark):
     rows = spark.createDataFrame([("a", 0, None, False), ("a", 1, [], False), ("a", 2, [1.0], False)], CHUNK)
     assert chunks.batched(rows, lambda: chunks.Smoothing(2, 0.1), chunks.Smoothing.columns).select("mean").first()[0] == 0.5
     assert chunks.batched(rows.filter(F.lit(False)), lambda: chunks.Smoothing(2, 0.1), chunks.Smoothing.columns).count() == 0
+
+
+def test_late_and_repeated_chunks_are_counted(spark, tmp_path):
+    make = lambda: chunks.Smoothing(1, 0.5)
+    parts = [[("a", 0, [1.0], False)], [("a", 0, [9.0], False)], [("a", 1, [2.0], False), ("a", 1, [9.0], False)], [("a", 2, [3.0], True)], [("a", 0, [4.0], False)]]
+    live = run(spark, tmp_path, parts, make, chunks.Smoothing.columns, late="n_late")
+    assert [(m, n) for _, _, m, _, n in sorted(live, key=lambda r: r[2])] == [(1.0, 0), (2.0, 1), (3.0, 2), (4.0, 0)]
+    stored = spark.createDataFrame([("b", 0, [1.0], False), ("b", 0, [9.0], False), ("b", 1, [2.0], False)], CHUNK)
+    assert [r["n_late"] for r in chunks.batched(stored, make, chunks.Smoothing.columns, late="n_late").orderBy("pos").collect()] == [0, 1]
