@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import bpe, conversation_repair, decontamination, embedding_dedup, hard_negatives, html_text, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
+from . import bpe, conversation_repair, decontamination, embedding_dedup, fingerprints, hard_negatives, html_text, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_document_fingerprints": fingerprints.op11_document_fingerprints,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
@@ -24,6 +25,7 @@ SQL = {
     "op6_secret_scan": secret_scan.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_sharding": sharding.op9_sql(),
+    "op11_document_fingerprints": fingerprints.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_conversation_repair": conversation_repair.OP13_SQL,
 }
