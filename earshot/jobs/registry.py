@@ -11,8 +11,8 @@ from earshot.functions.draws import uniform, whole
 from earshot.jobs import augment, datasets, losses, models, views
 from earshot.jobs.reports import SCORES, activity_report
 from earshot.operators import embeddings, manifests, picks, scores, sequences, spectral
-from earshot.sources.store import shared_folder
-from earshot.streaming import chunks
+from earshot.sources.store import shared_folder, stored
+from earshot.streaming import chunks, event_time
 
 QUERIES = {}
 SQL = {}
@@ -825,3 +825,48 @@ def streamed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = smooth.writeStream.format("parquet").option("path", f"{out}/labels").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(smooth.schema).parquet(f"{out}/labels").withColumn("mean", F.round("mean", 6))
+
+
+#: Days that a delivery of the events holds, as far as it is not late; so far the watermark stays behind.
+DELIVERY = 10
+
+
+@query(f"""
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, value / (value + 50.0::DOUBLE) AS p, epoch_us(ts) // (86400000000 * {DELIVERY}) AS part FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+o AS (SELECT *, part - min(part) OVER () + CASE WHEN event_id % 50 = 0 THEN 2 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS d FROM e),
+x AS (SELECT * FROM o UNION ALL SELECT * REPLACE (d + 1 AS d) FROM o WHERE event_id % 17 = 0),
+m AS (SELECT d, max(max(us)) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - 86400000000 * {DELIVERY} AS mark FROM x GROUP BY d),
+l AS (SELECT x.*, coalesce(us < mark, false) AS late FROM x JOIN m USING (d)),
+f AS (SELECT *, CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY event_id, late ORDER BY d) > 1 THEN 'repeated' END AS fate FROM l),
+a AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > 86400000000, true)::INTEGER AS new FROM f WHERE fate IS NULL),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS part_no FROM a),
+t AS (SELECT *, min(us) OVER (PARTITION BY user_id, part_no) AS started, row_number() OVER w - 1 AS pos, sum(p) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4 AS mean, last_value(event_id) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS final
+      FROM s WINDOW w AS (PARTITION BY user_id, part_no ORDER BY us, event_id))
+SELECT user_id AS stream_id, started, event_id AS seq, fate, CAST(pos AS BIGINT) AS pos, round(mean, 6) AS mean, (mean > 0.4)::INTEGER AS value FROM t
+UNION ALL SELECT DISTINCT user_id, started, final, 'closed', CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER) FROM t
+UNION ALL SELECT user_id, CAST(NULL AS BIGINT), event_id, fate, NULL, NULL, NULL FROM f WHERE fate IS NOT NULL""")
+def event_time_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as deliveries of a chunk stream, some of them late or repeated; each delivery is one run of the stream from its checkpoint. A user's stream ends after a day of silence."""
+    e = views.table(spark, sf_dir, "events").filter("user_id IS NOT NULL AND value IS NOT NULL")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    part = F.floor(us / F.lit(86400000000 * DELIVERY))
+    rows = e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.timestamp_micros(us).alias("ts"), F.array(F.col("value") / (F.col("value") + 50.0)).alias("samples"), F.lit(False).alias("eos"), part.alias("part"))
+    least, most, latest = rows.agg(F.min("part"), F.max("part"), F.max("ts")).first()
+    if least is None:
+        least, most = 0, -1
+    put = F.col("part") - least + F.when(F.col("seq") % 50 == 0, 2).when(F.col("seq") % 10 == 0, 1).otherwise(0)
+    times = F.when(F.col("seq") % 17 == 0, F.array(put, put + 1)).otherwise(F.array(put))
+    chunk = ["stream_id", "seq", "ts", "samples", "eos"]
+    dealt = stored(rows.select(*chunk, F.explode(times).alias("delivery")), "deliveries")
+    out = shared_folder(spark)
+    source = spark.readStream.schema(dealt.select(*chunk).schema).parquet(f"{out}/in/*")
+    live = event_time.timed(source, lambda: chunks.Smoothing(4, 0.4), chunks.Smoothing.columns, f"{DELIVERY} days", 86400)
+    beat = spark.range(1).select(F.lit(None).cast("bigint").alias("stream_id"), F.lit(None).cast("bigint").alias("seq"), (F.lit(latest) + F.expr(f"INTERVAL '{3 * DELIVERY}' DAY")).cast("timestamp").alias("ts"), F.lit(None).cast("array<double>").alias("samples"), F.lit(False).alias("eos"))
+    last = most - least + 3
+    for d in range(last + 2):
+        (dealt.filter(F.col("delivery") == d).select(*chunk) if d <= last else beat).write.parquet(f"{out}/in/{d}")
+        with event_time.rocksdb(spark):
+            run = live.writeStream.format("parquet").option("path", f"{out}/sessions").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
+    found = spark.read.schema(live.schema).parquet(f"{out}/sessions")
+    return found.select("stream_id", F.unix_micros("started").alias("started"), "seq", "fate", "pos", F.round("mean", 6).alias("mean"), "value")

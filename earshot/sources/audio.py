@@ -169,3 +169,30 @@ def read_waves(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"uttid": pdf["uttid"], "sample_rate": [r for r, _ in rows], "w": [x[0] for _, x in rows]})
 
     return spark.read.parquet(path).mapInPandas(work, "uttid string, sample_rate int, w array<double>")
+
+
+def wave_sink(path: str, sample_rate: int = 16000):
+    """A ``foreachBatch`` function for results of event-time streams (stream_id, started, fate, start, samples): the final .wav of each stream.
+
+    A micro-batch leaves its samples in a folder of its own number, and streams that end in it get their file from all
+    their batches; the same batch again overwrites the same folder and the same files. Files of streams are found by
+    the day that they began, so that an ending does not read all that was ever heard. A stream's file is one row.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        day = F.to_date("started").cast("string").alias("day")
+        batch.filter("fate IS NULL AND samples IS NOT NULL").select("stream_id", "started", "start", "samples", day).write.mode("overwrite").partitionBy("day").parquet(f"{path}/parts/batch={number}")
+        ended = batch.filter("fate = 'closed'").select("stream_id", "started", day).distinct()
+        days = [r["day"] for r in ended.select("day").distinct().collect()]
+        if days:
+            schema = f"stream_id {batch.schema['stream_id'].dataType.simpleString()}, started timestamp, start bigint, samples array<double>, batch bigint, day string"
+            heard = spark.read.schema(schema).parquet(f"{path}/parts").filter((F.col("batch") <= number) & F.col("day").isin(days))
+            order = F.sort_array(F.collect_list(F.struct("start", "samples")))
+            rows = heard.join(ended, ["stream_id", "started", "day"]).groupBy("stream_id", "started").agg(F.flatten(F.transform(order, lambda x: x["samples"])).alias("w"))
+            name = F.concat_ws("_", F.col("stream_id").cast("string"), F.unix_micros("started").cast("string"))
+            write_wave_files(rows.select(name.alias("uttid"), F.lit(sample_rate).alias("sample_rate"), "w"), f"{path}/waves")
+        batch.unpersist()
+
+    return write

@@ -124,6 +124,28 @@ class Session:
         return [(len(whole), self.embed(whole))] if len(whole) else []
 
 
+class Folded:
+    """One embedding for all chunks up to the end mark from a running summary of fixed size: ``add(summary, samples)`` starts at ``zero()``.
+
+    What a micro-batch writes back is the summary, not the session so far.
+    """
+
+    columns = "n bigint, dvec array<double>"
+
+    def __init__(self, zero: Callable, add: Callable, finish: Callable[..., np.ndarray]):
+        self.zero, self.add, self.embed, self.n, self.summary = zero, add, finish, 0, None
+
+    def push(self, samples: np.ndarray) -> list[tuple]:
+        self.summary = self.add(self.zero() if self.summary is None else self.summary, samples)
+        self.n += len(samples)
+        return []
+
+    def finish(self) -> list[tuple]:
+        out = [(self.n, np.asarray(self.embed(self.summary), np.float64))] if self.n else []
+        self.n, self.summary = 0, None
+        return out
+
+
 def _advance(make, kept: tuple | None, pdf: pd.DataFrame, counted: bool = False) -> tuple[list[tuple], tuple | None]:
     """Rows that new chunks give, and (last seq, dropped, processor), or None after the end.
 
