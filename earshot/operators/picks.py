@@ -45,12 +45,12 @@ def by_length(pools: DataFrame, mode: str, seed: int = 0) -> DataFrame:
 
 def joined_clips(clips: DataFrame, least: float | None = None) -> DataFrame:
     """(key, utts, seconds): clips (key, pos, utt, seconds) one after another; with ``least``, only as many from the start as it takes to exceed it."""
-    own = F.sort_array(F.collect_list(F.struct("pos", "utt", "seconds")))
-    rows = clips.groupBy("key").agg(own.alias("c"))
     if least is not None:
         # A clip stays while what comes before it is not yet longer than the least.
-        before = lambda i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(0.0), lambda a, x: a + x["seconds"])
-        rows = rows.withColumn("c", F.filter("c", lambda _, i: (i == 0) | (before(i) <= least)))
+        earlier = Window.partitionBy("key").orderBy("pos", "utt").rowsBetween(Window.unboundedPreceding, -1)
+        clips = clips.withColumn("__before", F.sum("seconds").over(earlier)).filter("__before IS NULL OR __before <= " + repr(float(least)))
+    own = F.sort_array(F.collect_list(F.struct("pos", "utt", "seconds")))
+    rows = clips.groupBy("key").agg(own.alias("c"))
     return rows.select("key", F.transform("c", lambda x: x["utt"]).alias("utts"), F.aggregate("c", F.lit(0.0), lambda a, x: a + x["seconds"]).alias("seconds"))
 
 

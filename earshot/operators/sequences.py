@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earshot.operators import scans
 
-def runs(rows: DataFrame, value: str = "value") -> DataFrame:
-    """(key, run, value, start, n): stretches of equal values."""
-    w = Window.partitionBy("key").orderBy("pos")
-    marked = rows.withColumn("__new", F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(0)))
-    numbered = marked.withColumn("run", F.sum("__new").over(w))
-    return numbered.groupBy("key", "run").agg(F.first(value).alias("value"), F.min("pos").alias("start"), F.count("*").alias("n"))
 
+def runs(rows: DataFrame, value: str = "value", block: int = scans.BLOCK) -> DataFrame:
+    """(key, run, value, start, n): stretches of equal values; a null begins none. A key of any length is spread over tasks."""
+    other = lambda before, own: F.coalesce(own[value] != before[value], F.lit(False))
+    numbered = scans.stretches(rows.select("key", "pos", value), "pos", [value], other, "run", block)
+    return numbered.groupBy("key", "run").agg(F.min_by(value, "pos").alias("value"), F.min("pos").alias("start"), F.count("*").alias("n"))
 
-def smoothed_runs(found: DataFrame, least: int) -> DataFrame:
+
+def smoothed_runs(found: DataFrame, least: int, block: int = scans.BLOCK) -> DataFrame:
     """Runs after smoothing, (key, start, n, value): runs of ``least`` places stay; of a stretch of shorter ones that is itself shorter,
     the value is that of the long run before it (0 if none), otherwise the majority of its places (0 on a tie). A sequence of one run stays."""
-    w = Window.partitionBy("key").orderBy("run")
-    alone = F.count("*").over(Window.partitionBy("key")) == 1
-    long = found.withColumn("long", (F.col("n") >= least) | alone)
-    edge = F.when(F.col("long") | F.coalesce(F.lag("long").over(w), F.lit(True)), 1).otherwise(0)
-    grouped = long.withColumn("__edge", edge).withColumn("grp", F.sum("__edge").over(w))
-    merged = grouped.groupBy("key", "grp").agg(F.first("long").alias("long"), F.first("value").alias("value"), F.min("start").alias("start"), F.sum("n").alias("n"), F.sum(F.when(F.col("value") == 1, F.col("n")).otherwise(0)).alias("ones"))
+    apart = lambda before, own: (own["n"] >= least) | (before["n"] >= least)
+    grouped = scans.stretches(found, "run", ["n"], apart, "grp", block)
+    ones = F.sum(F.when(F.col("value") == 1, F.col("n")).otherwise(0))
+    merged = grouped.groupBy("key", "grp").agg(F.count("*").alias("runs"), F.max("n").alias("longest"), F.min_by("value", "run").alias("value"), F.min("start").alias("start"), F.sum("n").alias("n"), ones.alias("ones"))
     # Short stretches are as long as can be, so what stands before one is a long run.
-    before = F.coalesce(F.lag("value").over(Window.partitionBy("key").orderBy("grp")), F.lit(0))
-    value = F.when(F.col("long"), F.col("value")).when(F.col("n") < least, before).otherwise((2 * F.col("ones") > F.col("n")).cast("int"))
-    return merged.select("key", "start", "n", value.cast("int").alias("value"))
+    placed = scans.carried(merged, "grp", lags={"before": F.col("value")}, totals={"all": F.col("runs")}, size=block)
+    short = F.when(F.col("n") < least, F.coalesce("before", F.lit(0))).otherwise((2 * F.col("ones") > F.col("n")).cast("int"))
+    stays = (F.col("longest") >= least) | (F.col("all") == 1)
+    return placed.select("key", "start", "n", F.when(stays, F.col("value")).otherwise(short).cast("int").alias("value"))
 
 
 def expanded(found: DataFrame) -> DataFrame:
@@ -40,14 +40,15 @@ def stable_labels(rows: DataFrame, threshold: float, stability: float, sample_ra
     return expanded(smoothed_runs(runs(binary), int(stability * sample_rate)))
 
 
-def moving_average(rows: DataFrame, kernel: int, stride: int = 1, causal: bool = True, p: str = "p") -> DataFrame:
+def moving_average(rows: DataFrame, kernel: int, stride: int = 1, causal: bool = True, p: str = "p", block: int = scans.BLOCK) -> DataFrame:
     """(key, pos, mean): mean of the last ``kernel`` places, or of those around, where places outside count as zeros. Every ``stride``-th place from the first on."""
-    half = kernel // 2
-    ahead = 0 if causal else kernel - 1 - half
-    w = Window.partitionBy("key").orderBy("pos").rowsBetween(-(kernel - 1) if causal else -half, ahead)
-    first = F.min("pos").over(Window.partitionBy("key"))
-    out = rows.select("key", "pos", (F.sum(p).over(w) / F.lit(kernel)).alias("mean"), first.alias("__first"))
-    return out.filter((F.col("pos") - F.col("__first")) % stride == 0).drop("__first")
+    behind = kernel - 1 if causal else kernel // 2
+    mean = lambda w: F.sum(p).over(w) / F.lit(kernel)
+    out = scans.sliding(rows.select("key", "pos", p), "pos", behind, kernel - 1 - behind, {"mean": mean}, block).select("key", "pos", "mean")
+    if stride == 1:
+        return out
+    first = rows.groupBy("key").agg(F.min("pos").alias("__first"))
+    return out.join(first, "key").filter((F.col("pos") - F.col("__first")) % stride == 0).drop("__first")
 
 
 def averaged_labels(rows: DataFrame, threshold: float, sample_rate: int, p: str = "p") -> DataFrame:
@@ -77,14 +78,14 @@ def merged_segments(parts: DataFrame) -> DataFrame:
     return parts.filter("pos IS NOT NULL").groupBy("key", "pos").agg(F.avg("value").alias("value"))
 
 
-def rasterized(grid: DataFrame, spans: DataFrame) -> DataFrame:
+def rasterized(grid: DataFrame, spans: DataFrame, block: int = scans.BLOCK) -> DataFrame:
     """(key, pos, label): 1 where a span [start, stop) of the key holds the place.
 
     Spans mark where they begin and end; a running sum over the marks says how many are open. Linear in places and
-    spans however they overlap, and without a join of every place with every span.
+    spans however they overlap, without a join of every place with every span, and over keys of any length.
     """
     whole = spans.filter("start < stop")
     marks = whole.select("key", F.col("start").alias("pos"), F.lit(1).alias("change")).unionByName(whole.select("key", F.col("stop").alias("pos"), F.lit(-1).alias("change"))).groupBy("key", "pos").agg(F.sum("change").alias("change"))
     rows = grid.select("key", "pos", F.lit(0).alias("change"), F.lit(True).alias("place")).unionByName(marks.select("key", "pos", "change", F.lit(False).alias("place")))
-    open_ = F.sum("change").over(Window.partitionBy("key").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("open", open_).filter("place").select("key", "pos", (F.col("open") > 0).cast("int").alias("label"))
+    counted = scans.carried(rows, "pos", sums={"open": F.col("change")}, size=block)
+    return counted.filter("place").select("key", "pos", (F.col("open") > 0).cast("int").alias("label"))

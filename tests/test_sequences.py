@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from earshot.operators import sequences
+from earshot.operators import scans, sequences
 
 
 def frame(spark, seqs):
@@ -71,3 +71,38 @@ def test_rasterized_spans(spark):
     spans = spark.createDataFrame([("a", 2, 4), ("a", 3, 6), ("a", 5, 5), ("a", 8, 99), ("b", 0, 9)], "key string, start long, stop long")
     assert listed(sequences.rasterized(grid, spans), "label") == {"a": [0, 0, 1, 1, 1, 1, 0, 0, 1, 1]}
     assert listed(sequences.rasterized(grid, spans.limit(0)), "label") == {"a": [0] * 10}
+
+
+def test_blocks_of_any_size_give_the_same(spark):
+    rng = random.Random(3)
+    seqs = {f"k{n}": [rng.choice([0.0, 0.4, 1.0]) if rng.random() < 0.6 else 1.0 for _ in range(rng.randint(1, 40))] for n in range(25)} | {"one": [1.0]}
+    rows = frame(spark, seqs)
+    binary = rows.select("key", "pos", (F.col("p") > 0.5).cast("int").alias("value"))
+    spans = spark.createDataFrame([(k, *sorted((rng.randint(0, 40), rng.randint(0, 45)))) for k in seqs for _ in range(3)], "key string, start long, stop long")
+    for block in (1, 3, 8):
+        smooth = sequences.expanded(sequences.smoothed_runs(sequences.runs(binary, block=block), 3, block))
+        assert listed(smooth) == {k: by_hand([int(x > 0.5) for x in s], 3) for k, s in seqs.items()}
+        for kernel, causal in ((1, True), (4, True), (5, False), (4, False)):
+            behind = kernel - 1 if causal else kernel // 2
+            want = {k: [sum(s[max(i - behind, 0) : i - behind + kernel]) / kernel for i in range(len(s))] for k, s in seqs.items()}
+            got = listed(sequences.moving_average(rows, kernel, causal=causal, block=block), "mean")
+            assert got.keys() == want.keys() and all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k], strict=True))
+        open_ = {(k, i) for k, a, b in spans.collect() for i in range(a, b)}
+        assert listed(sequences.rasterized(rows, spans, block), "label") == {k: [int((k, i) in open_) for i in range(len(s))] for k, s in seqs.items()}
+    assert listed(sequences.moving_average(rows, 4, stride=3, block=5), "mean")["k1"] == listed(sequences.moving_average(rows, 4), "mean")["k1"][::3]
+
+
+def test_gaps_and_nulls_in_one_long_key(spark, monkeypatch):
+    """One key with places far apart: no block, and so no task, holds more rows than asked for."""
+    seen = []
+    store = scans.stored
+    monkeypatch.setattr(scans, "stored", lambda df, name: seen.append(store(df, name)) or seen[-1])
+    n, block = 30_000, 500
+    rows = spark.range(n).select(F.lit(None).cast("string").alias("key"), (F.col("id") * 7).alias("pos"), (F.col("id") % 10 < 6).cast("double").alias("p"), F.when(F.col("id") % 100 != 50, (F.floor(F.col("id") / 20) % 3)).alias("value"))
+    want = [None if i % 100 == 50 else i // 20 % 3 for i in range(n)]
+    starts = [i for i in range(n) if i == 0 or None not in (want[i], want[i - 1]) and want[i] != want[i - 1]]
+    got = sequences.runs(rows, block=block).orderBy("run").collect()
+    assert [(r["start"] // 7, r["run"]) for r in got] == [(s, k) for k, s in enumerate(starts)] and sum(r["n"] for r in got) == n
+    means = sequences.moving_average(rows, 10, block=block)
+    assert means.count() == n and means.filter("pos >= 63").select(F.min("mean"), F.max("mean")).first() == (0.6, 0.6)
+    assert max(df.groupBy("key", "__block").count().agg(F.max("count")).first()[0] for df in seen) <= block
