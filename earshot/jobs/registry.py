@@ -10,7 +10,7 @@ from earshot.functions import kernels, signal, waves
 from earshot.functions.draws import uniform, whole
 from earshot.jobs import augment, datasets, losses, models, views
 from earshot.jobs.reports import SCORES, activity_report
-from earshot.operators import embeddings, manifests, picks, scores, sequences, spectral
+from earshot.operators import blocks, embeddings, manifests, picks, scores, sequences, spectral
 from earshot.sources.store import shared_folder, stored
 from earshot.streaming import chunks, event_time
 
@@ -568,11 +568,11 @@ def short_time_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("key", "frame", "bin", (F.round("z.re", 5) + 0.0).alias("re"), (F.round("z.im", 5) + 0.0).alias("im"))
 
 
-@query(_wave_sql("[w[i] FOR i IN range(9, 57)]"))
+@query(_wave_sql("[CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE w[i] END FOR i IN range(1, len(w) // 8 * 8 + 1)]"))
 def spectra_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waveforms from their spectra, without the ends, where windows leave nothing to divide by."""
+    """Waveforms from their spectra; of the first sample the window leaves nothing."""
     back = signal.waveforms(signal.spectra(views.waves(spark, sf_dir), 16, 8), 16, 8)
-    return long(back.select("key", F.slice("w", 9, 48).alias("x")), "x", "key")
+    return long(back.select("key", F.col("w").alias("x")), "x", "key")
 
 
 @query(f"""WITH {views.TRIOS},
@@ -784,6 +784,63 @@ def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(session_samples(spark, sf_dir), "samples", "stream_id", "start")
 
 
+# --- long recordings by blocks ---------------------------------------------------------------------------------------
+
+#: Samples of a block in the queries: no multiple of hops, and less than a few waves.
+QUERY_BLOCK = 150
+
+
+def _recordings(spark, sf_dir) -> DataFrame:
+    """(key, block, samples): all waves of a label one after another."""
+    return blocks.joined(views.waves(spark, sf_dir).select(F.col("spk").cast("string").alias("key"), F.col("key").alias("nth"), "w"), "nth", QUERY_BLOCK)
+
+
+def _block_rows(found: DataFrame) -> DataFrame:
+    at = F.col("block") * QUERY_BLOCK
+    return found.select("key", at.alias("at"), F.posexplode("samples").alias("i", "x")).select("key", (F.col("at") + F.col("i")).alias("place"), (F.round("x", 5) + 0.0).alias("x"))
+
+
+_RECORDINGS = """WITH RECURSIVE e AS (SELECT CAST(label AS VARCHAR) AS key, vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+w AS (SELECT key, list(x ORDER BY vec_id, i) AS w FROM e GROUP BY key)"""
+
+
+@query(f"""{_RECORDINGS}, f AS (SELECT key, w, unnest(range((len(w) - 16) // 8 + 1)) AS frame FROM w),
+b AS (SELECT key, frame, list_slice(w, frame * 8 + 1, frame * 8 + 16) AS w, unnest(range(9)) AS bin FROM f)
+SELECT key, frame, CAST(bin AS INTEGER) AS bin,
+  round(list_sum([w[n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * bin * n / 16) FOR n IN range(16)]), 5) + 0 AS re,
+  round(-list_sum([w[n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * bin * n / 16) FOR n IN range(16)]), 5) + 0 AS im FROM b""")
+def recording_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of long recordings, block by block."""
+    rows = blocks.spectra(_recordings(spark, sf_dir), 16, 8, QUERY_BLOCK)
+    flat = rows.select("key", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    return flat.select("key", "frame", "bin", (F.round("z.re", 5) + 0.0).alias("re"), (F.round("z.im", 5) + 0.0).alias("im"))
+
+
+@query(f"""{_RECORDINGS} SELECT key, CAST(unnest(range(len(w) // 8 * 8)) AS BIGINT) AS place, unnest([CASE WHEN i = 1 THEN 0 ELSE round(w[i], 5) + 0 END FOR i IN range(1, len(w) // 8 * 8 + 1)]) AS x FROM w""")
+def recordings_from_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings from their spectra, block by block; of the first sample the window leaves nothing."""
+    made = blocks.spectra(_recordings(spark, sf_dir), 16, 8, QUERY_BLOCK)
+    return _block_rows(blocks.waveforms(made, 16, 8, QUERY_BLOCK))
+
+
+@query(f"""{_RECORDINGS}, r AS (SELECT CAST(label AS VARCHAR) AS key, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS h FROM embeddings GROUP BY label),
+m AS (SELECT key, mode, list_slice(h, 1, CASE after WHEN 0 THEN len(h) ELSE list_position(h, list_max(h)) - 1 + after END) AS h FROM r, (VALUES ('image', 0), ('direct', 6), ('early', 50)) AS v(mode, after)),
+u AS (SELECT key, mode, [v / sqrt(list_dot_product(h, h)) FOR v IN h] AS h FROM m WHERE len(h) > 0),
+d AS (SELECT *, list_position([abs(v) FOR v IN h], list_max([abs(v) FOR v IN h])) - 1 AS delay FROM u),
+o AS (SELECT d.key || '/' || mode AS key, h, delay, w, unnest(range(len(w))) AS place FROM d JOIN w ON w.key = d.key),
+s AS (SELECT key, place, h, list_slice(w, greatest(place + delay - len(h) + 2, 1), least(place + delay + 1, len(w))) AS x, place + delay - greatest(place + delay - len(h) + 1, 0) AS last FROM o)
+SELECT key, place, round(list_sum([x[k] * h[last - k + 2] FOR k IN range(1, len(x) + 1)]), 5) + 0 AS x FROM s""")
+def recordings_in_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long recordings in a room, by the whole response, its direct and its early part; the first wave of a label is its response."""
+    first = views.waves(spark, sf_dir).groupBy(F.col("spk").cast("string").alias("key")).agg(F.min_by("w", "key").alias("h"))
+    recordings, found = _recordings(spark, sf_dir), []
+    for mode in ("image", "direct", "early"):
+        named = recordings.withColumn("key", F.concat("key", F.lit(f"/{mode}")))
+        taps = blocks.room_taps(first.withColumn("key", F.concat("key", F.lit(f"/{mode}"))), 1000, mode)
+        found.append(blocks.filtered(named, taps, QUERY_BLOCK))
+    return _block_rows(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 # --- jobs by name ----------------------------------------------------------------------------------------------------
 
 
