@@ -52,7 +52,10 @@ def paired_offset(ref: Column, n: int, key: Column, tries: int = 8, seed: int =
     """An offset for cutting ``n`` samples: the first of ``tries`` draws where the reference is not silent.
 
     If none is, the cut is drawn around a drawn sample that is not zero; only where every sample is, the last draw stays.
+    Without ``tries`` the first draw stays, heard or not.
     """
+    if not tries:
+        return whole(key, "crop.0", waves.room(ref, n), seed)
     last = waves.room(ref, n)
     drawn = [whole(key, f"crop.{k}", last, seed) for k in range(tries)]
     heard = [F.when(~waves.silent(waves.cut(ref, d, n)), d) for d in drawn]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions import waves
@@ -12,11 +12,11 @@ from earshot.jobs.augment import ENROLLMENT, TSE, Chances, augmented, enrollment
 from earshot.operators.picks import assigned, by_length, cases, drawn_until, interferers
 
 
-def _cut(rows: DataFrame, columns: list[str], ref: str, n: int | None, seed: int) -> DataFrame:
-    """Cut the columns at one offset where the reference is heard."""
+def _cut(rows: DataFrame, columns: list[str], ref: str, n: int | None, seed: int, heard: bool = True) -> DataFrame:
+    """Cut the columns at one offset, where the reference is heard or (not ``heard``) anywhere."""
     if n is None:
         return rows
-    at = rows.withColumn("offset", paired_offset(F.col(ref), n, F.col("key"), seed=seed))
+    at = rows.withColumn("offset", paired_offset(F.col(ref), n, F.col("key"), 8 if heard else 0, seed))
     return at.withColumns({c: waves.cut(F.col(c), F.col("offset"), n) for c in columns})
 
 
@@ -51,7 +51,9 @@ def extraction_set(rows: DataFrame, enrollments: DataFrame, single: float = 0.0,
 
     ``rows`` has (key, idx, spk, all_spks, w, clean), ``enrollments`` (key, enroll). By chance the clean reference
     takes the mixture's place, or another speaker's row does and the target is the processed input itself (extraction)
-    or all zeros (activity), flagged inactive. The enrollment is brought to its level and augmented on its own.
+    or all zeros (activity), flagged inactive. The enrollment is brought to its level and augmented on its own, but its
+    volume changes with the mixture's. Labels follow the speed of what they mark: each place has the label of the
+    nearest place before the change.
     With an ``enroll_mode`` other than "given", ``enrollments`` has the clips (key, pos, utt, w), see
     ``chosen_enrollments``.
     """
@@ -71,12 +73,19 @@ def extraction_set(rows: DataFrame, enrollments: DataFrame, single: float = 0.0,
     if vad is not None:
         swapped, columns = swapped.join(vad.select("key", "labels"), "key", "left"), [*columns, "labels"]
     swapped = swapped.drop("other_w", "other_clean")
-    made = augmented(_with_clips(plan(_cut(swapped, columns, "clean", samples, seed), chances, seed), noises, rirs, sample_rate, seed), sample_rate)
+    made = augmented(_with_clips(plan(_cut(swapped, columns, "clean", samples, seed, vad is None), chances, seed), noises, rirs, sample_rate, seed), sample_rate)
     made = made.withColumn("clean_wav", F.when(F.col("inactive"), F.col("process_wav")).otherwise(F.col("clean_wav")))
     if vad is not None:
-        made = made.withColumn("labels", F.when(F.col("inactive"), F.transform("labels", lambda _: F.lit(0.0))).otherwise(F.col("labels")))
+        n = F.size("process_wav")
+        made = made.withColumn("labels", F.when(F.col("inactive"), F.array_repeat(F.lit(0.0), n)).when(F.col("speed").isNotNull(), at_speed(F.col("labels"), F.col("speed"), n)).otherwise(F.col("labels")))
     clips = enrollment_clips(enrollments, noises, rirs, sample_rate, seed)
-    return made.join(clips, "key", "left")
+    louder = waves.clamped(waves.scaled(F.col("enroll"), F.col("volume")))
+    return made.join(clips, "key", "left").withColumn("enroll", F.when(F.col("augmented") & (F.col("volume") != 1.0), louder).otherwise(F.col("enroll")))
+
+
+def at_speed(labels: Column, speed: Column, n: Column) -> Column:
+    """Labels of ``n`` places after a change of speed: place i was place i * speed before, to the nearest."""
+    return waves.let(F.struct(labels.alias("l"), speed.alias("s")), lambda v: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(v["l"], F.least(F.floor(i * v["s"] + 0.5).cast("int"), F.size(v["l"]) - 1))))
 
 
 def chosen_enrollments(clips: DataFrame, mode: str = "drawn", sample_rate: int = 16000, seed: int = 0) -> DataFrame:

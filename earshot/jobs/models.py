@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.signal import by_row
 from earshot.functions.waves import rescaled
+from earshot.sources import wav_source
 
 
 def enhanced(rows: DataFrame, model: Callable[..., np.ndarray], columns: list[str] | None = None) -> DataFrame:
@@ -32,3 +33,10 @@ def conditioned(mixtures: DataFrame, vectors: DataFrame, model: Callable[[np.nda
 def embeddings(clips: DataFrame, model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(uttid, spk, dvec) from (uttid, spk, w)."""
     return by_row(clips.select("uttid", "spk", "w"), lambda w: {"dvec": np.asarray(model(w), np.float64)}, "dvec array<double>", ["w"]).drop("w")
+
+
+def enhanced_files(rows: DataFrame, model: Callable[[np.ndarray], np.ndarray], path: str, sample_rate: int = 16000) -> DataFrame:
+    """Rows (key, w) through a model, one .wav file each below ``path``; returns (uttid, path, sample_rate, channels, frames, problem) of what is there then."""
+    made = enhanced(rows, model)
+    wav_source.save(made.select(F.col("key").cast("string").alias("uttid"), F.lit(sample_rate).alias("sample_rate"), F.col("enh").alias("w")), path)
+    return wav_source.headers(rows.sparkSession, path)

@@ -11,6 +11,7 @@ from earshot.functions.draws import uniform, whole
 from earshot.jobs import augment, datasets, losses, models, views
 from earshot.jobs.reports import SCORES, activity_report
 from earshot.operators import blocks, embeddings, manifests, picks, scores, sequences, spectral
+from earshot.sources import wav_source
 from earshot.sources.store import shared_folder, stored
 from earshot.streaming import chunks, event_time
 
@@ -784,6 +785,21 @@ def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(session_samples(spark, sf_dir), "samples", "stream_id", "start")
 
 
+# --- files -----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS uttid, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+o AS (SELECT uttid, len(w) AS frames, unnest(range(len(w))) AS place, unnest([e * (pow(10, -28 / 20.0::DOUBLE) / (list_sum([abs(u) FOR u IN w]) / len(w) + 1e-14)) FOR e IN w]) AS x FROM v)
+SELECT uttid, 16000 AS sample_rate, 1 AS channels, frames, place // 24 AS block, CAST(place % 24 AS INTEGER) AS i, round(x, 6) AS x FROM o""")
+def waves_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wave written to a .wav file; the files read again in blocks of 24 samples, at a level."""
+    path = f"file://{out}" if (out := shared_folder(spark)).startswith("/") else out
+    wav_source.save(views.waves(spark, sf_dir).select(F.col("key").cast("string").alias("uttid"), F.lit(16000).alias("sample_rate"), "w"), path)
+    rows = wav_source.leveled(wav_source.recordings(spark, path, 24), -28.0)
+    return long(rows.withColumn("x", F.col("samples")), "x", "uttid", "sample_rate", "channels", "frames", "block")
+
+
 # --- long recordings by blocks ---------------------------------------------------------------------------------------
 
 #: Samples of a block in the queries: no multiple of hops, and less than a few waves.

@@ -1,4 +1,4 @@
-"""WAV files: listing, headers, decoding, writing. PCM of 16 or 32 bits and 32-bit floats."""
+"""WAV files: listing, headers, decoding, writing."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.functions.waves import rescaled
 from earshot.operators.manifests import last_of_each
 from earshot.sources.store import stored
 from earshot.sources.text import write_manifests
@@ -54,17 +55,29 @@ def header(data: bytes, whole: bool = True) -> tuple[int, int, int, int, int, in
 
 
 def decode(data: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and samples (channels, n) as doubles in [-1, 1]."""
+    """Sample rate and samples (channels, n) as doubles in [-1, 1]: PCM of 8 (without sign), 16, 24 or 32 bits, floats of 32 or 64."""
     form, channels, rate, bits, start, size = header(data)
-    kind = {(1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4"}.get((form, bits))
-    if kind is None:
+    if (form, bits) not in FORMATS:
         raise ValueError(f"no decoder for format {form} with {bits} bits")
     raw = data[start : start + size]
     raw = raw[: len(raw) // (channels * bits // 8) * (channels * bits // 8)]
-    x = np.frombuffer(raw, kind).astype(np.float64)
-    if form == 1:
-        x /= 2.0 ** (bits - 1)
-    return rate, x.reshape(-1, channels).T
+    return rate, numbers(raw, form, bits).reshape(-1, channels).T
+
+
+#: Fixed values: (format, bits) of what is decoded. 1 is whole numbers, 3 floats; 8 bits have no sign.
+FORMATS = {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}
+
+
+def numbers(raw: bytes, form: int, bits: int) -> np.ndarray:
+    """Samples of one of FORMATS as doubles."""
+    if form == 3:
+        return np.frombuffer(raw, f"<f{bits // 8}").astype(np.float64)
+    if bits == 8:
+        return (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    if bits == 24:
+        three = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16) << 8 >> 8) / 2.0**23
+    return np.frombuffer(raw, f"<i{bits // 8}") / 2.0 ** (bits - 1)
 
 
 def encode(w: np.ndarray, rate: int) -> bytes:
@@ -101,8 +114,8 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return known.unionByName(files.select("path", F.col("content").alias("head")).join(late, "path", "left_semi").mapInPandas(work(True), schema))
 
 
-def waves(spark: SparkSession, path: str) -> DataFrame:
-    """(uttid, path, sample_rate, channels, w): the first channel of each file."""
+def waves(spark: SparkSession, path: str, level: float | None = None) -> DataFrame:
+    """(uttid, path, sample_rate, channels, w): the first channel of each file; at a mean magnitude of ``level`` dB, if given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", utterance_id(F.col("path")).alias("uttid"), "content")
 
     def work(batches):
@@ -111,7 +124,8 @@ def waves(spark: SparkSession, path: str) -> DataFrame:
                 rate, x = decode(bytes(content))
                 yield pd.DataFrame({"uttid": [uttid], "path": [path], "sample_rate": [rate], "channels": [len(x)], "w": [x[0]]})
 
-    return files.mapInPandas(work, "uttid string, path string, sample_rate int, channels int, w array<double>")
+    rows = files.mapInPandas(work, "uttid string, path string, sample_rate int, channels int, w array<double>")
+    return rows if level is None else rows.withColumn("w", rescaled(F.col("w"), level, "avg", "dB"))
 
 
 def write_waves(rows: DataFrame, path: str) -> None:
@@ -141,9 +155,15 @@ def write_wave_files(rows: DataFrame, path: str, folders: int = 256) -> DataFram
                 name = f"{folder}/{str(uttid).replace('/', '%2F')}.wav"
                 fs.create_dir(f"{root}/{folder}", recursive=True)
                 part = f"{root}/{folder}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as out:
-                    out.write(encode(np.asarray(w), int(rate)))
-                fs.move(part, f"{root}/{name}")
+                try:
+                    with fs.open_output_stream(part) as out:
+                        out.write(encode(np.asarray(w), int(rate)))
+                    fs.move(part, f"{root}/{name}")
+                except BaseException:
+                    # A task that is stopped leaves no part behind.
+                    if fs.get_file_info(part).is_file:
+                        fs.delete_file(part)
+                    raise
                 made.append(f"{path}/{name}")
             yield pd.DataFrame({"uttid": pdf["uttid"].astype(str), "path": made})
 

@@ -178,3 +178,30 @@ def test_models_and_metrics(spark):
     both = metric("sisnr+mine", {"mine": lambda x, y: F.lit(1.0)})
     got = rows.select(both(F.col("w"), F.col("clean")).alias("a"), METRICS["sisnr"](F.col("w"), F.col("clean")).alias("b")).first()
     assert got["a"] == pytest.approx(got["b"] + 1)
+
+
+def test_labels_follow_the_speed_and_enrollments_the_volume(spark):
+    rng = np.random.default_rng(8)
+    labels = [float(v) for v in np.repeat(rng.integers(0, 2, 40), 10)]
+    rows = corpus(spark)
+    clips = rows.select("key", F.col("clean").alias("enroll"))
+    vad = rows.select("key", F.array(*map(F.lit, labels)).alias("labels"))
+    chances = augment.Chances(speed=0.7, rir=0, noise=0, response=0, volumes=(0.2, 3.0))
+    made = datasets.extraction_set(rows, clips, inactive=0.3, vad=vad, samples=300, chances=chances, sample_rate=100).collect()
+    assert {r["inactive"] for r in made} == {True, False} and {r["speed"] is None for r in made} == {True, False}
+    still = {r["key"]: r["enroll"] for r in datasets.extraction_set(rows, clips, inactive=0.3, vad=vad, samples=300, chances=augment.Chances(0, 0, 0, 0), sample_rate=100).collect()}
+    for r in made:
+        assert len(r["labels"]) == len(r["process_wav"])
+        own = labels[r["offset"] : r["offset"] + 300]
+        want = [0.0] * len(r["labels"]) if r["inactive"] else own if r["speed"] is None else [own[min(int(i * r["speed"] + 0.5), 299)] for i in range(len(r["labels"]))]
+        assert r["labels"] == want
+        assert r["enroll"] == pytest.approx(np.clip(np.array(still[r["key"]]) * r["volume"], -1, 1))
+
+
+def test_models_write_files(spark, tmp_path):
+    rows = corpus(spark, 3).select("key", (F.transform("w", lambda x: x / 8)).alias("w"))
+    got = models.enhanced_files(rows, lambda w: -w, str(tmp_path), 8000)
+    assert sorted((r["uttid"], r["sample_rate"], r["frames"], r["problem"]) for r in got.collect()) == [(f"k{i}", 8000, 400, None) for i in range(3)]
+    loud = {r["uttid"]: np.array(r["w"]) for r in audio.waves(spark, str(tmp_path), level=-20.0).collect()}
+    want = {r["key"]: -np.array(r["w"], np.float32).astype(float) for r in rows.collect()}
+    assert all(np.allclose(loud[k], want[k] / np.abs(want[k]).mean() / 10) for k in want)
