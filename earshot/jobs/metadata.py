@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from earshot.operators.manifests import targets
 from earshot.operators.picks import enrollments
-from earshot.sources.text import corpus, mixtures, write_manifests
+from earshot.sources.quarantine import parted, put_aside
+from earshot.sources.text import checked_corpus, checked_mixtures, write_manifests
 
 MANIFESTS = {"wav2scp": "noisy", "wav2ref": "ref", "ref2spk": "spk", "wav2spk": "all_spks", "ref2list": "enroll_paths"}
 
@@ -23,10 +24,20 @@ def prepared(mixed: DataFrame, utts: DataFrame, n_enroll: int = 5, seed: int = 0
     return out.withColumns({"unknown": F.coalesce("unknown", F.lit(True)), "enroll_paths": F.coalesce("enroll_paths", F.array().cast("array<string>"))})
 
 
-def prepare(spark: SparkSession, mixture_csv: str, corpus_csv: str, out: str, root: str | None = None, n_enroll: int = 5, seed: int = 0, strict: bool = False) -> None:
-    """Read, pick and write the five manifests. Rows with too few clips or an unknown utterance are left out, or with ``strict`` an error."""
-    rows = prepared(mixtures(spark, mixture_csv), corpus(spark, corpus_csv, root), n_enroll, seed)
-    bad = F.col("short_pool") | F.col("unknown")
-    if strict and not rows.filter(bad).isEmpty():
-        raise ValueError("targets without enough enrollment clips or without their own utterance in the corpus")
-    write_manifests(rows.filter(~bad), out, MANIFESTS)
+def prepare(spark: SparkSession, mixture_csv: str, corpus_csv: str, out: str, root: str | None = None, n_enroll: int = 5, seed: int = 0, strict: bool = False) -> dict[str, dict[str, int]]:
+    """Read, pick and write the five manifests; returns how many lines, mixtures and targets had which problem.
+
+    Lines that are no metadata, mixtures without two utterances, targets with too few clips or an unknown utterance go
+    to the quarantine below ``out``, or with ``strict`` are an error.
+    """
+    utts, broken, of_lines = checked_corpus(spark, corpus_csv, root)
+    mixed, odd, of_mixtures = checked_mixtures(spark, mixture_csv)
+    problems = {"unknown": F.col("unknown"), "short_pool": F.col("short_pool")}
+    good, left, of_targets = parted(prepared(mixed, utts, n_enroll, seed), problems, "targets")
+    counts = {"metadata": of_lines, "mixtures": of_mixtures, "targets": of_targets}
+    if strict and (found := {f"{k}: {p}": n for k, c in counts.items() for p, n in c.items() if n and p != "rows"}):
+        raise ValueError(f"bad rows: {found}")
+    for bad, source in ((broken, "metadata"), (odd, "mixtures"), (left, "targets")):
+        put_aside(bad, f"{out}/quarantine", source)
+    write_manifests(good, out, MANIFESTS)
+    return counts

@@ -11,7 +11,7 @@ from earshot.functions.draws import uniform, whole
 from earshot.jobs import augment, datasets, losses, models, views
 from earshot.jobs.reports import SCORES, activity_report
 from earshot.operators import blocks, embeddings, manifests, picks, scores, sequences, spectral
-from earshot.sources import wav_source
+from earshot.sources import text, wav_source
 from earshot.sources.store import shared_folder, stored
 from earshot.streaming import chunks, event_time
 
@@ -191,6 +191,26 @@ def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.shuffled(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), 32, epoch=3)
 
 
+def _feistel(x: str) -> str:
+    """A number's place in DuckDB: six turns of (left, right), again while it is n or above."""
+    hash_ = lambda half: f"('0x' || substr(md5('0|feistel.2|' || r || '|' || ({half})), 1, 8))::BIGINT"
+    turn = f"CASE WHEN r % 2 = 0 THEN (s // b + {hash_('s % b')}) % a * b + s % b ELSE s // b * b + (s % b + {hash_('s // b')}) % b END"
+    once = lambda v: f"list_reduce(range({picks.ROUNDS}), lambda s, r: {turn}, {v})"
+    return f"list_reduce(range(least(a * b - n, {picks.AGAIN}) + 1), lambda t, k: CASE WHEN t < n THEN t ELSE {once('t')} END, {once(x)})"
+
+
+@query(f"""
+WITH r AS (SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS n, CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS a FROM embeddings),
+s AS (SELECT *, greatest(CAST(ceil(n / a) AS BIGINT), 1) AS b FROM r), p AS (SELECT key, idx, {_feistel("idx")} AS place FROM s)
+SELECT key, place // 32 AS batch, place % 32 AS pos, idx AS again FROM p""")
+def permuted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of an epoch by a permutation of the rows' numbers, and the number that each place leads back to."""
+    rows = stored(manifests.indexed(views.waves(spark, sf_dir).select("key"), "key"), "numbers")
+    size = rows.agg(F.count("*").alias("n"))
+    made = picks.permuted_batches(rows.crossJoin(F.broadcast(size)), 32, F.col("n"), epoch=2)
+    return made.select("key", "batch", "pos", picks.permuted(F.col("batch") * 32 + F.col("pos"), F.col("n"), 2, back=True).alias("again"))
+
+
 _BATCH_SPEAKER = "batch || '/' || spk"
 
 
@@ -428,9 +448,7 @@ s AS (SELECT uttid, own, 10 * greatest(list_dot_product(v, m) / greatest(sqrt(li
 SELECT round(sum(soft), 5) AS softmax, round(sum(hard), 5) AS contrast FROM a"""
 )
 def ge2e_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dvecs(spark, sf_dir)
-    a = embeddings.ge2e_loss(rows).select(F.round("loss", 5).alias("softmax"))
-    return a.crossJoin(embeddings.ge2e_loss(rows, "contrast").select(F.round("loss", 5).alias("contrast")))
+    return embeddings.ge2e_losses(_dvecs(spark, sf_dir)).select(F.round("softmax", 5).alias("softmax"), F.round("contrast", 5).alias("contrast"))
 
 
 @query(f"""WITH {_DVECS},
@@ -788,6 +806,22 @@ def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -----------------------------------------------------------------------------------------------------------
 
 
+@query("""
+SELECT event_id AS line, CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'malformed' WHEN event_id % 19 = 0 THEN 'no_id' WHEN event_id % 23 = 0 OR floor(value * 100) <= 0 THEN 'no_length' END AS problem FROM events WHERE value IS NOT NULL""")
+def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of corpus metadata, some of them broken, written and read again: what is wrong with each."""
+    e = views.table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    every = lambda n: F.col("event_id") % n == 0
+    length = F.when(every(17), "long").when(every(23), "0").otherwise(F.floor(F.col("value") * 100).cast("string"))
+    head = F.concat_ws(", ", F.when(every(19), "").otherwise(F.col("event_id").cast("string")), F.coalesce(F.col("user_id").cast("string"), F.lit("x")), F.lit("F"), F.concat(F.col("event_id").cast("string"), F.lit(".wav")))
+    line = F.when(every(13), head).otherwise(F.concat_ws(", ", head, length, F.lit("16000"), F.lit("1")))
+    out = f"{shared_folder(spark)}/metadata"
+    e.select(line).write.text(out)
+    good, bad, _ = text.checked_corpus(spark, out, header=False)
+    number = F.regexp_replace("path", r"\.wav$", "").cast("bigint").alias("line")
+    return good.select(number, F.lit(None).cast("string").alias("problem")).unionByName(bad.select(number, "problem"))
+
+
 @query("""
 WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS uttid, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
 o AS (SELECT uttid, len(w) AS frames, unnest(range(len(w))) AS place, unnest([e * (pow(10, -28 / 20.0::DOUBLE) / (list_sum([abs(u) FOR u IN w]) / len(w) + 1e-14)) FOR e IN w]) AS x FROM v)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.waves import dot, let, total
+from earshot.sources.store import stored
 
 
 def unit(v: Column) -> Column:
@@ -34,13 +35,30 @@ def left_out(rows: DataFrame, v: str = "dvec") -> DataFrame:
     return joined.withColumn("others", F.when(F.col("n") > 1, mean)).drop("sums", "n")
 
 
+def _tiled(rows: DataFrame, classes: DataFrame, tile, schema: str, block: int) -> DataFrame:
+    """Rows that ``tile(left, right)`` makes of every block of ``rows`` (uttid, ...) with every block of ``classes`` (spk, ...), whose columns come as other, other_....
+
+    Both sides are cut into blocks of about ``block``; a task holds one of each, so neither side has to fit anywhere whole.
+    """
+
+    def blocks(of: DataFrame, name: str) -> DataFrame:
+        return of.agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.lit(1)).cast("int").alias(name))
+
+    sizes = F.broadcast(blocks(rows, "__m").crossJoin(blocks(classes, "__n")))  # one row
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = rows.crossJoin(sizes).select(place("uttid", "__m").alias("i"), every("__n").alias("j"), *rows.columns)
+    named = [F.col(c).alias("other" if c == "spk" else f"other_{c}") for c in classes.columns]
+    rights = classes.crossJoin(sizes).select(every("__m").alias("i"), place("spk", "__n").alias("j"), *named)
+    return lefts.groupBy("i", "j").cogroup(rights.groupBy("i", "j")).applyInPandas(tile, schema)
+
+
 def _against_others(rows: DataFrame, classes: DataFrame, score, most: float, block: int = 1024) -> DataFrame:
     """(uttid, own, rest, best): how each row scores against all classes but its own.
 
     ``rows`` has (uttid, spk, v, own), ``classes`` (spk, v), vectors at length 1; ``score`` maps cosines to scores, at
     most ``most``. ``rest`` is the sum of exp(score - most), ``best`` the largest score (minus infinity if there is no
-    other class). Rows and classes are cut into blocks of about ``block``; a task multiplies one block of each and
-    returns one row of sums for each of its rows, so neither side has to fit anywhere whole.
+    other class). A tile returns one row of sums for each of its rows.
     """
     import numpy as np
     import pandas as pd
@@ -52,34 +70,28 @@ def _against_others(rows: DataFrame, classes: DataFrame, score, most: float, blo
         same = left.spk.to_numpy()[:, None] == right.other.to_numpy()[None, :]
         return pd.DataFrame({"uttid": left.uttid, "own": left.own, "rest": np.where(same, 0, np.exp(s - most)).sum(1), "best": np.where(same, -np.inf, s).max(1)})
 
-    def blocks(of: DataFrame, name: str) -> DataFrame:
-        return of.agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.lit(1)).cast("int").alias(name))
-
-    sizes = F.broadcast(blocks(rows, "m").crossJoin(blocks(classes, "n")))  # one row
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lefts = rows.crossJoin(sizes).select(place("uttid", "m").alias("i"), every("n").alias("j"), "uttid", "spk", "v", "own")
-    rights = classes.crossJoin(sizes).select(every("m").alias("i"), place("spk", "n").alias("j"), F.col("spk").alias("other"), F.col("v").alias("other_v"))
     kind = rows.schema["uttid"].dataType.simpleString()
-    met = lefts.groupBy("i", "j").cogroup(rights.groupBy("i", "j")).applyInPandas(tile, f"uttid {kind}, own double, rest double, best double")
+    met = _tiled(rows.select("uttid", "spk", "v", "own"), classes.select("spk", "v"), tile, f"uttid {kind}, own double, rest double, best double", block)
     return met.groupBy("uttid").agg(F.max("own").alias("own"), F.sum("rest").alias("rest"), F.max("best").alias("best"))
 
 
-def ge2e_loss(rows: DataFrame, kind: str = "softmax", w: float = 10.0, b: float = -5.0, v: str = "dvec") -> DataFrame:
-    """(loss): generalized end-to-end loss summed over rows, "softmax" or "contrast"; a row's own centroid leaves it out (``w`` above 0)."""
-    if kind not in ("softmax", "contrast"):
-        raise ValueError(f"no such kind: {kind}")
+def ge2e_losses(rows: DataFrame, w: float = 10.0, b: float = -5.0, v: str = "dvec") -> DataFrame:
+    """(softmax, contrast): generalized end-to-end losses summed over rows, both from one meeting of rows and centroids; a row's own centroid leaves it out (``w`` above 0)."""
     units = rows.select("uttid", "spk", unit(F.col(v)).alias("v"))
     cos = lambda m: F.greatest(dot(F.col("v"), m), F.lit(1e-6))
     points = left_out(units, "v").select("uttid", "spk", "v", (F.lit(w) * cos(unit(F.coalesce("others", "v"))) + F.lit(b)).alias("own"))
     middle = centroids(units, "spk", "v").select("spk", unit(F.col("centroid")).alias("v"))
     met = _against_others(points, middle, lambda x: w * x.clip(1e-6) + b, w + b)
-    if kind == "softmax":
-        each = F.log1p(F.col("rest") * F.exp(F.lit(w + b) - F.col("own")))
-    else:
-        sigmoid = lambda x: 1 / (1 + F.exp(-x))
-        each = 1 - sigmoid(F.col("own")) + sigmoid(F.col("best"))
-    return met.agg(F.sum(each).alias("loss"))
+    sigmoid = lambda x: 1 / (1 + F.exp(-x))
+    soft, hard = F.log1p(F.col("rest") * F.exp(F.lit(w + b) - F.col("own"))), 1 - sigmoid(F.col("own")) + sigmoid(F.col("best"))
+    return met.agg(F.sum(soft).alias("softmax"), F.sum(hard).alias("contrast"))
+
+
+def ge2e_loss(rows: DataFrame, kind: str = "softmax", w: float = 10.0, b: float = -5.0, v: str = "dvec") -> DataFrame:
+    """(loss): one of ``ge2e_losses``, "softmax" or "contrast"."""
+    if kind not in ("softmax", "contrast"):
+        raise ValueError(f"no such kind: {kind}")
+    return ge2e_losses(rows, w, b, v).select(F.col(kind).alias("loss"))
 
 
 def aam_softmax_loss(rows: DataFrame, classes: DataFrame, margin: float = 0.2, scale: float = 30.0, v: str = "dvec") -> DataFrame:
@@ -110,37 +122,71 @@ def triplet_loss(rows: DataFrame, margin: float = 1.0, distance: str = "euclidea
     return units.agg(F.avg(F.greatest(d(a, p) - d(a, n) + F.lit(margin), F.lit(0.0))).alias("loss"))
 
 
+def rivals(rows: DataFrame, v: str = "dvec", block: int = 1024) -> DataFrame:
+    """(uttid, other): for each row the other speakers that may be the nearest by mean distance, few where speakers lie apart.
+
+    The mean distance to a speaker's rows is at least the distance to their centroid and at most the root of its
+    square plus their variance (both by convexity). A speaker whose least is above another's most is out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    near = rows.select("uttid", "spk", F.col(v).cast("array<double>").alias("v"))
+    square = near.groupBy("spk").agg(F.avg(dot(F.col("v"), F.col("v"))).alias("square"))
+    c = F.col("centroid")
+    stats = stored(centroids(near, "spk", "v").join(square, "spk").select("spk", c.alias("v"), F.greatest(F.col("square") - dot(c, c), F.lit(0.0)).alias("variance")), "speakers")
+
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"uttid": [], "most": [], "found": pd.Series([], dtype=object)})
+        x, m = np.stack(left.v.to_numpy()), np.stack(right.other_v.to_numpy())
+        square = np.maximum((x * x).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * x @ m.T, 0)
+        slack = 1e-9 * (1 + (x * x).sum(1)[:, None] + (m * m).sum(1)[None, :])
+        least, most = np.sqrt(np.maximum(square - slack, 0)), np.sqrt(square + right.other_variance.to_numpy()[None, :] + slack)
+        same = left.spk.to_numpy()[:, None] == right.other.to_numpy()[None, :]
+        least[same] = most[same] = np.inf
+        bound, others = most.min(1), right.other.to_numpy()
+        found = [[(others[k], float(least[i, k])) for k in np.flatnonzero(least[i] <= bound[i])] if np.isfinite(bound[i]) else [] for i in range(len(left))]
+        return pd.DataFrame({"uttid": left.uttid.to_numpy(), "most": bound, "found": found})
+
+    kind, spk = rows.schema["uttid"].dataType.simpleString(), rows.schema["spk"].dataType.simpleString()
+    met = _tiled(near, stats, tile, f"uttid {kind}, most double, found array<struct<other:{spk},least:double>>", block)
+    best = met.groupBy("uttid").agg(F.min("most").alias("most"), F.flatten(F.collect_list("found")).alias("found"))
+    return best.select("uttid", "most", F.explode("found").alias("x")).filter("x.least <= most").select("uttid", "x.other")
+
+
 def silhouette(rows: DataFrame, v: str = "dvec", block: int = 1024) -> DataFrame:
     """(uttid, spk, a, b, silhouette): how much nearer each row is to its own speaker than to the next one.
 
-    Distances are needed between all rows: a task takes two blocks of rows, multiplies them, and returns sums for
-    each row and speaker only.
+    A row meets the rows of its own speaker and of its ``rivals`` only. Both sides of a speaker's meeting are cut into
+    blocks; a task takes one of each and returns one sum for each row. Without a rival b is null and the silhouette 0.
     """
     import numpy as np
     import pandas as pd
 
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.left], pdf[~pdf.left]
+    near = stored(rows.select("uttid", "spk", F.col(v).cast("array<double>").alias("v")), "vectors")
+    asks = stored(rivals(near, "v", block).unionByName(near.select("uttid", F.col("spk").alias("other"))), "asks")
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"uttid": [], "other": [], "total": []})
-        x, y = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
+        x, y = np.stack(left.v.to_numpy()), np.stack(right.theirs.to_numpy())
         square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
         far = np.sqrt(np.maximum(square, 0))
-        far[left.uttid.to_numpy()[:, None] == right.uttid.to_numpy()[None, :]] = 0
-        spk, where = np.unique(right.spk.to_numpy(), return_inverse=True)
-        by = far @ np.eye(len(spk))[where]
-        return pd.DataFrame({"uttid": np.repeat(left.uttid.to_numpy(), len(spk)), "other": np.tile(spk, len(left)), "total": by.ravel()})
+        far[left.uttid.to_numpy()[:, None] == right.them.to_numpy()[None, :]] = 0
+        return pd.DataFrame({"uttid": left.uttid.to_numpy(), "other": left.other.to_numpy(), "total": far.sum(1)})
 
-    blocks = rows.agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    kind = rows.schema["uttid"].dataType.simpleString()
-    spk_kind = rows.schema["spk"].dataType.simpleString()
-    placed = rows.crossJoin(F.broadcast(blocks)).select("uttid", "spk", F.col(v).cast("array<double>").alias("v"), "blocks", F.pmod(F.xxhash64("uttid"), F.col("blocks")).cast("int").alias("own"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    lefts = placed.select(F.col("own").alias("i"), others.alias("j"), F.lit(True).alias("left"), "uttid", "spk", "v")
-    rights = placed.select(others.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "uttid", "spk", "v")
-    found = lefts.unionByName(rights).groupBy("i", "j").applyInPandas(sums, f"uttid {kind}, other {spk_kind}, total double")
-    sizes = rows.groupBy(F.col("spk").alias("other")).agg(F.count("*").alias("n"))
-    means = found.groupBy("uttid", "other").agg(F.sum("total").alias("total")).join(sizes, "other").join(rows.select("uttid", "spk"), "uttid")
+    sizes = stored(near.groupBy(F.col("spk").alias("other")).agg(F.count("*").alias("n")).join(asks.groupBy("other").agg(F.count("*").alias("asking")), "other"), "sizes")
+    cut = sizes.select("other", F.ceil(F.col("asking") / block).cast("int").alias("m"), F.ceil(F.col("n") / block).cast("int").alias("k"))
+    place = lambda n: F.pmod(F.xxhash64("uttid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = asks.join(near.select("uttid", "v"), "uttid").join(cut, "other").select("other", place("m").alias("i"), every("k").alias("j"), "uttid", "v")
+    theirs = near.select(F.col("spk").alias("other"), F.col("uttid").alias("them"), F.col("v").alias("theirs"))
+    rights = theirs.join(cut, "other").select("other", every("m").alias("i"), F.pmod(F.xxhash64("them"), F.col("k")).cast("int").alias("j"), "them", "theirs")
+    kind, spk = rows.schema["uttid"].dataType.simpleString(), rows.schema["spk"].dataType.simpleString()
+    at = ["other", "i", "j"]
+    found = lefts.groupBy(*at).cogroup(rights.groupBy(*at)).applyInPandas(sums, f"uttid {kind}, other {spk}, total double")
+    means = found.groupBy("uttid", "other").agg(F.sum("total").alias("total")).join(sizes.select("other", "n"), "other").join(near.select("uttid", "spk"), "uttid")
     own = F.col("other") == F.col("spk")
     ab = means.groupBy("uttid", "spk").agg(F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     return ab.withColumn("silhouette", F.coalesce(F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")), F.lit(0.0)))

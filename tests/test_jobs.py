@@ -108,3 +108,24 @@ def test_speaker_losses_do_not_depend_on_blocks(spark, block):
     s = 3 * v @ v[:7].T
     off = spk[:, None] != np.arange(7)[None, :]
     assert [r["rest"] for r in got] == pytest.approx((np.exp(s - 3) * off).sum(1)) and [r["best"] for r in got] == pytest.approx(np.where(off, s, -9).max(1))
+
+
+def test_permutations_by_arithmetic(spark):
+    from earshot.operators import picks
+
+    sizes = [*range(1, 30), 97, 1000, 4097]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    for epoch in (0, 1):
+        there = rows.withColumn("p", picks.permuted(F.col("i"), F.col("n"), epoch, seed=3))
+        found = {n: [] for n in sizes}
+        for r in there.withColumn("b", picks.permuted(F.col("p"), F.col("n"), epoch, seed=3, back=True)).orderBy("n", "i").collect():
+            assert r["b"] == r["i"]
+            found[r["n"]].append(r["p"])
+        assert all(sorted(p) == list(range(n)) for n, p in found.items())
+        p = np.array(found[4097])
+        # As mixed as a drawn order: neighbours are a third of the range apart.
+        assert abs(np.abs(np.diff(p)).mean() / 4097 - 1 / 3) < 0.02 and abs(np.corrcoef(p, np.arange(4097))[0, 1]) < 0.06
+    other = [r["p"] for r in rows.filter("n = 1000").withColumn("p", picks.permuted(F.col("i"), F.col("n"), 7, seed=3)).orderBy("i").collect()]
+    assert sum(a == b for a, b in zip(other, found[1000])) < 20
+    batches = picks.permuted_batches(spark.range(100).withColumnRenamed("id", "idx"), 32, 100)
+    assert {r["batch"]: r["count"] for r in batches.groupBy("batch").count().collect()} == {0: 32, 1: 32, 2: 32, 3: 4}

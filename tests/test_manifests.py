@@ -69,3 +69,20 @@ def test_interferer_of_everyone_is_null(spark):
     assert [r["other_idx"] for r in picks.interferers(df).collect()] == [None, None]
     three = df.union(spark.createDataFrame([("c", 2, "3", "3")], df.schema))
     assert {r["key"]: r["other_spk"] for r in picks.interferers(three, tries=1).collect()}.items() >= {"a": "3", "b": "3"}.items()
+
+
+def test_bad_rows_are_counted_and_kept_aside(spark, tmp_path):
+    lines = ["uttid, spkid, gender, path, length, sample_rate, channels"] + [f"1-{k}, 1, F, 1-{k}.flac, 100, 16000, 1" for k in range(8)] + [f"2-{k}, 2, M, 2-{k}.flac, 100, 16000, 1" for k in range(3)]
+    lines += ["2-x, 2, M, 2-x.flac", "2-y, 2, M, 2-y.flac, long, 16000, 1", ", 2, M, p.flac, 100, 16000, 1", "2-z, 2, M, , 100, 16000, 1", "2-w, 2, M, w.flac, 0, 16000, 1", "2-v, 2, M, v.flac, 5, , 1"]
+    (tmp_path / "corpus.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "mix.csv").write_text("mixture_ID,mixture_path,source_1_path,source_2_path\n1-0_2-0,m.wav,a.wav,b.wav\n1-1_9-9,m2.wav,a.wav,b.wav\nodd,m3.wav,a.wav,b.wav\n1-2_1-3,,a.wav,b.wav\n")
+    counts = prepare(spark, str(tmp_path / "mix.csv"), str(tmp_path / "corpus.csv"), str(tmp_path / "out"))
+    assert counts == {
+        "metadata": {"rows": 17, "malformed": 2, "no_id": 1, "no_path": 1, "no_length": 1, "no_rate": 1},
+        "mixtures": {"rows": 4, "bad_id": 1, "no_path": 1},
+        "targets": {"rows": 4, "unknown": 1, "short_pool": 1},
+    }
+    aside = spark.read.parquet(str(tmp_path / "out/quarantine"))
+    assert {(r["source"], r["problem"]): r["count"] for r in aside.groupBy("source", "problem").count().collect()} == {(s, p): n for s, c in counts.items() for p, n in c.items() if p != "rows"}
+    assert "2-y, 2, M, 2-y.flac, long, 16000, 1" in aside.filter("problem = 'malformed' AND row LIKE '%2-y%'").first()["row"]
+    assert spark.read.text(str(tmp_path / "out/wav2scp.txt")).count() == 2

@@ -97,3 +97,24 @@ def test_family_at_once_is_each_member_alone(spark):
     got = {r["kind"]: r["loss"] for r in scores.family_losses(pairs).collect()}
     assert got == {k: pytest.approx(scores.sdr_loss(pairs, k).first()["loss"]) for k in scores.FAMILY}
     assert {r["loss"] for r in scores.family_losses(pairs.limit(0)).collect()} == {None}
+
+
+def test_far_speakers_are_not_met(spark):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(30, 8)) * 3
+    spk = rng.integers(0, 30, 600)
+    spk[:3] = [100, 101, 101]
+    x = np.where(spk[:, None] < 30, middle[spk % 30], 0) + 0.5 * rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, int(s), v.tolist()) for i, (s, v) in enumerate(zip(spk, x))], "uttid long, spk int, dvec array<double>")
+    asked = embeddings.rivals(df, block=100).collect()
+    sizes = {int(s): int((spk == s).sum()) for s in set(spk)}
+    pairs = sum(sizes[r["other"]] for r in asked) + sum(n * n for n in sizes.values())
+    assert pairs < 0.2 * 600 * 600 and not any(spk[r["uttid"]] == r["other"] for r in asked)
+    far = np.linalg.norm(x[:, None] - x[None], axis=2)
+    by = {s: far[:, spk == s].mean(1) for s in sizes}
+    got = {r["uttid"]: r for r in embeddings.silhouette(df, block=50).collect()}
+    for i in range(600):
+        assert got[i]["b"] == pytest.approx(min(by[s][i] for s in sizes if s != spk[i]))
+    one = embeddings.silhouette(df.filter("spk = 101")).collect()
+    assert len(one) == 2 and all(r["b"] is None and r["silhouette"] == 0 for r in one)
+    assert embeddings.silhouette(df.limit(0)).count() == 0
