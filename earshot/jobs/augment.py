@@ -107,6 +107,23 @@ def augmented(planned: DataFrame, sample_rate: int = 16000, target: str = "image
     return made.withColumns({c: F.when(F.col("augmented"), F.col(c)) for c in ("speed", "snr", "a1", "a2", "b1", "b2")})
 
 
+def replayed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``augmented`` rows with the waveforms in ``columns`` at the rows' speed and volume; where augmentation failed they stay."""
+
+    def change(speed, volume, ok, *of):
+        out = {}
+        for c, w in zip(columns, of):
+            x = np.array(w, np.float64)
+            if ok and speed == speed:
+                x = kernels.changed_speed(x, speed)
+            out[f"__{c}"] = np.clip(x * volume, -1, 1) if ok and volume != 1.0 else x
+        return out
+
+    args = rows.withColumn("__speed", F.coalesce("speed", F.lit(float("nan"))))
+    made = by_row(args, change, ", ".join(f"__{c} array<double>" for c in columns), ["__speed", "volume", "augmented", *columns])
+    return made.withColumns({c: F.col(f"__{c}") for c in columns}).drop("__speed", *(f"__{c}" for c in columns))
+
+
 def with_white_noise(rows: DataFrame, snr_db: float, seed: int = 0, key: str = "key", w: str = "w") -> DataFrame:
     """``rows`` with ``x``: ``w`` and Gaussian noise at a ratio to its power; the noise depends on the key alone."""
     drawn = rows.withColumn("__seed", whole(F.col(key), "white", 2**31, seed))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from earshot.functions import waves
 from earshot.functions.draws import whole
 from earshot.functions.signal import resampled
-from earshot.jobs.augment import ENROLLMENT, TSE, Chances, augmented, enrollment_level, paired_offset, plan
+from earshot.jobs.augment import ENROLLMENT, TSE, Chances, augmented, enrollment_level, paired_offset, plan, replayed
 from earshot.operators.picks import assigned, by_length, cases, drawn_until, interferers
 
 
@@ -120,10 +120,11 @@ def enrollment_clips(clips: DataFrame, noises: DataFrame | None, rirs: DataFrame
 
 
 def distance_set(rows: DataFrame, noises: DataFrame | None = None, chances: Chances = Chances(rir=0.0, response=0.0), samples: int | None = None, sample_rate: int = 16000, seed: int = 0) -> DataFrame:
-    """(key, process_wav, near, far, near_inactive, far_inactive) from (key, w, near, far); a silent side is replaced by the processed mixture."""
+    """(key, process_wav, near, far, near_inactive, far_inactive) from (key, w, near, far); both sides follow the mixture's speed and volume, a silent one is replaced by the processed mixture."""
     cut = _cut(_at_rate(rows, ["w", "near", "far"], sample_rate), ["w", "near", "far"], "w", samples, seed).withColumn("clean", F.col("w"))
     flagged = cut.withColumns({f"{s}_inactive": waves.silent(F.col(s)) for s in ("near", "far")})
     made = augmented(_with_clips(plan(flagged, chances, seed), noises, None, sample_rate, seed), sample_rate).drop("clean", "clean_wav")
+    made = replayed(made, ["near", "far"])
     return made.withColumns({s: F.when(F.col(f"{s}_inactive"), F.col("process_wav")).otherwise(F.col(s)) for s in ("near", "far")})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import kernels, signal, waves
 from earshot.functions.draws import uniform, whole
-from earshot.jobs import augment, datasets, losses, models, views
+from earshot.jobs import augment, datasets, example_sql, losses, models, views
 from earshot.jobs.reports import SCORES, activity_report
 from earshot.operators import blocks, embeddings, manifests, picks, scores, sequences, spectral
 from earshot.sources import text, wav_source
@@ -745,29 +745,47 @@ def _pool(spark, sf_dir) -> DataFrame:
     return views.waves(spark, sf_dir).select(F.col("key").alias("idx"), "w")
 
 
-@query()
+def _examples(rows: DataFrame, fixed: list, sides: dict[str, str]) -> DataFrame:
+    """Long rows of a dataset job: one for each sample of its waveforms."""
+    flat = rows.select("key", *fixed, F.posexplode(F.arrays_zip(*(F.col(c).alias(name) for name, c in sides.items()))).alias("i", "z"))
+    names = [c for c in flat.columns if c != "z"]
+    return flat.select(*names, *((F.round(F.col(f"z.{c}"), 5) + 0.0).alias(c) for c in sides))
+
+
+@query(example_sql.enhancement(48))
 def enhancement_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Augmented pairs for enhancement: speed, room, noise, response by chance, cut to 48 samples."""
     pairs = views.trios(spark, sf_dir).select("key", F.col("noisy").alias("w"), "clean")
-    return datasets.enhancement_set(pairs, _pool(spark, sf_dir), _pool(spark, sf_dir), samples=48).drop("w", "clean")
+    made = datasets.enhancement_set(pairs, _pool(spark, sf_dir), _pool(spark, sf_dir), samples=48).drop("w", "clean")
+    noise = F.when(F.col("use_noise"), F.col("noise_idx")).alias("noise_idx")
+    return _examples(made, ["offset", *r6("speed", "snr"), noise], {"process": "process_wav", "clean": "clean_wav"})
 
 
-@query()
+_EXTRACTION = augment.Chances(snrs=(5.0, 15.0), volumes=(0.5, 2.0))
+
+
+@query(example_sql.extraction(0.2, 0.2, _EXTRACTION, augment.ENROLLMENT))
 def extraction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Augmented rows for target-speaker extraction, some of them inactive or of a single speaker."""
     t = views.trios(spark, sf_dir)
     name = F.col("spk").cast("string")
     rows = t.select("key", F.col("key").alias("idx"), name.alias("spk"), F.concat_ws("-", name, (F.col("spk") + 1).cast("string")).alias("all_spks"), F.col("noisy").alias("w"), "clean")
     clips = t.select("key", F.col("enh").alias("enroll"))
-    return datasets.extraction_set(rows, clips, single=0.2, inactive=0.2, noises=_pool(spark, sf_dir), chances=augment.TSE, sample_rate=16).drop("w", "clean")
+    made = datasets.extraction_set(rows, clips, 0.2, 0.2, noises=_pool(spark, sf_dir), rirs=_pool(spark, sf_dir), chances=_EXTRACTION, sample_rate=16).drop("w", "clean")
+    fixed = ["other_idx", "inactive", (F.col("case") == "single").alias("alone"), *r6("speed", "snr", "volume"), "enroll_level"]
+    return _examples(made, fixed, {"process": "process_wav", "clean": "clean_wav", "enroll": "enroll"})
 
 
-@query()
+_DISTANCE = augment.Chances(rir=0.0, response=0.0, volumes=(0.5, 2.0))
+
+
+@query(example_sql.distance(_DISTANCE))
 def distance_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Augmented rows for distance separation; every fifth has a silent far side."""
     silent = F.transform("enh", lambda _: F.lit(0.0))
     rows = views.trios(spark, sf_dir).select("key", F.col("noisy").alias("w"), F.col("clean").alias("near"), F.when(F.col("key") % 5 == 0, silent).otherwise(F.col("enh")).alias("far"))
-    return datasets.distance_set(rows, _pool(spark, sf_dir), sample_rate=16).drop("w")
+    made = datasets.distance_set(rows, _pool(spark, sf_dir), _DISTANCE, sample_rate=16)
+    return _examples(made, [*r6("speed", "snr"), "near_inactive", "far_inactive"], {"process": "process_wav", "near": "near", "far": "far"})
 
 
 _HOPS = f"""WITH h AS (SELECT label || '-' || vec_id // {SESSION} AS stream_id, vec_id, unnest(range(len(embedding) // 16)) AS k, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),

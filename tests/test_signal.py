@@ -205,3 +205,17 @@ def test_models_write_files(spark, tmp_path):
     loud = {r["uttid"]: np.array(r["w"]) for r in audio.waves(spark, str(tmp_path), level=-20.0).collect()}
     want = {r["key"]: -np.array(r["w"], np.float32).astype(float) for r in rows.collect()}
     assert all(np.allclose(loud[k], want[k] / np.abs(want[k]).mean() / 10) for k in want)
+
+
+def test_both_sides_follow_the_mixture(spark):
+    rows = corpus(spark)
+    near = rows.select("key", "w", F.col("clean").alias("near"), F.transform("w", lambda x: x / 4).alias("far"))
+    chances = augment.Chances(speed=0.6, rir=0, noise=0, response=0, volumes=(0.2, 3.0))
+    for r in datasets.distance_set(near, chances=chances, sample_rate=100).collect():
+        src = {x["key"]: x for x in near.filter(F.col("key") == r["key"]).collect()}[r["key"]] if r["key"] in ("k0", "k1", "k2") else None
+        assert len(r["near"]) == len(r["far"]) == len(r["process_wav"])
+        if src:
+            for side in ("near", "far"):
+                x = np.array(src[side])
+                want = np.clip((kernels.changed_speed(x, r["speed"]) if r["speed"] else x) * r["volume"], -1, 1)
+                assert r[side] == pytest.approx(want)
