@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 
 
 def resample(w: np.ndarray, from_rate: float, to_rate: float, width: int = 6, rolloff: float = 0.99) -> np.ndarray:
-    """Resample by a Hann-windowed sinc whose cutoff is below both Nyquist limits; the length is ceil(n * to / from)."""
+    """Resample by a Hann-windowed sinc whose cutoff is below both Nyquist limits; the length is ceil(n * to / from).
+
+    Whole rates whose ratio is one of small numbers take their weights from a bank with a row for each phase.
+    """
     if from_rate == to_rate or not len(w):
         return w.astype(np.float64)
     n = int(np.ceil(len(w) * to_rate / from_rate))
+    if from_rate == int(from_rate) and to_rate == int(to_rate):
+        part = math.gcd(int(from_rate), int(to_rate))
+        up, down = int(to_rate) // part, int(from_rate) // part
+        if up <= BANK:
+            return _by_phases(w, n, up, down, width, rolloff)
     cutoff = min(from_rate, to_rate) * rolloff
     reach = width * from_rate / cutoff
     centre = np.arange(n) * (from_rate / to_rate)
@@ -19,13 +30,44 @@ def resample(w: np.ndarray, from_rate: float, to_rate: float, width: int = 6, ro
     for a in range(0, n, step):
         base = np.floor(centre[a : a + step]).astype(np.int64)
         at = base[:, None] + offset
-        t = (centre[a : a + step, None] - at) * (cutoff / from_rate)
-        weight = np.where(np.abs(t) < width, np.sinc(t) * np.cos(np.pi * t / (2 * width)) ** 2, 0) * (cutoff / from_rate)
+        weight = _sinc((centre[a : a + step, None] - at) * (cutoff / from_rate), width) * (cutoff / from_rate)
         inside = (at >= 0) & (at < len(w))
         out[a : a + step] = (weight * np.where(inside, w[np.clip(at, 0, len(w) - 1)], 0)).sum(1)
     return out
 
 
+#: Phases that a bank of weights has at most.
+BANK = 4096
+
+
+def _sinc(t: np.ndarray, width: int) -> np.ndarray:
+    return np.where(np.abs(t) < width, np.sinc(t) * np.cos(np.pi * t / (2 * width)) ** 2, 0)
+
+
+@lru_cache(32)
+def _bank(up: int, down: int, width: int, rolloff: float) -> tuple[np.ndarray, int]:
+    """Weights of ``up`` phases, a row for each, and how far they reach."""
+    cutoff = min(1.0, up / down) * rolloff
+    reach = int(np.ceil(width / cutoff))
+    offset = np.arange(-reach, reach + 1)
+    return _sinc((np.arange(up)[:, None] / up - offset) * cutoff, width) * cutoff, reach
+
+
+def _by_phases(w: np.ndarray, n: int, up: int, down: int, width: int, rolloff: float) -> np.ndarray:
+    """Sample i lies i * down / up samples in: those of one phase are a product of strided windows with one row of the bank."""
+    bank, reach = _bank(up, down, width, rolloff)
+    last = (n - 1) * down // up
+    padded = np.zeros(max(last, len(w) - 1) + 2 * reach + 1)
+    padded[reach : reach + len(w)] = w
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
+    out = np.empty(n)
+    for first in range(min(up, n)):
+        count = (n - 1 - first) // up + 1
+        start = first * down // up
+        out[first::up] = windows[start : start + (count - 1) * down + 1 : down] @ bank[first * down % up]
+    return out
+
+
 def changed_speed(w: np.ndarray, factor: float) -> np.ndarray:
     """Faster (above 1) or slower, pitch included; about len(w) / factor samples."""
     return resample(w, factor, 1.0)

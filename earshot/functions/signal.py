@@ -116,6 +116,23 @@ def causal_filtered(rows: DataFrame, w: str = "w", h: str = "h") -> DataFrame:
     return by_row(rows, lambda a, b: {"x": causal(np.asarray(a, np.float64), np.asarray(b, np.float64)) if len(a) and len(b) else np.zeros(len(a))}, "x array<double>", [w, h])
 
 
+def band_filtered(rows: DataFrame, sample_rate: int, kind: str, low: str | None = None, high: str | None = None, taps: int = 513, w: str = "w") -> DataFrame:
+    """``rows`` with ``x``: ``w`` with what lies below ``high`` hertz only (kind "low"), or from ``low`` to ``high`` ("band"), at its own size; ``low`` and ``high`` name columns."""
+    from earshot.functions.kernels import convolve, pass_band
+
+    if kind not in ("low", "band"):
+        raise ValueError(f"no such band: {kind}")
+
+    def work(x, *edges):
+        a, b = (0.0, *edges) if kind == "low" else edges
+        if not 0 <= a < b <= sample_rate / 2:
+            raise ValueError("the band lies outside of the spectrum")
+        x = np.asarray(x, np.float64)
+        return {"x": convolve(x, pass_band(a / sample_rate, b / sample_rate, taps // 2), "same") if len(x) else x}
+
+    return by_row(rows, work, "x array<double>", [w, high] if kind == "low" else [w, low, high])
+
+
 def normalized(rows: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
     """``rows`` with ``name``: ``x`` at zero mean and unit variance (biased, 1e-8 under the root) among the rows that agree in ``by``.
 

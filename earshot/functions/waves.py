@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from earshot.functions.draws import uniform
+
 TINY = 1e-14
 
 
@@ -134,6 +136,28 @@ def masked_band(w: Column, start: Column, width: Column, fill: float = 0.0) -> C
     return let(ends, lambda e: F.transform(w, lambda x, i: F.when((i >= e["a"]) & (i < e["b"]), F.lit(fill)).otherwise(x)))
 
 
+def masked_spectrogram(frames: Column, key: Column, in_time: tuple[int, int] = (1, 20), in_frequency: tuple[int, int] = (1, 10), fill: float = 0.0, seed: int = 0) -> Column:
+    """An array of frames with masks over both axes: for each axis so many stretches, each of a drawn width below the one given and at a drawn place.
+
+    A stretch is one of frames (time) or of bins in every frame (frequency); widths are cut to the axis.
+    """
+    def spans(n: Column, axis: str, many: int, widest: int) -> list[Column]:
+        out = []
+        for k in range(many):
+            width = F.least(F.floor(uniform(key, f"mask.{axis}.{k}.n", seed) * widest), n)
+            start = F.floor(uniform(key, f"mask.{axis}.{k}.at", seed) * (n - width + 1))
+            out.append(F.struct(start.alias("a"), (start + width).alias("b")))
+        return out
+
+    def hit(i: Column, found: Column) -> Column:
+        return F.exists(found, lambda s: (i >= s["a"]) & (i < s["b"]))
+
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    times, bins = spans(F.size(frames), "time", *in_time), spans(F.size(F.get(frames, F.lit(0))), "frequency", *in_frequency)
+    masks = F.struct(*(F.array(*s).cast("array<struct<a:bigint,b:bigint>>").alias(n) if s else none.alias(n) for n, s in (("t", times), ("f", bins))))
+    return let(masks, lambda m: F.transform(frames, lambda row, t: F.transform(row, lambda x, f: F.when(hit(t, m["t"]) | hit(f, m["f"]), F.lit(float(fill))).otherwise(x))))
+
+
 def mel(hz: Column) -> Column:
     """Hertz to mel: linear below 1000 Hz, logarithmic above."""
     return F.when(hz >= 1000, 15 + F.log(hz / 1000) / F.lit(math.log(6.4) / 27)).otherwise(hz / F.lit(200 / 3))

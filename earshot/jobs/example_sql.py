@@ -40,7 +40,7 @@ def at_speed(w: str) -> str:
     cut = "(least(speed, 1.0) * 0.99 / speed)"
     t = f"((i * speed - j) * {cut})"
     weight = f"CASE WHEN {t} = 0 THEN 1 ELSE sin(pi() * {t}) / (pi() * {t}) END * pow(cos(pi() * {t} / 12), 2) * {cut}"
-    near = "range(greatest(CAST(floor(i * speed) AS BIGINT) - 9, 0), least(CAST(ceil(i * speed) AS BIGINT) + 10, len(w)))".replace("len(w)", f"len({w})")
+    near = "range(greatest(CAST(floor(i * speed) AS BIGINT) - 14, 0), least(CAST(ceil(i * speed) AS BIGINT) + 15, len(w)))".replace("len(w)", f"len({w})")
     return f"CASE WHEN speed IS NULL THEN {w} ELSE [coalesce(list_sum([{w}[j + 1] * {weight} FOR j IN {near} IF abs({t}) < 6]), 0) FOR i IN range(CAST(ceil(len({w}) / speed) AS BIGINT))] END"
 
 

@@ -338,9 +338,9 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.summary(scores.with_improvement(views.trios(spark, sf_dir)), SCORES).select(*r6(*SCORES), "n")
 
 
-def _family_sql() -> str:
+def _family_sql(family: dict) -> str:
     parts = []
-    for name, (scaled, dependent, limit, pooled) in scores.FAMILY.items():
+    for name, (scaled, dependent, limit, pooled) in family.items():
         a = "xy / (yy + 1e-8)" if scaled else "1.0"
         b = "1.0" if dependent else a
         target = f"{a} * {a} * yy"
@@ -352,7 +352,13 @@ def _family_sql() -> str:
     return f"WITH {views.TRIOS}, m AS (SELECT spk AS key, {_moments('enh', 'clean')} FROM t) SELECT kind, round(loss, 6) AS loss FROM ({' UNION ALL '.join(parts)})"
 
 
-@query(_family_sql())
+@query(_family_sql(scores.COMPAT))
+def sdr_losses_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.trios(spark, sf_dir).withColumn("key", F.col("spk"))
+    return scores.family_losses(rows, compat=True).select("kind", *r6("loss"))
+
+
+@query(_family_sql(scores.FAMILY))
 def sdr_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.trios(spark, sf_dir).withColumn("key", F.col("spk"))
     return scores.family_losses(rows).select("kind", *r6("loss"))
@@ -655,6 +661,57 @@ def notched_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("key", F.posexplode("x").alias("i", "x")).select("key", "i", (F.round("x", 5) + 0.0).alias("x"))
 
 
+_BLACKMAN = "(0.42 - 0.5 * cos(2 * pi() * (t + 15) / 30) + 0.08 * cos(4 * pi() * (t + 15) / 30))"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS w, (500.0 + {draw("edge", "vec_id")} * 2500.0) AS hz FROM embeddings),
+c AS (SELECT key, w, 'low' AS kind, 0.0::DOUBLE AS low, hz / 16000 AS high FROM v UNION ALL SELECT key, w, 'band', hz / 16000, (hz + 2000) / 16000 FROM v),
+p AS (SELECT *, [CASE WHEN t = 0 THEN 2 * high - 2 * low ELSE (sin(2 * pi() * high * t) - sin(2 * pi() * low * t)) / (pi() * t) END * {_BLACKMAN} FOR t IN range(-15, 16)] AS h FROM c),
+g AS (SELECT *, list_sum([h[t + 16] * CASE WHEN kind = 'low' THEN 1 ELSE cos(pi() * (low + high) * t) END FOR t IN range(-15, 16)]) AS gain FROM p),
+o AS (SELECT key, kind, w, h, gain, unnest(range(len(w))) AS i FROM g)
+SELECT key, kind, CAST(i AS INTEGER) AS i, round(list_sum([w[j + 1] * h[i - j + 16] / gain FOR j IN range(len(w)) IF abs(i - j) <= 15]), 5) + 0 AS x FROM o""")
+def banded_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wave below a drawn edge, and between it and 2000 hertz above."""
+    rows = views.waves(spark, sf_dir).select("key", "w", uniform(F.col("key"), "edge", low=500, high=3000).alias("low")).withColumn("high", F.col("low") + 2000)
+    low = signal.band_filtered(rows, 16000, "low", high="low", taps=31).withColumn("kind", F.lit("low"))
+    both = low.unionByName(signal.band_filtered(rows, 16000, "band", "low", "high", 31).withColumn("kind", F.lit("band")))
+    return both.select("key", "kind", F.posexplode("x").alias("i", "x")).select("key", "kind", "i", (F.round("x", 5) + 0.0).alias("x"))
+
+
+_RATE = "CASE WHEN vec_id % 2 = 0 THEN 16000 ELSE 44100 END"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id AS key, {_RATE} AS rate, {_RATE} / 24000.0::DOUBLE AS speed, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+o AS (SELECT key, {example_sql.at_speed("w").replace("ceil(len(w) / speed)", "ceil(len(w) * 24000.0::DOUBLE / rate)")} AS x FROM v)
+SELECT key, CAST(unnest(range(len(x))) AS INTEGER) AS i, round(unnest(x), 5) + 0 AS x FROM o""")
+def waves_at_one_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves of two rates brought to 24 kHz."""
+    rows = views.waves(spark, sf_dir).select("key", "w", F.when(F.col("key") % 2 == 0, 16000).otherwise(44100).alias("sample_rate"))
+    made = signal.resampled(rows, 24000, ["w"])
+    return made.select("key", F.posexplode("w").alias("i", "x")).select("key", "i", (F.round("x", 5) + 0.0).alias("x"))
+
+
+def _masks(axis: str, n: int, many: int, widest: int, place: str) -> str:
+    found = []
+    for k in range(many):
+        width = f"least(CAST(floor({draw(f'mask.{axis}.{k}.n', 'key')} * {widest}) AS BIGINT), {n})"
+        start = f"CAST(floor({draw(f'mask.{axis}.{k}.at', 'key')} * ({n} - {width} + 1)) AS BIGINT)"
+        found.append(f"({place} >= {start} AND {place} < {start} + {width})")
+    return " OR ".join(found)
+
+
+@query(f"""WITH e AS (SELECT vec_id AS key, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT key, CAST(i // 8 AS INTEGER) AS frame, CAST(i % 8 AS INTEGER) AS bin, CASE WHEN {_masks("time", 8, 2, 4, "i // 8")} OR {_masks("frequency", 8, 2, 3, "i % 8")} THEN -1 ELSE round(x, 6) END AS x FROM e""")
+def masked_spectrograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves as eight frames of eight bins with two masks over each axis."""
+    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("w", t * 8 + 1, F.lit(8)))
+    rows = views.waves(spark, sf_dir).withColumn("s", waves.masked_spectrogram(frames, F.col("key"), (2, 4), (2, 3), -1.0))
+    flat = rows.select("key", F.posexplode("s").alias("frame", "row")).select("key", "frame", F.posexplode("row").alias("bin", "x"))
+    return flat.select("key", "frame", "bin", F.round("x", 6).alias("x"))
+
+
 @query(f"""WITH {views.TRIOS}, o AS (SELECT key, clean AS w, noisy AS h, unnest(range(len(clean))) AS i FROM t)
 SELECT key, CAST(i AS INTEGER) AS i, round(list_sum([w[j + 1] * h[i - j + 1] FOR j IN range(i + 1) IF i - j < len(h)]), 5) + 0 AS x FROM o""")
 def causal_waves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,14 +82,26 @@ def interferers(rows: DataFrame, tries: int = 8, seed: int = 0) -> DataFrame:
     the numbers of all speakers but its mixture's, and takes that speaker's first row; where every speaker is in the
     mixture, the columns are null.
     """
-    size = rows.agg(F.count("*").alias("__size"))
-    probes = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.struct(i.alias("nth"), F.floor((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.concat(F.lit("other."), i.cast("string")), F.col("key"))), 1, 8), 16, 10).cast("double") / 4294967296.0) * F.col("__size")).alias("other_idx")))
-    asked = rows.crossJoin(F.broadcast(size)).select("key", "all_spks", F.explode(probes).alias("p")).select("key", "all_spks", "p.nth", "p.other_idx")
+    size = F.broadcast(rows.agg(F.count("*").alias("__size")))
     own = rows.select(F.col("idx").alias("other_idx"), F.col("spk").alias("other_spk"))
-    allowed = asked.join(own, "other_idx").filter(~F.array_contains(F.split("all_spks", "-"), F.col("other_spk").cast("string")))
-    first = stored(allowed.groupBy("key").agg(F.min_by(F.struct("other_idx", "other_spk"), "nth").alias("o")).select("key", "o.*"), "first")
-    rest = stored(rows.select("key", "all_spks").join(first, "key", "left_anti"), "rest")
-    chosen = first if rest.isEmpty() else first.unionByName(_by_speaker(rows, rest, seed))
+
+    def allowed(asking: DataFrame, low: int, high: int) -> DataFrame:
+        """(key, other_idx, other_spk) by the first of the draws from ``low`` to ``high`` - 1 that is allowed."""
+        probes = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda i: F.struct(i.alias("nth"), F.floor((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.concat(F.lit("other."), i.cast("string")), F.col("key"))), 1, 8), 16, 10).cast("double") / 4294967296.0) * F.col("__size")).alias("other_idx")))
+        asked = asking.crossJoin(size).select("key", "all_spks", F.explode(probes).alias("p")).select("key", "all_spks", "p.nth", "p.other_idx")
+        met = asked.join(own, "other_idx").filter(~F.array_contains(F.split("all_spks", "-"), F.col("other_spk").cast("string")))
+        return stored(met.groupBy("key").agg(F.min_by(F.struct("other_idx", "other_spk"), "nth").alias("o")).select("key", "o.*"), "allowed")
+
+    # Most rows find theirs in the first draws; only those that do not draw again.
+    chosen, asking, low = None, rows.select("key", "all_spks"), 0
+    for high in sorted({min(2, tries), tries}):
+        first = allowed(asking, low, high)
+        chosen = first if chosen is None else chosen.unionByName(first)
+        asking, low = stored(asking.join(first, "key", "left_anti"), "asking"), high
+        if asking.isEmpty():
+            break
+    else:
+        chosen = chosen.unionByName(_by_speaker(rows, asking, seed))
     return rows.join(chosen, "key", "left").withColumn("use_mixture", F.when(F.col("other_idx").isNotNull(), uniform(F.col("key"), "use_mixture", seed) < 0.5))
 
 

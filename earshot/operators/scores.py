@@ -70,6 +70,13 @@ FAMILY = {
     "satsdr": (False, False, 30.0, True),
 }
 
+#: The members as their names were compared where they come from: a name within "sdsdr" scales, "sasisnr" does not, none pools.
+COMPAT = {kind: (kind == "sisnr" or kind in "sdsdr", dependent, limit, False) for kind, (_, dependent, limit, _) in FAMILY.items()}
+
+
+def member(kind: str, compat: bool = False) -> tuple[bool, bool, float | None, bool]:
+    return (COMPAT if compat else FAMILY)[kind]
+
 
 def target_and_noise(m: Moments, scaled: bool, scale_dependent: bool, limit: float | None) -> tuple[Column, Column]:
     """Energies of target and noise of one source."""
@@ -87,15 +94,15 @@ def sdr(m: Moments, kind: str) -> Column:
     return db(target / (noise + F.lit(EPS)) + F.lit(EPS))
 
 
-def sdr_loss(pairs: DataFrame, kind: str, x: str = "enh", y: str = "clean", keep_above: float | None = None, inactive: str | None = None) -> DataFrame:
+def sdr_loss(pairs: DataFrame, kind: str, x: str = "enh", y: str = "clean", keep_above: float | None = None, inactive: str | None = None, compat: bool = False) -> DataFrame:
     """(loss): mean of the negated ratios over pairs; the pooled members add up energies over the rows of one ``key`` first.
 
     With ``keep_above`` only losses above it count, if there are any. Rows flagged ``inactive`` count with their
-    residual energy instead.
+    residual energy instead. ``compat`` takes the members of COMPAT.
     """
-    pooled = FAMILY[kind][3]
+    pooled = member(kind, compat)[3]
     active = pairs.filter(~F.col(inactive)) if inactive else pairs
-    sums = active.select("key", from_moments(F.col(x), F.col(y), lambda m: _energies(m, kind)).alias("s")).select("key", "s.t", "s.e")
+    sums = active.select("key", from_moments(F.col(x), F.col(y), lambda m: _energies(m, kind, compat)).alias("s")).select("key", "s.t", "s.e")
     if pooled:
         sums = sums.groupBy("key").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
     losses = sums.select(_negated(F.col("t"), F.col("e")).alias("loss"))
@@ -108,8 +115,8 @@ def sdr_loss(pairs: DataFrame, kind: str, x: str = "enh", y: str = "clean", keep
     return losses.agg(F.avg("loss").alias("loss"))
 
 
-def _energies(m: Moments, kind: str) -> Column:
-    scaled, dependent, limit, _ = FAMILY[kind]
+def _energies(m: Moments, kind: str, compat: bool = False) -> Column:
+    scaled, dependent, limit, _ = member(kind, compat)
     return F.struct(*(e.alias(n) for e, n in zip(target_and_noise(m, scaled, dependent, limit), ("t", "e"))))
 
 
@@ -117,16 +124,16 @@ def _negated(target: Column, noise: Column) -> Column:
     return -db(target / (noise + F.lit(EPS)) + F.lit(EPS))
 
 
-def family_losses(pairs: DataFrame, x: str = "enh", y: str = "clean") -> DataFrame:
+def family_losses(pairs: DataFrame, x: str = "enh", y: str = "clean", compat: bool = False) -> DataFrame:
     """(kind, loss) for all members of the family: the waveforms are read once, their moments serve every member.
 
     Rows are summed by ``key`` for the pooled members, and these sums carry the means of the others along.
-    No pairs give a null for each member.
+    No pairs give a null for each member. ``compat`` takes the members of COMPAT.
     """
-    every = lambda m: F.struct(*(_energies(m, k).alias(k) for k in FAMILY))
+    every = lambda m: F.struct(*(_energies(m, k, compat).alias(k) for k in FAMILY))
     sums = pairs.select("key", from_moments(F.col(x), F.col(y), every).alias("s"))
     by_key, over_all = [], []
-    for kind, (*_, pooled) in FAMILY.items():
+    for kind, (*_, pooled) in (COMPAT if compat else FAMILY).items():
         t, e = F.col(f"s.{kind}.t"), F.col(f"s.{kind}.e")
         if pooled:
             by_key += [F.sum(t).alias(f"{kind}_t"), F.sum(e).alias(f"{kind}_e")]

@@ -33,24 +33,20 @@ def indexed_folder(spark: SparkSession, path: str) -> DataFrame:
     return last_of_each(listing(spark, path).select(utterance_id(F.col("path")).alias("uttid"), "path"), "uttid", "path")
 
 
-def header(data: bytes, whole: bool = True) -> tuple[int, int, int, int, int, int] | None:
-    """(format, channels, sample rate, bits, start of samples, bytes of samples) of a RIFF file; None if ``data`` is only its start and ends before the samples."""
+def header(data: bytes) -> tuple[int, int, int, int, int, int]:
+    """(format, channels, sample rate, bits, start of samples, bytes of samples) of a RIFF file."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("no WAV file")
     at, form = 12, None
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
         if name == b"fmt ":
-            if not whole and len(data) < at + 34:
-                return None
             form = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
             if form[0] == 0xFFFE:
                 form = (struct.unpack("<H", data[at + 32 : at + 34])[0], *form[1:])
         if name == b"data" and form:
             return form[0], form[1], form[2], form[5], at + 8, size
         at += 8 + size + size % 2
-    if not whole:
-        return None
     raise ValueError("no samples in WAV file")
 
 
@@ -86,32 +82,12 @@ def encode(w: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(raw)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, rate, rate * 4, 4, 32) + b"data" + struct.pack("<I", len(raw)) + raw
 
 
-#: Bytes of a file that mostly hold its header.
-HEAD = 4096
-
-
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sample_rate, seconds, channels): seconds to hundredths.
+    """(path, sample_rate, seconds, channels): seconds to hundredths; a few bytes of each file are read, wherever its samples start."""
+    from earshot.sources import wav_source
 
-    A file's first HEAD bytes are looked at; files whose samples start later (long lists of tags) are looked at whole.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
-
-    def work(whole: bool):
-        def rows(batches):
-            for pdf in batches:
-                found = [header(bytes(h), whole) for h in pdf["head"]]
-                values = [(p, None, None, None) if r is None else (p, r[2], round(r[5] / (r[1] * r[3] // 8) / r[2], 2), r[1]) for p, r in zip(pdf["path"], found)]
-                yield pd.DataFrame(values, columns=["path", "sample_rate", "seconds", "channels"]).astype({"sample_rate": "Int32", "seconds": "float64", "channels": "Int32"})
-
-        return rows
-
-    schema = "path string, sample_rate int, seconds double, channels int"
-    first = stored(files.select("path", F.substring("content", 1, HEAD).alias("head")).mapInPandas(work(False), schema), "headers")
-    known, late = first.filter("sample_rate IS NOT NULL"), first.filter("sample_rate IS NULL").select("path")
-    if late.isEmpty():
-        return known
-    return known.unionByName(files.select("path", F.col("content").alias("head")).join(late, "path", "left_semi").mapInPandas(work(True), schema))
+    seconds = F.round(F.col("frames") / F.col("sample_rate"), 2).alias("seconds")
+    return wav_source.headers(spark, path).select("path", "sample_rate", seconds, "channels")
 
 
 def waves(spark: SparkSession, path: str, level: float | None = None) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.functions import kernels, waves
+from earshot.functions import kernels, signal, waves
 from earshot.jobs import augment, datasets, models
 from earshot.operators.scores import METRICS, metric
 from earshot.sources import audio
@@ -219,3 +219,33 @@ def test_both_sides_follow_the_mixture(spark):
                 x = np.array(src[side])
                 want = np.clip((kernels.changed_speed(x, r["speed"]) if r["speed"] else x) * r["volume"], -1, 1)
                 assert r[side] == pytest.approx(want)
+
+
+def test_a_bank_of_phases_is_the_same_resampling():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 100, 1000):
+        w = rng.normal(size=n)
+        for a, b in ((16000, 24000), (44100, 16000), (8000, 16000), (16000, 8000), (3, 7)):
+            got = kernels.resample(w, a, b)
+            # A rate that is off by nothing but has no small ratio goes sample by sample.
+            want = kernels.resample(w, a * (1 + 1e-15) + 1e-12, b)
+            assert len(got) == int(np.ceil(n * b / a)) and got == pytest.approx(want[: len(got)], abs=1e-6)
+
+
+def test_bands_and_spectrogram_masks(spark):
+    t = np.arange(4000) / 16000
+    rows = spark.createDataFrame([(0, (np.sin(2 * np.pi * 300 * t) + np.sin(2 * np.pi * 2000 * t) + np.sin(2 * np.pi * 6000 * t)).tolist(), 1000.0, 3000.0), (1, [], 1.0, 2.0), (2, None, 1.0, 2.0)], "key long, w array<double>, low double, high double")
+    for kind, kept in (("low", (1, 1, 0)), ("band", (0, 1, 0))):
+        got = {r["key"]: r["x"] for r in signal.band_filtered(rows, 16000, kind, "low", "high").collect()}
+        size = [abs(np.exp(-2j * np.pi * f * t[1000:3000]) @ np.array(got[0])[1000:3000]) / 1000 for f in (300, 2000, 6000)]
+        assert size == pytest.approx(kept, abs=0.02) and got[1] == [] and got[2] is None
+    frames = spark.range(200).select(F.col("id").alias("key"), F.array_repeat(F.array_repeat(F.lit(1.0), 12), 30).alias("s"))
+    masked = frames.withColumn("s", waves.masked_spectrogram(F.col("s"), F.col("key"), (2, 10), (1, 5)))
+    spans = set()
+    for r in masked.collect():
+        x = np.array(r["s"])
+        rows_, bins = (x == 0).all(1), (x == 0).all(0)
+        assert ((x == 0) == (rows_[:, None] | bins[None, :])).all() and rows_.sum() <= 18 and bins.sum() <= 4
+        spans.add((int(rows_.sum()), int(bins.sum())))
+    assert len(spans) > 20
+    assert waves.masked_spectrogram is not None and frames.select(waves.masked_spectrogram(F.col("s"), F.col("key"), (0, 9), (0, 9)).alias("s")).first()["s"] == [[1.0] * 12] * 30
