@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.functions import kernels, signal, waves
+from earshot.functions import flags, kernels, signal, waves
 from earshot.functions.draws import uniform, whole
-from earshot.jobs import augment, datasets, example_sql, losses, models, views
-from earshot.jobs.reports import SCORES, activity_report
+from earshot.jobs import augment, datasets, example_sql, losses, metadata, models, views
+from earshot.jobs.reports import SCORES, activity_report, enhancement_report
 from earshot.operators import blocks, embeddings, manifests, picks, scores, sequences, spectral
-from earshot.sources import text, wav_source
+from earshot.sources import audio, text, wav_source
 from earshot.sources.store import shared_folder, stored
 from earshot.streaming import chunks, event_time
 
@@ -296,15 +298,16 @@ def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {views.FRAMES},
 n AS (SELECT key, count(*) AS n FROM f GROUP BY key),
-s AS (SELECT user_id AS key, CAST(floor({draw("span", "event_id")} * n) AS BIGINT) AS start, CAST(floor({draw("span", "event_id")} * n) AS BIGINT) + CAST(floor(value) AS BIGINT) % 3 AS stop FROM events JOIN n ON n.key = user_id WHERE value IS NOT NULL)
+s AS (SELECT user_id AS key, CAST(floor({draw("span", "event_id")} * n) AS BIGINT) AS start, CAST(floor({draw("span", "event_id")} * n) AS BIGINT) + CASE WHEN CAST(floor(value) AS BIGINT) % 8 = 0 THEN CAST(floor(value * 10) AS BIGINT) % 20 ELSE 0 END AS stop FROM events JOIN n ON n.key = user_id WHERE value IS NOT NULL)
 SELECT key, pos, (EXISTS (SELECT 1 FROM s WHERE s.key = f.key AND s.start <= f.pos AND f.pos < s.stop))::INTEGER AS label FROM f""")
 def vad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A span for each event, from a drawn place of its user's sequence on."""
+    """A span for each event, from a drawn place of its user's sequence on: most are empty, the others up to 19 places long, and overlap."""
     frames = views.frames(spark, sf_dir)
     sizes = frames.groupBy("key").agg(F.count("*").alias("n"))
     events = views.table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("key"), "event_id", "value").join(sizes, "key")
     start = whole(F.col("event_id"), "span", F.col("n"))
-    return sequences.rasterized(frames, events.select("key", start.alias("start"), (start + F.floor("value") % 3).alias("stop")))
+    length = F.when(F.floor("value") % 8 == 0, F.floor(F.col("value") * 10) % 20).otherwise(0)
+    return sequences.rasterized(frames, events.select("key", start.alias("start"), (start + length).alias("stop")))
 
 
 # --- scores ------------------------------------------------------------------------------------------------------
@@ -867,6 +870,26 @@ def chunk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(_session_frames(spark, sf_dir), "samples", "stream_id", "frame")
 
 
+@query(_HOPS + " SELECT stream_id, CAST(frame AS BIGINT) AS frame, round(samples[17] + frame % 50 + 10 * (frame // 50), 6) AS x FROM f")
+def stepped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step on each frame with a state that lasts for 50 frames and one that lasts: here they count."""
+    frames = _session_frames(spark, sf_dir).select("stream_id", F.col("frame").alias("seq"), "samples", F.lit(False).alias("eos"))
+    count = lambda x, fast, slow: (x[16:17] + (fast or 0) + 10 * (slow or 0), (fast or 0) + 1)
+    made = chunks.batched(frames, lambda: chunks.Steps(count, lambda fast, slow: (slow or 0) + 1, 50), chunks.Steps.columns)
+    return made.select("stream_id", "frame", F.round(F.col("samples")[0], 6).alias("x"))
+
+
+@query(f"""WITH v AS (SELECT label || '-' || vec_id // {SESSION} AS stream_id, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+SELECT stream_id, count(*) AS n, round(avg(x), 6) AS mean, round(max(abs(x)), 6) AS peak FROM v GROUP BY stream_id""")
+def session_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector for each recording session from a running summary: here mean and peak."""
+    last = F.col("seq") == F.max("seq").over(Window.partitionBy("stream_id"))
+    rows = views.waves(spark, sf_dir).select(_session().alias("stream_id"), F.col("key").alias("seq"), F.col("w").alias("samples")).withColumn("eos", last)
+    add = lambda s, x: s + [x.sum(), len(x), max(np.abs(x).max() - s[2], 0)]
+    made = chunks.batched(rows, lambda: chunks.Folded(lambda: np.zeros(3), add, lambda s: [s[0] / s[1], s[2]]), chunks.Folded.columns)
+    return made.select("stream_id", "n", F.round(F.col("dvec")[0], 6).alias("mean"), F.round(F.col("dvec")[1], 6).alias("peak"))
+
+
 @query(
     _HOPS
     + """, o AS (SELECT stream_id, frame, samples, lag(samples) OVER (PARTITION BY stream_id ORDER BY frame) AS before FROM f),
@@ -881,6 +904,98 @@ def overlap_added(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -----------------------------------------------------------------------------------------------------------
 
 
+def _located(path: str) -> str:
+    return f"file://{path}" if path.startswith("/") else path
+
+
+_MANIFEST_COLUMNS = {"wav2scp": "noisy", "wav2ref": "ref", "ref2spk": "spk", "wav2spk": "all_spks", "ref2list": "paths"}
+
+
+@query(
+    _TARGETS
+    + f""", p AS (SELECT CAST(user_id AS VARCHAR) AS spk, user_id || '-' || event_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY user_id || '-' || event_id) - 1 AS number, count(*) OVER (PARTITION BY user_id) AS size FROM events),
+o AS (SELECT g.key, g.spk, number AS own, size - 1 AS others, unnest(range(5)) AS nth FROM g JOIN p ON p.spk = g.spk AND p.u = g.utt),
+d AS (SELECT key, spk, own, nth, {distinct("enroll", "key", "others", 5)} AS number FROM o WHERE others * (nth + 1) // 5 > others * nth // 5),
+r AS (SELECT d.key, string_agg('/corpus/' || p.u || '.flac', ' ' ORDER BY d.nth) AS paths FROM d JOIN p ON p.spk = d.spk AND p.number = d.number + (d.number >= d.own)::INTEGER GROUP BY d.key HAVING count(*) = 5),
+w AS (SELECT g.*, paths FROM g JOIN r ON r.key = g.key)
+{" UNION ALL ".join(f"SELECT '{m}' AS manifest, key, {c} AS vals FROM w" for m, c in _MANIFEST_COLUMNS.items())}"""
+)
+def prepared_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixture lists and corpus metadata as CSV files, prepared into the five manifests of a dataset, which are read again."""
+    out = shared_folder(spark)
+    views.mixtures(spark, sf_dir).write.option("header", True).csv(f"{out}/mixtures")
+    utt = F.concat_ws("-", F.col("user_id").cast("string"), F.col("event_id").cast("string"))
+    e = views.table(spark, sf_dir, "events").select(utt.alias("uttid"), F.col("user_id").alias("spkid"), F.lit("F").alias("gender"), F.concat(utt, F.lit(".flac")).alias("path"), F.lit(16000).alias("length"), F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"))
+    e.write.option("header", True).csv(f"{out}/corpus")
+    metadata.prepare(spark, f"{out}/mixtures", f"{out}/corpus", f"{out}/dataset", "/corpus")
+    read = [text.manifest(spark, f"{out}/dataset/{name}.txt").select(F.lit(name).alias("manifest"), "key", F.array_join("vals", " ").alias("vals")) for name in _MANIFEST_COLUMNS]
+    return reduce(DataFrame.unionByName, read)
+
+
+@query("""SELECT 'a_b_' || vec_id AS uttid, 8000 AS sample_rate, round(len(embedding) / 8000.0::DOUBLE, 2) AS seconds, 1 AS channels FROM embeddings""")
+def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves as files whose names have dots in them: the folder's index by name, and what the headers say."""
+    path = _located(shared_folder(spark))
+    wav_source.save(views.waves(spark, sf_dir).select(F.concat(F.lit("a.b."), F.col("key").cast("string")).alias("uttid"), F.lit(8000).alias("sample_rate"), "w"), path)
+    bare = F.regexp_replace("path", "^file:/*", "/").alias("path")
+    known = audio.headers(spark, path).select(bare, "sample_rate", "seconds", "channels")
+    return audio.indexed_folder(spark, path).select("uttid", bare).join(known, "path").drop("path")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS uttid, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, round(unnest([-CAST(x AS DOUBLE) / 2 FOR x IN embedding]), 6) AS x FROM embeddings")
+def files_of_a_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's output for each wave as a file; here it turns the wave round at half its size."""
+    path = _located(shared_folder(spark))
+    models.enhanced_files(views.waves(spark, sf_dir), lambda w: -w / 2, path)
+    return long(audio.waves(spark, path).withColumn("x", F.col("w")), "x", "uttid")
+
+
+@query("""WITH v AS (SELECT vec_id AS uttid, label AS spk, CAST(embedding AS DOUBLE[]) AS w FROM embeddings)
+SELECT uttid, spk, CAST(unnest(range(4)) AS INTEGER) AS i, round(unnest([list_sum(list_slice(w, k * 16 + 1, k * 16 + 16)) FOR k IN range(4)]), 6) AS x FROM v""")
+def vectors_of_a_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's vector for each clip; here the sums of four parts."""
+    made = models.embeddings(views.waves(spark, sf_dir).withColumnRenamed("key", "uttid"), lambda w: np.asarray(w).reshape(4, -1).sum(1))
+    return long(made, "dvec", "uttid", "spk")
+
+
+@query(f"""WITH {views.TRIOS}, c AS (SELECT key, [pow(10, -28 / 20.0::DOUBLE) * (v / (list_sum([abs(u) FOR u IN enh]) / len(enh) + 1e-14)) FOR v IN enh] AS a, [pow(10, -28 / 20.0::DOUBLE) * (v / (list_sum([abs(u) FOR u IN clean]) / len(clean) + 1e-14)) FOR v IN clean] AS b, noisy FROM t)
+SELECT key, CAST(unnest(range(len(noisy))) AS INTEGER) AS i, round(unnest([noisy[k] + list_sum(a) * b[k] FOR k IN range(1, len(noisy) + 1)]), 6) AS x FROM c""")
+def extracted_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that sees each mixture and its two enrollment clips one after another, at a level; here it adds the second by the sum of the first."""
+    t = views.trios(spark, sf_dir)
+    clips = t.select("key", F.lit(1).alias("pos"), F.col("clean").alias("w")).unionByName(t.select("key", F.lit(0).alias("pos"), F.col("enh").alias("w")))
+
+    def model(w, e):
+        n = len(e) // 2
+        return w + e[:n].sum() * e[n:]
+
+    return long(models.extracted(t.select("key", F.col("noisy").alias("w")), clips, model), "enh", "key")
+
+
+@query(_EVALUATED + " SELECT round(avg(sisnr), 6) AS sisnr, round(avg(sisnri), 6) AS sisnri, round(avg(nsr), 6) AS nsr, round(avg(nsr_neg), 6) AS nsr_neg FROM e")
+def report_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables of waves by key, joined, scored, written as a report, whose summary is read again."""
+    t = views.trios(spark, sf_dir)
+    one = lambda c: t.select("key", F.col(c).alias("w"))
+    scored, means = enhancement_report(one("clean"), one("enh"), one("noisy"))
+    out = f"{shared_folder(spark)}/report"
+    text.write_report(scored, means, out)
+    return spark.read.csv(f"{out}/summary", header=True, inferSchema=True).select(*r6(*SCORES))
+
+
+@query("""SELECT event_id AS key, event_id % 3 <> 1 AS flag, 2 + event_id % 3 AS n, CAST(event_type || '-' || user_id AS VARCHAR) AS second, round(value, 4) AS least, round(value + 1, 4) AS most FROM events WHERE value IS NOT NULL""")
+def parsed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags, lists and ranges of each event written as text and parsed again."""
+    e = views.table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    third = F.col("event_id") % 3
+    flag = F.when(third == 0, "TRUE").when(third == 1, "on").otherwise("Yes")
+    item = F.concat_ws("-", "event_type", F.col("user_id").cast("string"))
+    items = F.concat(F.lit("  first \t"), item, F.when(third > 0, " x").otherwise(""), F.when(third > 1, "   y ").otherwise(" "))
+    span = F.concat_ws(",", F.round("value", 4).cast("string"), F.round(F.col("value") + 1, 4).cast("string"))
+    rows = e.select(F.col("event_id").alias("key"), flags.is_true(flag).alias("flag"), flags.listed(items).alias("items"), flags.span(span).alias("span"))
+    return rows.select("key", "flag", F.size("items").cast("bigint").alias("n"), F.get("items", F.lit(1)).alias("second"), "span.least", "span.most")
+
+
 @query("""
 SELECT event_id AS line, CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'malformed' WHEN event_id % 19 = 0 THEN 'no_id' WHEN event_id % 23 = 0 OR floor(value * 100) <= 0 THEN 'no_length' END AS problem FROM events WHERE value IS NOT NULL""")
 def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -903,7 +1018,7 @@ o AS (SELECT uttid, len(w) AS frames, unnest(range(len(w))) AS place, unnest([e
 SELECT uttid, 16000 AS sample_rate, 1 AS channels, frames, place // 24 AS block, CAST(place % 24 AS INTEGER) AS i, round(x, 6) AS x FROM o""")
 def waves_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each wave written to a .wav file; the files read again in blocks of 24 samples, at a level."""
-    path = f"file://{out}" if (out := shared_folder(spark)).startswith("/") else out
+    path = _located(shared_folder(spark))
     wav_source.save(views.waves(spark, sf_dir).select(F.col("key").cast("string").alias("uttid"), F.lit(16000).alias("sample_rate"), "w"), path)
     rows = wav_source.leveled(wav_source.recordings(spark, path, 24), -28.0)
     return long(rows.withColumn("x", F.col("samples")), "x", "uttid", "sample_rate", "channels", "frames", "block")

@@ -3,8 +3,7 @@
 Rows are (stream_id, seq, samples array<double>, eos boolean). Chunks of one micro-batch are put in order of seq;
 a chunk whose seq is not above the last one seen is a duplicate or late and only counted (``late`` names a column that
 shows the count). A processor keeps what it needs of the past, a few hops, never the whole stream; only ``Session``,
-whose embedding needs all samples, keeps those of one session. ``batched`` gives a task all chunks of a stream_id, so
-stored streams are cut into sessions first.
+whose embedding needs all samples, keeps those of one session (``Folded`` keeps a summary instead).
 """
 
 from __future__ import annotations
@@ -224,10 +223,27 @@ def streamed(chunks: DataFrame, make: Callable[[], object], columns: str, idle_m
 
 
 def batched(chunks: DataFrame, make: Callable[[], object], columns: str, late: str | None = None) -> DataFrame:
-    """Stored chunks through the same processors."""
-    schema, names = _schema(chunks, columns, late)
+    """Stored chunks through the same processors.
 
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key[0], _advance(make, None, pdf, bool(late))[0], names)
+    Chunks reach their task by stream and in order, and pass through it: it holds a batch of them and what the
+    processor remembers, however long a stream is.
+    """
+    schema, names = _schema(chunks, columns, late)
 
-    return chunks.groupBy("stream_id").applyInPandas(work, schema)
+    def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, None
+        for pdf in pdfs:
+            ids, none = pdf["stream_id"].to_numpy(), pdf["stream_id"].isna().to_numpy()
+            ends = [*(np.flatnonzero((ids[1:] != ids[:-1]) & ~(none[1:] & none[:-1])) + 1).tolist(), len(pdf)]
+            for a, b in zip([0, *ends], ends):
+                if a == b:
+                    continue
+                key = (None if none[a] else ids[a],)
+                if key != now:
+                    now, kept = key, None
+                rows, kept = _advance(make, kept, pdf.iloc[a:b], bool(late))
+                if rows:
+                    yield _frame(key[0], rows, names)
+
+    dealt = chunks.select("stream_id", "seq", "samples", "eos").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return dealt.mapInPandas(work, schema)

@@ -67,3 +67,22 @@ def test_late_and_repeated_chunks_are_counted(spark, tmp_path):
     assert [(m, n) for _, _, m, _, n in sorted(live, key=lambda r: r[2])] == [(1.0, 0), (2.0, 1), (3.0, 2), (4.0, 0)]
     stored = spark.createDataFrame([("b", 0, [1.0], False), ("b", 0, [9.0], False), ("b", 1, [2.0], False)], CHUNK)
     assert [r["n_late"] for r in chunks.batched(stored, make, chunks.Smoothing.columns, late="n_late").orderBy("pos").collect()] == [0, 1]
+
+
+def test_stored_streams_pass_through_in_small_batches(spark):
+    """Streams longer than a batch, streams that end and begin again, and rows without a stream give the same as one by one."""
+    rng = np.random.default_rng(7)
+    rows = [(s, k, rng.random(3).tolist(), k % 17 == 16) for s in ("a", "b", None) for k in range(50)]
+    frame = spark.createDataFrame(rows, CHUNK).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((tuple(r) for r in chunks.batched(frame, lambda: chunks.Smoothing(4, 0.5), chunks.Smoothing.columns).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for s in ("a", "b", None):
+        p = chunks.Smoothing(4, 0.5)
+        for _, k, x, eos in (r for r in rows if r[0] == s):
+            want += [(s, *r) for r in p.push(np.array(x))]
+            p = chunks.Smoothing(4, 0.5) if eos else p
+    assert got == sorted(want, key=repr)
