@@ -11,6 +11,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from .common import shared_folder, stored
 
 #: Payloads below this many bytes are never revisits.
 LEAST_PAYLOAD = 100
-#: Records of a file at most, so that a reader can hold a file.
+#: Records of a file at most; a reader holds a file as it is on disk, and one record of it inflated.
 RECORDS_PER_FILE = 5_000
 #: Captures of a range of the index that a task merges.
 RANGE = 200_000
@@ -70,7 +71,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> N
     """Write ``pages`` (page_id, url, html, optional timestamp column captured) as compressed WARC files below ``path``.
 
     Null html is an empty payload. Without times, captures are dated by page_id in seconds from the epoch. Dates are in
-    UTC whatever the session's time zone; other columns, whatever their names, are not looked at.
+    UTC whatever the session's time zone; other columns, whatever their names, are not looked at. Payloads of any length
+    are written whole; an empty table gives an archive without records.
     """
     time = F.col("captured") if "captured" in pages.columns else F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) % 4_000_000_000)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"), url_key(F.col("url")).alias("url_key"))
@@ -79,21 +81,24 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> N
     dealt.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers in lower case, block) of each record of an uncompressed WARC file."""
+def records(data: bytes | BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers in lower case, block) of each record of an uncompressed WARC file; a stream is held one record at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
     at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
             raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
+        size, headers = len(line), {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            headers[name.lower()] = value
+            size += len(line)
+        n = int(headers["content-length"])
+        block = stream.read(n)
+        if len(block) != n or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} does not end where it says")
-        yield at, headers, data[start:stop]
-        at = stop + 4
+        yield at, headers, block
+        at += size + len(line) + n + 4
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +113,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows = []
-                for at, headers, block in records(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())).read()):
+                for at, headers, block in records(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
