@@ -85,21 +85,31 @@ class _Flow:
 
 
 class _Ordered(StatefulProcessor):
-    """Typed state: chunks that wait, by time and number, and the stream's flow. Times in microseconds, timers in milliseconds."""
+    """Typed state: the chunks that wait, and the stream's flow. Times in microseconds, timers in milliseconds.
+
+    The chunks are one list, so that a delivery costs a stream a few calls to the store, however many chunks it has.
+    """
 
     def __init__(self, make: Callable, names: list[str], idle_us: int):
         self.make, self.names, self.idle_us = make, names, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts bigint, seq bigint", "samples array<double>, eos boolean")
+        self.waiting = handle.getListState("waiting", "ts bigint, seq bigint, samples array<double>, eos boolean")
         self.flow = handle.getValueState("flow", "started bigint, last bigint, seq bigint, memory binary")
 
+    def _held(self) -> list[tuple]:
+        return [tuple(c) for c in self.waiting.get()]
+
+    def _wake(self, us: int) -> None:
+        """Come back when the watermark has passed this time."""
+        self.handle.registerTimer(us // 1000 + 1)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        known = self._places()
+        known = {(int(c[0]), int(c[1])) for c in self._held()}
         before = min(known, default=None)
-        refused = []
+        refused, more = [], []
         for pdf in rows:
             for ts, seq, samples, eos in pdf[["us", "seq", "samples", "eos"]].itertuples(index=False):
                 at = (int(ts), int(seq))
@@ -109,36 +119,34 @@ class _Ordered(StatefulProcessor):
                     refused.append((None, at[1], REPEATED))
                 else:
                     known.add(at)
-                    self.waiting.updateValue(at, (None if samples is None else [float(x) for x in samples], bool(eos)))
-        if known and (before is None or min(known) < before):
-            self._wake(min(known)[0])
+                    more.append((*at, None if samples is None else [float(x) for x in samples], bool(eos)))
+        if more:
+            self.waiting.appendList(more)
+            if before is None or min(known) < before:
+                self._wake(min(known)[0])
         if refused:
             yield _frame(key[0], refused, self.names)
 
-    def _places(self) -> set[tuple[int, int]]:
-        return {(int(k[0]), int(k[1])) for k in self.waiting.keys()} if self.waiting.exists() else set()
-
-    def _wake(self, us: int) -> None:
-        """Come back when the watermark has passed this time."""
-        self.handle.registerTimer(us // 1000 + 1)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        flow = _Flow(self.make, self.idle_us, tuple(self.flow.get()) if self.flow.exists() else None)
-        places = self._places()
-        out = []
-        for at in sorted(at for at in places if at[0] < mark):
-            samples, eos = self.waiting.getValue(at)
-            out += flow.hear(*at, samples, eos)
-            self.waiting.removeKey(at)
-            places.remove(at)
-        out += flow.rest(mark)
-        if places:
-            self._wake(min(places)[0])
-        if flow.started is None:
-            self.flow.clear()
-        else:
+        kept = self.flow.get()
+        flow = _Flow(self.make, self.idle_us, tuple(kept) if kept else None)
+        held = sorted(self._held(), key=lambda c: c[:2])
+        ready = [c for c in held if c[0] < mark]
+        left = held[len(ready) :]
+        out = [r for c in ready for r in flow.hear(int(c[0]), int(c[1]), c[2], c[3])] + flow.rest(mark)
+        if not ready and not out:
+            return  # an older timer of a stream that has spoken since
+        if ready:
+            self.waiting.put(left) if left else self.waiting.clear()
+        if flow.started is not None:
             self.flow.update(flow.kept())
+        elif kept:
+            self.flow.clear()
+        # The next chunk that waits asks for silence before it, too.
+        if left:
+            self._wake(int(left[0][0]))
+        elif flow.started is not None:
             self._wake(flow.last + self.idle_us)
         if out:
             yield _frame(key[0], out, self.names)

@@ -78,7 +78,6 @@ def test_state_is_dropped_when_streams_end(spark, tmp_path):
     assert [(r[0], r[2], r[4]) for r in rows if r[4] is not None] == [("a", 5, 18), ("a", 6, 3), ("a", 7, 3), ("b", 2, 9), ("b", 3, 3), ("b", 4, 3)]
     for name in ("flow", "waiting"):
         state = spark.read.format("statestore").option("path", f"{path}/state").option("stateVarName", name)
-        state = state.option("flattenCollectionTypes", True) if name == "waiting" else state
         assert state.load().count() == 0
 
 
