@@ -25,15 +25,21 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 @contextmanager
-def rocksdb(spark: SparkSession):
-    """Start event-time streams inside of this: timers and typed state need the RocksDB store."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
+def rocksdb(spark: SparkSession, empty_batches: bool = True):
+    """Start event-time streams inside of this: timers and typed state need the RocksDB store.
+
+    Without ``empty_batches`` a stream does not run a batch of its own when the watermark has moved, so timers wait for
+    the next chunks or heartbeat.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _columns(chunks: DataFrame, columns: str) -> tuple[str, list[str]]:
