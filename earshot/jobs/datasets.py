@@ -46,7 +46,7 @@ def enhancement_set(pairs: DataFrame, noises: DataFrame | None = None, rirs: Dat
     return augmented(_with_clips(rows, noises, rirs, sample_rate, seed), sample_rate, target)
 
 
-def extraction_set(rows: DataFrame, enrollments: DataFrame, single: float = 0.0, inactive: float = 0.0, vad: DataFrame | None = None, samples: int | None = None, noises: DataFrame | None = None, rirs: DataFrame | None = None, chances: Chances = TSE, sample_rate: int = 16000, seed: int = 0, enroll_mode: str = "given") -> DataFrame:
+def extraction_set(rows: DataFrame, enrollments: DataFrame, single: float = 0.0, inactive: float = 0.0, vad: DataFrame | None = None, samples: int | None = None, noises: DataFrame | None = None, rirs: DataFrame | None = None, chances: Chances = TSE, sample_rate: int = 16000, seed: int = 0, enroll_mode: str = "given", beyond: bool = True) -> DataFrame:
     """Rows for target-speaker extraction, or for voice activity of that speaker where ``vad`` (key, labels) is given.
 
     ``rows`` has (key, idx, spk, all_spks, w, clean), ``enrollments`` (key, enroll). By chance the clean reference
@@ -55,14 +55,14 @@ def extraction_set(rows: DataFrame, enrollments: DataFrame, single: float = 0.0,
     volume changes with the mixture's. Labels follow the speed of what they mark: each place has the label of the
     nearest place before the change.
     With an ``enroll_mode`` other than "given", ``enrollments`` has the clips (key, pos, utt, w), see
-    ``chosen_enrollments``.
+    ``chosen_enrollments``. Without ``beyond`` a row whose draws all meet its own speakers stays active, see ``interferers``.
     """
     rows = _at_rate(rows, ["w", "clean"], sample_rate)
     enrollments = _at_rate(enrollments, ["enroll" if enroll_mode == "given" else "w"], sample_rate)
     if enroll_mode != "given":
         enrollments = chosen_enrollments(enrollments, enroll_mode, sample_rate, seed)
     lean = rows.select("key", "idx", "spk", "all_spks")
-    picked = interferers(cases(lean, single, inactive, seed), seed=seed)
+    picked = interferers(cases(lean, single, inactive, seed), seed=seed, beyond=beyond)
     other = rows.select(F.col("idx").alias("other_idx"), F.col("w").alias("other_w"), F.col("clean").alias("other_clean"))
     full = picked.join(rows.select("key", "w", "clean"), "key").join(other, "other_idx", "left")
     off = (F.col("case") == "inactive") & F.col("other_idx").isNotNull()

@@ -75,12 +75,12 @@ def channel(key: Column, channels: Column, seed: int = 0) -> Column:
     return F.when(channels > 1, whole(key, "channel", channels, seed))
 
 
-def interferers(rows: DataFrame, tries: int = 8, seed: int = 0) -> DataFrame:
+def interferers(rows: DataFrame, tries: int = 8, seed: int = 0, beyond: bool = True) -> DataFrame:
     """``rows`` (key, idx, spk, all_spks) with another row whose speaker is none of the mixture's: other_idx, other_spk, use_mixture.
 
     Each row draws ``tries`` row numbers and takes the first that is allowed. The rare row for which none is draws among
     the numbers of all speakers but its mixture's, and takes that speaker's first row; where every speaker is in the
-    mixture, the columns are null.
+    mixture, the columns are null. Without ``beyond`` they are null after the last draw.
     """
     size = F.broadcast(rows.agg(F.count("*").alias("__size")))
     own = rows.select(F.col("idx").alias("other_idx"), F.col("spk").alias("other_spk"))
@@ -101,7 +101,8 @@ def interferers(rows: DataFrame, tries: int = 8, seed: int = 0) -> DataFrame:
         if asking.isEmpty():
             break
     else:
-        chosen = chosen.unionByName(_by_speaker(rows, asking, seed))
+        if beyond:
+            chosen = chosen.unionByName(_by_speaker(rows, asking, seed))
     return rows.join(chosen, "key", "left").withColumn("use_mixture", F.when(F.col("other_idx").isNotNull(), uniform(F.col("key"), "use_mixture", seed) < 0.5))
 
 

@@ -82,3 +82,21 @@ def test_speed_and_volume_always_change(spark):
         assert 0.8 <= r["speed"] <= 1.2 and 0.125 <= r["volume"] <= 2
         for side, of in (("process_wav", "w"), ("clean_wav", "clean")):
             assert r[side] == pytest.approx(np.clip(kernels.changed_speed(np.array(r[of]), r["speed"]) * r["volume"], -1, 1))
+
+
+def test_extraction_draws_as_often_as_its_sql(spark, tmp_path):
+    """One row of another speaker among many of one: most rows draw it in none of eight draws; a row without a label has no interferer."""
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.1, 20).tolist(), None if i == 3 else 5 if i == 7 else 0) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    names = ["key", "i", "other_idx", "inactive", "process", "clean", "enroll"]
+    want = c.execute(f"SELECT {', '.join(names)} FROM ({registry.SQL['extraction_examples']}) ORDER BY key, i").fetchall()
+    got = registry.extraction_examples(spark, str(tmp_path)).select(*names).orderBy("key", "i").collect()
+    assert any(r["other_idx"] is None for r in got) and any(r["other_idx"] is not None for r in got)
+    assert [tuple(r)[:4] for r in got] == [r[:4] for r in want]
+    for r, w in zip(got, want):
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 2e-5) for x, y in zip(tuple(r)[4:], w[4:]))
