@@ -31,9 +31,13 @@ def _earlier_blocks():
 
 
 def _given_back(local: DataFrame, handed: DataFrame) -> DataFrame:
-    """Both levels joined; null keys meet too."""
+    """Both levels joined; null keys meet too.
+
+    By a merge: a file of blocks is so small for its rows (runs, places, signs) that its size would have it broadcast,
+    all rows of all keys to one task.
+    """
     handed = handed.withColumnsRenamed({"key": "__key", "__block": "__number"})
-    return local.join(handed, F.col("key").eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__number"))).drop("__key", "__number")
+    return local.join(handed.hint("merge"), F.col("key").eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__number"))).drop("__key", "__number")
 
 
 def carried(rows: DataFrame, order: str, sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, totals: dict[str, Column] | None = None, size: int = BLOCK) -> DataFrame:

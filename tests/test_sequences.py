@@ -106,3 +106,11 @@ def test_gaps_and_nulls_in_one_long_key(spark, monkeypatch):
     means = sequences.moving_average(rows, 10, block=block)
     assert means.count() == n and means.filter("pos >= 63").select(F.min("mean"), F.max("mean")).first() == (0.6, 0.6)
     assert max(df.groupBy("key", "__block").count().agg(F.max("count")).first()[0] for df in seen) <= block
+
+
+def test_scanned_blocks_are_never_broadcast(spark):
+    """Their files are far smaller than their rows, so that by size all rows would go to one task."""
+    found = sequences.runs(frame(spark, {"a": [0, 1, 1, 0], "b": [1]}).select("key", "pos", "p"), "p")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.count() == 4
