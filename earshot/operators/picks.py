@@ -11,23 +11,64 @@ from earshot.operators.manifests import indexed, numbered
 from earshot.sources.store import stored
 
 
+#: Utterances of a speaker that one row holds; those of a larger speaker are fetched one by one.
+HELD = 1024
+
+
+def enrolled(targets: DataFrame, utts: DataFrame, n: int = 5, seed: int = 0, held: int = HELD) -> DataFrame:
+    """``targets`` (key, utt, spk, ...) with ``enroll``, up to ``n`` other rows of ``utts`` (uttid, spk, ...) of the target's speaker as structs, in the order drawn, and ``known``, whether the utterance is among them itself.
+
+    Each speaker's utterances are numbered; a target draws different numbers, its own left out. Targets go once to the
+    row of their speaker, which holds up to ``held`` utterances; those of larger speakers fetch only what they have drawn,
+    by number. Of rows with equal ids the smallest counts. Both joins are merges: the pool's files are far smaller than
+    its rows, so that by size it would be broadcast.
+    """
+    more = [c for c in utts.columns if c not in ("uttid", "spk")]
+    named = utts.select(F.col("spk").cast("string").alias("spk"), F.col("uttid").cast("string").alias("uttid"), *more)
+    named = named.groupBy("spk", "uttid").agg(F.min(F.struct(*more)).alias("__more")).select("spk", "uttid", "__more.*") if more else named.distinct()
+    pool = stored(numbered(named, "spk", "uttid"), "pool")
+    clip = F.struct("uttid", *more)
+    asking = targets.withColumns({"spk": F.col("spk").cast("string"), "utt": F.col("utt").cast("string")})
+    columns = asking.columns
+
+    def draws(own: Column, size: Column) -> Column:
+        """(nth, number) in the pool for each draw."""
+        others = F.coalesce(size, F.lit(0)) - own.isNotNull().cast("int")
+        past = lambda d: F.when(own.isNotNull() & (d["number"] >= own), 1).otherwise(0)
+        return F.transform(distinct(F.col("key"), "enroll", others, n, seed), lambda d: F.struct(d["nth"].alias("nth"), (d["number"] + past(d)).alias("number")))
+
+    small = pool.filter(F.col("size") <= held).groupBy("spk").agg(F.sort_array(F.collect_list(F.struct("number", clip.alias("clip")))).alias("__held"))
+    small = small.select("spk", F.transform("__held", lambda c: c["clip"]).alias("__held"), F.size("__held").cast("bigint").alias("__size"))
+
+    def whole_pools(rows: DataFrame) -> DataFrame:
+        met = rows.join(small.hint("merge"), "spk", "left")
+        place = F.array_position(F.transform("__held", lambda c: c["uttid"]), F.col("utt"))
+        met = met.withColumn("__own", F.when(place > 0, place - 1))
+        picked = F.transform(draws(F.col("__own"), F.col("__size")), lambda d: F.get(F.col("__held"), d["number"].cast("int")))
+        return met.select(*columns, picked.alias("enroll"), F.col("__own").isNotNull().alias("known"))
+
+    large = stored(pool.filter((F.col("number") == 0) & (F.col("size") > held)).select("spk", "size"), "large")
+    if large.isEmpty():
+        return whole_pools(asking)
+    own = pool.select("spk", F.col("uttid").alias("utt"), F.col("number").alias("__own"))
+    rows = asking.join(large, "spk").join(own.hint("merge"), ["spk", "utt"], "left").select(F.struct(*columns).alias("__row"), "key", "spk", "__own", "size")
+    # Targets may be equal to each other: each keeps its own number, so that none loses or gains clips.
+    rows = stored(rows.withColumn("__id", F.monotonically_increasing_id()), "asking")
+    drawn = rows.select("__id", "spk", F.explode(draws(F.col("__own"), F.col("size"))).alias("d")).select("__id", "spk", "d.nth", "d.number")
+    fetched = drawn.join(pool.select("spk", "number", clip.alias("clip")).hint("merge"), ["spk", "number"]).groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("nth", "clip"))).alias("__d"))
+    many = rows.join(fetched, "__id", "left").select("__row.*", F.transform(F.coalesce("__d", F.array()), lambda x: x["clip"]).alias("enroll"), F.col("__own").isNotNull().alias("known"))
+    return whole_pools(asking.join(large.select("spk"), "spk", "left_anti")).unionByName(many)
+
+
 def enrollments(targets: DataFrame, utts: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
-    """(key, spk, enroll, short_pool): ``n`` other utterances of the target's speaker, in the order drawn.
+    """(key, spk, enroll, short_pool): ``n`` other utterances of the target's speaker, in the order drawn, see ``enrolled``.
 
-    ``targets`` has (key, utt, spk), ``utts`` (uttid, spk). Each speaker's utterances are numbered; a target draws
-    different numbers, its own left out, and only what it has drawn is fetched. A speaker with fewer than ``n`` others
-    gives what there is, flagged; targets with equal keys and speakers give one row.
+    ``targets`` has (key, utt, spk), ``utts`` (uttid, spk). A speaker with fewer than ``n`` others gives what there is,
+    flagged; equal targets give one row.
     """
-    pool = stored(numbered(utts.select(F.col("spk").cast("string").alias("spk"), F.col("uttid").cast("string").alias("uttid")).distinct(), "spk", "uttid"), "pool")
-    own = pool.select("spk", F.col("uttid").alias("utt"), F.col("number").alias("own"))
-    sizes = pool.groupBy("spk").agg(F.count("*").alias("size"))
-    rows = targets.select("key", F.col("utt").cast("string").alias("utt"), F.col("spk").cast("string").alias("spk")).join(own, ["spk", "utt"], "left").join(sizes, "spk", "left")
-    others = F.coalesce("size", F.lit(0)) - F.col("own").isNotNull().cast("int")
-    drawn = rows.select("key", "spk", "own", F.explode_outer(distinct(F.col("key"), "enroll", others, n, seed)).alias("d"))
-    past = (F.col("own").isNotNull() & (F.col("d.number") >= F.col("own"))).cast("int")
-    met = drawn.select("key", "spk", "d.nth", (F.col("d.number") + past).alias("number")).join(pool.select("spk", "number", "uttid"), ["spk", "number"], "left")
-    lists = met.groupBy("key", "spk").agg(F.sort_array(F.collect_list(F.when(F.col("uttid").isNotNull(), F.struct("nth", "uttid")))).alias("d"))
-    return lists.select("key", "spk", F.transform("d", lambda x: x["uttid"]).alias("enroll")).withColumn("short_pool", F.size("enroll") < n)
+    # Dealt by speaker, as the join asks, so that equal ones meet without a shuffle of their own.
+    rows = enrolled(targets.select("key", "utt", "spk").repartition("spk").distinct(), utts.select("uttid", "spk"), n, seed)
+    return rows.select("key", "spk", F.transform("enroll", lambda c: c["uttid"]).alias("enroll")).withColumn("short_pool", F.size("enroll") < n)
 
 
 def by_length(pools: DataFrame, mode: str, seed: int = 0) -> DataFrame:

@@ -86,3 +86,19 @@ def test_bad_rows_are_counted_and_kept_aside(spark, tmp_path):
     assert {(r["source"], r["problem"]): r["count"] for r in aside.groupBy("source", "problem").count().collect()} == {(s, p): n for s, c in counts.items() for p, n in c.items() if p != "rows"}
     assert "2-y, 2, M, 2-y.flac, long, 16000, 1" in aside.filter("problem = 'malformed' AND row LIKE '%2-y%'").first()["row"]
     assert spark.read.text(str(tmp_path / "out/wav2scp.txt")).count() == 2
+
+
+def test_enrollments_meet_their_speaker_once(spark):
+    """Speakers within one row and larger ones draw alike; a target is neither taken apart into its draws nor shuffled twice."""
+    utts = spark.createDataFrame([(f"{s}-{u:02d}", str(s)) for s in range(6) for u in range(s * 3 + 1)], "uttid string, spk string")
+    targets = spark.createDataFrame([(f"{s}/{u}", f"{s}-{u:02d}", str(s)) for s in range(7) for u in range(s * 3 + 2)] + [("2/0", "2-00", "2")], "key string, utt string, spk string")
+    whole = picks.enrollments(targets, utts)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2
+    got = {tuple(r) for r in picks.enrolled(targets.distinct(), utts, held=7).select("key", "spk", "enroll.uttid", "known").collect() for r in [(r["key"], r["spk"], tuple(r["uttid"]), r["known"])]}
+    want = {(r["key"], r["spk"], tuple(r["enroll"])) for r in whole.collect()}
+    assert {g[:3] for g in got} == want and len(want) == targets.count() - 1
+    for key, spk, enroll, known in got:
+        s, u = map(int, key.split("/"))
+        size = s * 3 + 1 if s < 6 else 0
+        assert known == (u < size) and len(enroll) == len(set(enroll)) == min(5, size - known) and f"{s}-{u:02d}" not in enroll
