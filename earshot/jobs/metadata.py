@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.operators.manifests import targets
-from earshot.operators.picks import enrollments
+from earshot.operators.picks import enrolled
 from earshot.sources.quarantine import parted, put_aside
 from earshot.sources.text import checked_corpus, checked_mixtures, write_manifests
 
@@ -15,20 +15,18 @@ MANIFESTS = {"wav2scp": "noisy", "wav2ref": "ref", "ref2spk": "spk", "wav2spk":
 
 def prepared(mixed: DataFrame, utts: DataFrame, n_enroll: int = 5, seed: int = 0) -> DataFrame:
     """Target rows with the paths of their enrollment clips; ``short_pool`` marks those with too few, ``unknown`` those whose own utterance the corpus lacks."""
-    rows = targets(mixed)
-    own = utts.select(F.col("uttid").alias("utt"), F.col("spkid").alias("spk"), F.lit(False).alias("unknown")).distinct()
-    picked = enrollments(rows.select("key", "utt", "spk"), utts.select("uttid", F.col("spkid").alias("spk")), n_enroll, seed)
-    paths = picked.select("key", F.posexplode("enroll").alias("pos", "uttid")).join(utts.select("uttid", "path").dropDuplicates(["uttid"]), "uttid")
-    lists = paths.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("enroll_paths"))
-    out = rows.join(picked.select("key", "short_pool"), "key").join(lists, "key", "left").join(own, ["utt", "spk"], "left")
-    return out.withColumns({"unknown": F.coalesce("unknown", F.lit(True)), "enroll_paths": F.coalesce("enroll_paths", F.array().cast("array<string>"))})
+    corpus = utts.select("uttid", F.col("spkid").alias("spk"), "path")
+    out = enrolled(targets(mixed), corpus, n_enroll, seed)
+    paths = F.transform("enroll", lambda c: c["path"])
+    return out.withColumns({"enroll_paths": F.filter(paths, lambda p: p.isNotNull()), "short_pool": F.size("enroll") < n_enroll, "unknown": ~F.col("known")}).drop("enroll", "known")
 
 
-def prepare(spark: SparkSession, mixture_csv: str, corpus_csv: str, out: str, root: str | None = None, n_enroll: int = 5, seed: int = 0, strict: bool = False) -> dict[str, dict[str, int]]:
+def prepare(spark: SparkSession, mixture_csv: str, corpus_csv: str, out: str, root: str | None = None, n_enroll: int = 5, seed: int = 0, strict: bool = False, compression: str | None = None) -> dict[str, dict[str, int]]:
     """Read, pick and write the five manifests; returns how many lines, mixtures and targets had which problem.
 
     Lines that are no metadata, mixtures without two utterances, targets with too few clips or an unknown utterance go
-    to the quarantine below ``out``, or with ``strict`` are an error.
+    to the quarantine below ``out``, or with ``strict`` are an error. The manifests are plain text unless a
+    ``compression`` is named.
     """
     utts, broken, of_lines = checked_corpus(spark, corpus_csv, root)
     mixed, odd, of_mixtures = checked_mixtures(spark, mixture_csv)
@@ -39,5 +37,5 @@ def prepare(spark: SparkSession, mixture_csv: str, corpus_csv: str, out: str, ro
         raise ValueError(f"bad rows: {found}")
     for bad, source in ((broken, "metadata"), (odd, "mixtures"), (left, "targets")):
         put_aside(bad, f"{out}/quarantine", source)
-    write_manifests(good, out, MANIFESTS)
+    write_manifests(good, out, MANIFESTS, compression=compression, keep=False)  # they are stored already
     return counts

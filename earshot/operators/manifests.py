@@ -10,9 +10,12 @@ from earshot.sources.store import stored
 
 def parsed(lines: DataFrame, separator: str = " ") -> DataFrame:
     """(key, vals) from rows (line_no, value): the first item is the key, a later line replaces an earlier one of its key. Blank lines go."""
-    items = F.split(F.trim("value"), separator)
-    rows = lines.filter(F.trim("value") != "").select("line_no", items[0].alias("key"), F.slice(items, F.lit(2), F.size(items)).alias("vals"))
-    return last_of_each(rows, "key", "line_no").select("key", "vals")
+    # The shuffle carries the line's rest as it stands; items are made of the lines that stay.
+    key = F.split(F.trim("value"), separator, 2)[0]
+    rows = lines.filter(F.trim("value") != "").select("line_no", key.alias("key"), F.trim("value").substr(F.length(key) + 1, F.length("value")).alias("rest"))
+    last = rows.groupBy("key").agg(F.max_by("rest", "line_no").alias("rest"))
+    items = F.split("rest", separator)
+    return last.select("key", F.slice(items, F.lit(2), F.size(items)).alias("vals"))
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:

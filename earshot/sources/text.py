@@ -75,15 +75,16 @@ def mixtures(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, ("mixture_id", "mixture_path", "source_1", "source_2"))))
 
 
-def write_manifests(rows: DataFrame, path: str, columns: dict[str, str], key: str = "key") -> None:
+def write_manifests(rows: DataFrame, path: str, columns: dict[str, str], key: str = "key", compression: str | None = None, keep: bool = True) -> None:
     """One folder of text for each manifest name of ``columns``: lines "key value..." in order of the key. Arrays give several values.
 
-    The rows are made and stored once; each manifest sorts the key and its own column of them.
+    The rows are made and stored once, if they do not (``keep`` false) come from a stored table; each manifest sorts the
+    key and its own column of them. ``compression`` is one of Spark's text writer, such as "gzip".
     """
-    kept = stored(rows.select(key, *dict.fromkeys(columns.values())), "manifest_rows")
+    kept = stored(rows.select(key, *dict.fromkeys(columns.values())), "manifest_rows") if keep else rows
     for name, column in columns.items():
         value = F.concat_ws(" ", column) if rows.schema[column].dataType.typeName() == "array" else F.col(column).cast("string")
-        kept.orderBy(key).select(F.concat_ws(" ", F.col(key).cast("string"), value)).write.mode("overwrite").text(f"{path}/{name}.txt")
+        kept.orderBy(key).select(F.concat_ws(" ", F.col(key).cast("string"), value)).write.mode("overwrite").text(f"{path}/{name}.txt", compression=compression or "none")
 
 
 def write_report(scores: DataFrame, means: DataFrame, path: str) -> None:

@@ -102,3 +102,12 @@ def test_enrollments_meet_their_speaker_once(spark):
         s, u = map(int, key.split("/"))
         size = s * 3 + 1 if s < 6 else 0
         assert known == (u < size) and len(enroll) == len(set(enroll)) == min(5, size - known) and f"{s}-{u:02d}" not in enroll
+
+
+def test_a_mixture_listed_twice_keeps_lists_of_five(spark):
+    mixed = spark.createDataFrame([("10-1-0000_9-1-0003", "m.wav", "a.wav", "b.wav")] * 2, "mixture_id string, mixture_path string, source_1 string, source_2 string")
+    utts = spark.createDataFrame([(f"{s}-1-{u:04d}", str(s), f"{s}/{u}.flac") for s in (10, 9) for u in range(8)], "uttid string, spkid string, path string")
+    made = prepared(mixed, utts)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.collect()
+    assert len(got) == 4 and all(len(set(r["enroll_paths"])) == len(r["enroll_paths"]) == 5 and not r["short_pool"] and not r["unknown"] for r in got)
