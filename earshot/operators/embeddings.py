@@ -155,29 +155,43 @@ def rivals(rows: DataFrame, v: str = "dvec", block: int = 1024) -> DataFrame:
     return best.select("uttid", "most", F.explode("found").alias("x")).filter("x.least <= most").select("uttid", "x.other")
 
 
-def silhouette(rows: DataFrame, v: str = "dvec", block: int = 1024) -> DataFrame:
+#: Of silhouettes: into how many blocks all rows would be cut, bytes of vectors that a block holds at most, and rows at least.
+PARTS, BLOCK_BYTES, LEAST_ROWS = 16, 1 << 24, 1024
+
+
+def silhouette(rows: DataFrame, v: str = "dvec", block: int | None = None) -> DataFrame:
     """(uttid, spk, a, b, silhouette): how much nearer each row is to its own speaker than to the next one.
 
     A row meets the rows of its own speaker and of its ``rivals`` only. Both sides of a speaker's meeting are cut into
     blocks; a task takes one of each and returns one sum for each row. Without a rival b is null and the silhouette 0.
+    Blocks grow with the table (to a ``PARTS``-th of it, ``BLOCK_BYTES`` at most, unless ``block`` says how many rows), so
+    that a vector is sent as often whatever the table, up to PARTS * BLOCK_BYTES of vectors; beyond that it is sent more
+    often in proportion, as the meetings are. A task computes distances for pieces of 1024 by 1024.
     """
     import numpy as np
     import pandas as pd
 
     near = stored(rows.select("uttid", "spk", F.col(v).cast("array<double>").alias("v")), "vectors")
-    asks = stored(rivals(near, "v", block).unionByName(near.select("uttid", F.col("spk").alias("other"))), "asks")
+    asks = stored(rivals(near, "v", block or LEAST_ROWS).unionByName(near.select("uttid", F.col("spk").alias("other"))), "asks")
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"uttid": [], "other": [], "total": []})
         x, y = np.stack(left.v.to_numpy()), np.stack(right.theirs.to_numpy())
-        square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        far = np.sqrt(np.maximum(square, 0))
-        far[left.uttid.to_numpy()[:, None] == right.them.to_numpy()[None, :]] = 0
-        return pd.DataFrame({"uttid": left.uttid.to_numpy(), "other": left.other.to_numpy(), "total": far.sum(1)})
+        ids, them, xx, yy, total = left.uttid.to_numpy(), right.them.to_numpy(), (x * x).sum(1), (y * y).sum(1), np.zeros(len(x))
+        for i in range(0, len(x), 1024):
+            for j in range(0, len(y), 1024):
+                a, b = slice(i, i + 1024), slice(j, j + 1024)
+                far = np.sqrt(np.maximum(xx[a, None] + yy[None, b] - 2 * x[a] @ y[b].T, 0))
+                far[ids[a, None] == them[None, b]] = 0
+                total[a] += far.sum(1)
+        return pd.DataFrame({"uttid": ids, "other": left.other.to_numpy(), "total": total})
 
     sizes = stored(near.groupBy(F.col("spk").alias("other")).agg(F.count("*").alias("n")).join(asks.groupBy("other").agg(F.count("*").alias("asking")), "other"), "sizes")
-    cut = sizes.select("other", F.ceil(F.col("asking") / block).cast("int").alias("m"), F.ceil(F.col("n") / block).cast("int").alias("k"))
+    most = F.floor(F.lit(BLOCK_BYTES) / F.greatest(8 * F.max(F.size("v")), F.lit(1)))
+    grown = F.greatest(F.least(F.ceil(F.count("*") / PARTS), most), F.least(F.lit(LEAST_ROWS), most), F.lit(1))
+    of = F.broadcast(near.agg((F.lit(block) if block else grown).cast("bigint").alias("block")))  # one row
+    cut = sizes.crossJoin(of).select("other", F.ceil(F.col("asking") / F.col("block")).cast("int").alias("m"), F.ceil(F.col("n") / F.col("block")).cast("int").alias("k"))
     place = lambda n: F.pmod(F.xxhash64("uttid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lefts = asks.join(near.select("uttid", "v"), "uttid").join(cut, "other").select("other", place("m").alias("i"), every("k").alias("j"), "uttid", "v")

@@ -118,3 +118,26 @@ def test_far_speakers_are_not_met(spark):
     one = embeddings.silhouette(df.filter("spk = 101")).collect()
     assert len(one) == 2 and all(r["b"] is None and r["silhouette"] == 0 for r in one)
     assert embeddings.silhouette(df.limit(0)).count() == 0
+
+
+def test_silhouette_blocks_grow_with_the_table(spark, monkeypatch):
+    """Blocks by the table's size, by a bound in bytes and given ones, with several pieces to a block, agree."""
+    import numpy as np
+
+    from earshot.operators import embeddings
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, rng.normal(0, 1, 3).tolist()) for i in range(2200)]
+    df = spark.createDataFrame(rows, "uttid long, spk int, dvec array<double>")
+    of = lambda **k: {r["uttid"]: (r["a"], r["b"]) for r in embeddings.silhouette(df, **k).collect()}
+    want = of(block=2000)
+    x, spk = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    for i in (0, 7, 2199):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        assert np.allclose(want[i], (d[spk == spk[i]].sum() / 1099, d[spk != spk[i]].mean()))
+    monkeypatch.setattr(embeddings, "LEAST_ROWS", 200)
+    monkeypatch.setattr(embeddings, "PARTS", 4)
+    for most in (1 << 24, 24 * 300):
+        monkeypatch.setattr(embeddings, "BLOCK_BYTES", most)
+        got = of()
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
