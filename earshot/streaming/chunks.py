@@ -94,8 +94,8 @@ class Smoothing:
         self.kernel, self.threshold, self.pos, self.past = kernel, threshold, 0, np.zeros(kernel - 1)
 
     def push(self, samples: np.ndarray) -> list[tuple]:
-        whole = np.r_[self.past, samples]
-        means = [float(whole[k : k + self.kernel].sum() / self.kernel) for k in range(len(samples))]
+        whole = np.concatenate((self.past, samples))
+        means = [float(np.add.reduce(whole[k : k + self.kernel])) / self.kernel for k in range(len(samples))]
         self.past = whole[len(whole) - self.kernel + 1 :] if self.kernel > 1 else whole[:0]
         out = [(self.pos + k, m, int(m > self.threshold)) for k, m in enumerate(means)]
         self.pos += len(samples)

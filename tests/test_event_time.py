@@ -127,3 +127,32 @@ def _offset():
     from datetime import timezone
 
     return (T0.replace(tzinfo=timezone.utc).timestamp() - T0.timestamp()) * 1e6
+
+
+def test_streams_that_share_keys_of_state_give_the_same(spark, tmp_path):
+    """Thirty streams in three buckets: as with a key for each, at every delivery, and the store holds no more than three."""
+    rng = np.random.default_rng(8)
+    rows = [[(f"s{k}", j, at(40 * d + int(t)), None if j % 7 == 0 else [float(j), k / 7], j % 11 == 10) for k in range(30) for j, t in enumerate(rng.integers(0, 55, 6), 6 * d)] for d in range(4)]
+    deliveries = [rows[0], rows[1] + rows[0][::5], rows[2] + rows[2][::4], rows[3] + rows[0][::9], [(None, None, at(900), None, False)]]
+    make, columns, found = lambda: chunks.Smoothing(3, 0.5), chunks.Smoothing.columns, {}
+    for buckets in (None, 3):
+        path = str(tmp_path / f"{buckets}")
+        for d, given in enumerate(deliveries):
+            deliver(spark, path, d, given)
+            source = spark.readStream.schema(CHUNK).parquet(f"{path}/in/*")
+            with E.rocksdb(spark, partitions=2):
+                E.timed(source, make, columns, "10 seconds", 12, buckets).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+            if d == 2 and buckets:
+                for name in ("flow", "waiting"):
+                    state = spark.read.format("statestore").option("path", f"{path}/state").option("stateVarName", name).load()
+                    assert 0 < state.select("key").distinct().count() <= buckets and state.select("partition_id").distinct().count() <= 2
+        found[buckets] = results(spark, path)
+    assert found[3] == found[None]
+    assert {r[3] for r in found[3]} == {None, "late", "repeated", "closed"}
+
+
+def test_packed_rows_of_state_are_bounded():
+    """A long chunk is a row of its own, short ones share one."""
+    long, short = ("a", 0, 0, bytes(8 * E.PACK), False), ("a", 0, 0, bytes(8), False)
+    assert [len(E._unpacked([p])) for p in E._packed([long, long, *[short] * 10_000], E._chunk_size)] == [1, 1, 1639, 1639, 1639, 1639, 1639, 1639, 166]
+    assert E._packed([], E._chunk_size) == [] and E._unpacked([]) == []
