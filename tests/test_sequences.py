@@ -114,3 +114,14 @@ def test_scanned_blocks_are_never_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert found.count() == 4
+
+
+def test_no_step_of_stable_labels_broadcasts(spark, monkeypatch):
+    """Neither what is stored on the way nor the labels: each level is rows of all keys, however small its file."""
+    plans, store = [], scans.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(scans, "stored", lambda df, name: plans.append(plan(df)) or store(df, name))
+    found = sequences.stable_labels(frame(spark, {"a": [0, 1, 1, 1, 0], "b": [1]}), 0.5, 3, 1)
+    plans.append(plan(found))
+    assert len(plans) == 4 and sum(p.count("SortMergeJoin") for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+    assert listed(found) == {"a": [0, 1, 1, 1, 1], "b": [1]}
