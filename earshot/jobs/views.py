@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.operators import scans
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,11 +37,9 @@ TRIOS = """t AS (
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, pos, p, label): a sequence of probabilities for each user, from its events in order; pos from 0 on."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").filter("user_id IS NOT NULL AND value IS NOT NULL")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("key"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), (F.col("value") / (F.col("value") + 50.0)).alias("p"), (F.col("event_type") == "click").cast("int").alias("label"))
+    rows = e.select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("value") / (F.col("value") + 50.0)).alias("p"), (F.col("event_type") == "click").cast("int").alias("label"))
+    return scans.numbered(rows, ["ts", "event_id"], "pos").select("key", "pos", "p", "label")
 
 
 FRAMES = """f AS (

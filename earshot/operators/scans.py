@@ -17,6 +17,9 @@ from earshot.sources.store import stored
 #: Places of a key that one block holds.
 BLOCK = 65_536
 
+#: One row in so many cuts its key before its rows are numbered, and a key has so many cuts at most.
+CUT, CUTS = 16_384, 512
+
 
 def _with_block(rows: DataFrame, order: str, size: int) -> DataFrame:
     return rows.withColumn("__block", F.floor(F.col(order) / F.lit(size)))
@@ -40,6 +43,31 @@ def _given_back(local: DataFrame, handed: DataFrame) -> DataFrame:
     return local.join(handed.hint("merge"), F.col("key").eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__number"))).drop("__key", "__number")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, one_in: int = CUT, most: int = CUTS) -> DataFrame:
+    """``rows`` (key, ...) with ``name``, their number from 0 on within the key by ``order``, nulls last as in SQL.
+
+    About one place in ``one_in``, told by its hash, cuts its key; of more than ``most`` cuts of a key some are left out
+    evenly. What lies between two cuts is sorted and numbered on its own, so that no task sorts a long key whole, however
+    its rows are spread; the counts of the parts before are added. Cuts and parts are so few that they are broadcast.
+    Rows at one place stay in one part.
+    """
+    place = F.struct(*(x.alias(f"{c}{n}") for c in order for n, x in enumerate((F.col(c).isNull(), F.col(c)))))
+    found = rows.filter(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0).groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set(place)).alias("__all"))
+    cuts = found.select("__key", F.filter("__all", lambda _, n: n % F.ceil(F.size("__all") / most) == 0).alias("__cuts"))
+    steps = F.lit([1 << n for n in reversed(range(most.bit_length()))])
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__cuts", at + step - 1) <= F.col("__place"), at + step).otherwise(at))
+    placed = rows.withColumn("__place", place).join(F.broadcast(cuts), F.col("key").eqNullSafe(F.col("__key")), "left")
+    placed = placed.withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(part))
+    counts = placed.filter("__cuts IS NOT NULL").groupBy(F.col("key").alias("__of"), F.col("__part").alias("__number")).count()
+    earlier = Window.partitionBy("__of").orderBy("__number").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__of", "__number", F.sum("count").over(earlier).alias("__before"))
+    w = Window.partitionBy("key", "__part").orderBy(*(F.asc_nulls_last(c) for c in order))
+    kept = [f"`{c}`" for c in rows.columns if c != name]
+    local = placed.select(*kept, "__part", (F.row_number().over(w).cast("bigint") - 1).alias("__nth"))
+    out = local.join(F.broadcast(before), F.col("key").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__number")), "left")
+    return out.select(*kept, (F.col("__nth") + F.coalesce("__before", F.lit(0))).alias(name))
+
+
 def carried(rows: DataFrame, order: str, sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, totals: dict[str, Column] | None = None, size: int = BLOCK) -> DataFrame:
     """``rows`` (key, ``order``, ...) with running sums, values of the row before (null for a key's first), and sums over the whole key.
 

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from earshot.jobs import views
 from earshot.operators import scans, sequences
 
 
@@ -125,3 +126,40 @@ def test_no_step_of_stable_labels_broadcasts(spark, monkeypatch):
     plans.append(plan(found))
     assert len(plans) == 4 and sum(p.count("SortMergeJoin") for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
     assert listed(found) == {"a": [0, 1, 1, 1, 1], "b": [1]}
+
+
+def test_numbers_within_keys_cut_into_parts(spark):
+    """Keys of any length, null keys and nulls in the order (last, as in SQL), places that repeat, whatever the size of the parts."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1, 2, 2, 3]), None if n % 50 == 0 else n % 290) for n in range(600)] + [("one", None, None)]
+    df = spark.createDataFrame(rows, "key string, at int, id int")
+    last = lambda x: (x is None, x or 0)
+    want = sorted(((k, a, i) for k, a, i in rows), key=lambda r: (last(r[1]), last(r[2])))
+    for one_in, most in ((1, 1000), (1, 3), (7, 64), (10**9, 64)):
+        got = scans.numbered(df, ["at", "id"], "pos", one_in, most).collect()
+        assert len(got) == len(rows)
+        for key in ("a", "b", None, "one"):
+            mine = sorted((r for r in got if r["key"] == key), key=lambda r: r["pos"])
+            assert [r["pos"] for r in mine] == list(range(len(mine)))
+            assert [(r["at"], r["id"]) for r in mine] == [r[1:] for r in want if r[0] == key]
+
+
+def test_frames_of_one_user_spread_over_tasks(spark, tmp_path):
+    n = 32 * scans.CUT
+    e = spark.range(n).select(F.col("id").alias("event_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        held = views.frames(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows"), F.sum("pos").alias("total")).collect()
+    finally:
+        spark.conf.unset(merging)
+    assert sum(r["rows"] for r in held) == n and sum(r["total"] for r in held) == n * (n - 1) // 2
+    assert max(r["rows"] for r in held) < 0.8 * n
+
+
+def test_events_without_a_time_come_last_as_in_sql(spark, duck, tmp_path):
+    e = spark.createDataFrame([(1, None, 1, "click", 9.0), (2, "2024-01-02", 1, "view", 90.0), (None, "2024-01-01", 1, "view", 7.0), (3, "2024-01-01", 1, "view", 8.0)], "event_id long, ts string, user_id long, event_type string, value double")
+    e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    want = duck.execute(f"WITH {views.FRAMES.replace('FROM events', f'''FROM read_parquet('{tmp_path}/events.parquet/*.parquet')''')} SELECT key, pos, p, label FROM f ORDER BY pos").fetchall()
+    assert [tuple(r) for r in views.frames(spark, str(tmp_path)).orderBy("pos").collect()] == want
